@@ -6,13 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pointloom.llm import secrets, sharding
+from pointloom.llm import language, packing, secrets, sharding
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
+        language.op6_language_mixture,
         secrets.op7_token_efficiency_secrets,
         sharding.op8_prefix_sum_shards,
+        packing.op10_configuration_packing,
     )
 }
 

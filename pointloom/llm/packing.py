@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import functools
 import re
+import struct
 import unicodedata
 import zlib
 from collections import defaultdict
@@ -20,6 +21,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -27,45 +29,63 @@ from pointloom.llm.common import cut, partitions, table
 
 CAPACITY = 4096
 SEPARATOR = 1
-ROUNDS = 200
-STEP = 0.5
+ROUNDS = 400
+STEP = 1.0
 CACHED = 300_000
 
 
+#: The bytes that byte-level vocabularies write as themselves; the others follow from code point 256 on.
+_OWN = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+_BYTE = {b: chr(b) for b in _OWN} | {b: chr(256 + k) for k, b in enumerate(sorted({*range(256)} - {*_OWN}))}
+
+
 class CachedEncoder:
     """The token ids of a text, as little-endian unsigned 32-bit integers, by a vocabulary of the tokenizers library.
 
     The vocabulary's splitting drops white space and never joins across it, so the ids of a text are those of its
-    white-space-free chunks. These are looked up in a bounded cache. Texts with characters for which lower-casing,
-    normal forms or white space could depend on the context or differ between libraries go to the library whole.
+    white-space-free chunks, and those the ids of a chunk's words. Both are looked up in bounded caches; the library's
+    model merges new words. Texts with characters for which lower-casing, normal forms or white space could depend on
+    the context or differ between libraries go to the library whole.
     """
 
     #: Basic and extended Latin without control characters but tab, line feed and carriage return, general punctuation.
-    PLAIN = re.compile("[\t\n\r -~¡-įĲ-ɏ‐-‧‰-⁞]*")
+    PLAIN = re.compile("[\t\n\r -~\xa1-\u012f\u0132-\u024f\u2010-\u2027\u2030-\u205e]*")
+    WORD = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        self.model = self.tokenizer.model
         self.chunks: dict[str, bytes] = {}
+        self.words: dict[str, bytes] = {}
 
     def whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
 
+    def word(self, word: str) -> bytes:
+        if (ids := self.words.get(word)) is None:
+            tokens = self.model.tokenize(word.encode().decode("latin-1").translate(_BYTE))
+            ids = self.words[word] = struct.pack(f"<{len(tokens)}I", *[t.id for t in tokens])
+        return ids
+
     def __call__(self, text: str) -> bytes:
         if not self.PLAIN.fullmatch(text):
             return self.whole([text])[0]
-        words = unicodedata.normalize("NFC", text).lower().split()
+        found = unicodedata.normalize("NFC", text).lower().split()
         known = self.chunks
         try:
-            return b"".join([known[w] for w in words])
+            return b"".join([known[w] for w in found])
         except KeyError:
             if len(known) > CACHED:
                 known.clear()
-            new = list({w for w in words if w not in known})
-            known.update(zip(new, self.whole(new), strict=True))
-            return b"".join([known[w] for w in words])
+            if len(self.words) > CACHED:
+                self.words.clear()
+            for w in found:
+                if w not in known:
+                    known[w] = b"".join(map(self.word, self.WORD.findall(w)))
+            return b"".join([known[w] for w in found])
 
 
 @functools.lru_cache(maxsize=2)
@@ -98,12 +118,12 @@ Group = tuple[int, list[tuple[int, int]]]  # equal sequences: how many, and thei
 
 def _richest(weight: np.ndarray, capacity: int) -> dict[int, int]:
     """Unbounded knapsack: the configuration of the greatest weight; weight[l] is that of length l, below 0 where there is none."""
-    best, last = np.zeros(capacity + 1), np.zeros(capacity + 1, np.int64)
+    best, last, down = np.zeros(capacity + 1), np.zeros(capacity + 1, np.int64), weight[:0:-1].copy()
     for c in range(1, capacity + 1):
-        gain = best[c - 1 :: -1] + weight[1 : c + 1]  # of adding a length 1 to c
+        gain = best[:c] + down[-c:]  # of adding a length from c down to 1; the longest wins a tie
         k = int(gain.argmax())
         if gain[k] > best[c - 1]:
-            best[c], last[c] = gain[k], k + 1
+            best[c], last[c] = gain[k], c - k
         else:
             best[c] = best[c - 1]
     used: dict[int, int] = defaultdict(int)
@@ -117,20 +137,25 @@ def _richest(weight: np.ndarray, capacity: int) -> dict[int, int]:
 
 def configurations(count: np.ndarray, capacity: int, rounds: int = ROUNDS, step: float = STEP) -> list[Group]:
     """Multiplicative weights for: cover count[l] pieces of each length l by the fewest configurations. Rounded down, so
-    that no length is used more often than it occurs."""
+    that no length is used more often than it occurs. The prices start in proportion to the lengths, where the bound of
+    all tokens by the capacity has them."""
     there = count > 0
-    weight = np.where(there, 1.0, -1.0)
-    covered, uses = np.zeros(len(count)), defaultdict(float)
+    price = np.where(there, np.arange(len(count)) / capacity, -1.0)
+    uses: dict[tuple[tuple[int, int], ...], float] = defaultdict(float)
     for _ in range(rounds if there.any() else 0):
-        found = _richest(np.where(there, weight / np.maximum(count, 1), -1.0), capacity)
+        found = _richest(price, capacity)
         lengths, copies = np.array([*found]), np.array([*found.values()])
-        part = copies / count[lengths]
+        part = copies / count[lengths]  # of the pieces of each length that one use covers
         times = step / part.max()
         uses[tuple(sorted(found.items(), reverse=True))] += times
-        covered[lengths] += times * part
-        weight[lengths] *= np.exp(-times * part)
-    scale = 1 / max(covered.max(), 1e-9)
-    return [(n, [*items]) for items, x in uses.items() if (n := int(x * scale + 1e-9))]
+        price[lengths] *= np.exp(-times * part)
+    left, out = count.copy(), []
+    for items, x in sorted(uses.items(), key=lambda u: -u[1]):
+        if n := min(int(x), *(int(left[length]) // copies for length, copies in items)):
+            out.append((n, [*items]))
+            for length, copies in items:
+                left[length] -= n * copies
+    return out
 
 
 def best_fit(count: np.ndarray, groups: list[Group], capacity: int) -> list[Group]:
@@ -140,8 +165,9 @@ def best_fit(count: np.ndarray, groups: list[Group], capacity: int) -> list[Grou
     for n, items in groups:
         by_room[capacity - sum(a * b for a, b in items)].append((n, items))
     for length in range(capacity, 0, -1):
-        left = int(count[length])
-        rooms = sorted(r for r in by_room if r >= length and by_room[r]) if left else []
+        if not (left := int(count[length])):
+            continue
+        rooms = sorted(r for r in by_room if r >= length and by_room[r])
         for room in [*rooms, capacity]:
             fit = room // length
             pool = by_room.pop(room, []) if room in rooms else [(-(-left // fit), [])]
@@ -154,7 +180,7 @@ def best_fit(count: np.ndarray, groups: list[Group], capacity: int) -> list[Grou
                 if n and left:  # fewer than fit pieces are left: one more sequence takes them
                     by_room[room - left * length].append((1, [*items, (length, left)]))
                     left, n = 0, n - 1
-                if n and items:
+                if n:
                     pool.append((n, items))
             if pool:
                 by_room[room] = pool + by_room.get(room, [])
