@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pointloom.llm import language, ngram_join, packing, secrets, sharding
+from pointloom.llm import ann, language, ngram_join, packing, secrets, sharding
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
+        ann.op1_kmeans_tree_search,
         ngram_join.op5_adaptive_prefix_join,
         language.op6_language_mixture,
         secrets.op7_token_efficiency_secrets,
