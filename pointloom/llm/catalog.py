@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pointloom.llm import ann, language, ngram_join, packing, secrets, sharding
+from pointloom.llm import ann, language, line_dedup, ngram_join, packing, secrets, sharding
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         ann.op1_kmeans_tree_search,
+        line_dedup.op3_deletion_line_dedup,
         ngram_join.op5_adaptive_prefix_join,
         language.op6_language_mixture,
         secrets.op7_token_efficiency_secrets,
@@ -20,4 +21,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     )
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op3_deletion_line_dedup": line_dedup.OP3_SQL}
