@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pointloom.llm import ann, language, line_dedup, ngram_join, packing, secrets, sharding
+from pointloom.llm import ann, language, line_dedup, ngram_join, packing, secrets, sharding, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         ann.op1_kmeans_tree_search,
+        toxicity.op2_kneser_ney_toxicity,
         line_dedup.op3_deletion_line_dedup,
         ngram_join.op5_adaptive_prefix_join,
         language.op6_language_mixture,

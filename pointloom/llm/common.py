@@ -32,3 +32,21 @@ def partitions(spark: SparkSession) -> int:
 def id_bucket(column: str, modulus: int) -> Column:
     """crc32 of the id as text, modulo modulus: which rows a model may learn from. A null id counts as 0."""
     return F.coalesce(F.crc32(F.col(column).cast("string")), F.lit(0)) % modulus
+
+
+#: Bits of the bitmap of `maybe_in`: 2 MB, whatever the tables' sizes.
+FILTER_BITS = 24
+
+
+def maybe_in(rows: DataFrame, column: str, wanted: DataFrame) -> DataFrame:
+    """rows without most of those whose `column` is not among the values of wanted's only column, which is to be a table
+    at rest: told by hashes in a bitmap of fixed size. Before a semi-join, it spares the shuffle most rows; any wanted
+    row stays. Nulls are values."""
+    place = lambda c: F.pmod(F.xxhash64(c), F.lit(1 << FILTER_BITS))
+    at = wanted.select(place(wanted.columns[0]).alias("at"))
+    found = at.groupBy(F.shiftright("at", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(at % 64 as int))")).alias("mask"))
+    words = rows.sparkSession.range(1 << (FILTER_BITS - 6)).withColumnRenamed("id", "word").join(found, "word", "left")
+    masks = words.agg(F.sort_array(F.collect_list(F.struct("word", F.coalesce("mask", F.lit(0)).alias("mask")))).alias("m")).select("m.mask")
+    here = place(column)
+    bit = F.call_function("shiftright", masks.scalar()[F.shiftright(here, 6)], (here % 64).cast("int"))
+    return rows.where(bit.bitwiseAND(F.lit(1)) == 1)

@@ -1,86 +1,138 @@
 """Operator 5: documents that share most of their word n-grams, joined by adaptive multi-match prefixes.
 
 Two sets of n-grams with a Jaccard of at least t overlap in ceil(t * n) n-grams at least, n being the size of either.
-In one order of all n-grams, rare ones first, their first l common ones therefore lie within the first
-n - ceil(t * n) + l of each. Every set picks its own l: a longer prefix reads more postings, but a pair is only
-verified once it shares min(l of one, l of the other) prefix n-grams.
-
-So that groups of copies never become all their pairs:
-- equal sets are one entity from the start;
-- n-grams of a single entity can link nothing; they are counted in the sizes, and dropped;
-- each entity is first verified against the most central entities that it shares a prefix n-gram with, and the links
-  found make components. The join then only looks for pairs between different components, through n-grams that more
-  than one component has in a prefix. Links inside a component could not change it.
+In one order of all n-grams, their first l common ones therefore lie within the first n - ceil(t * n) + l of each.
+Every set picks its own l: a longer prefix reads more postings, but a pair is only verified once it shares
+min(l of one, l of the other) prefix n-grams. The order puts n-grams of crowded hash buckets last, by counts over all
+documents in a fixed number of buckets: any one order is exact, and this one keeps common passages out of prefixes.
+
+So that groups of copies never become all their pairs, equal sets are one entity; each entity is first verified against
+the most central entities that it shares a prefix n-gram with, and the links found make components. The join then looks
+only for pairs between different components, through n-grams that more than one component has in a prefix. Links
+inside a component could not change it.
+
+Only prefixes are shuffled for all documents; whole sets only for those whose prefix meets another.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pointloom.llm.common import cut, table
 from pointloom.llm.graph import connected_components
+from pointloom.llm.shingles import WORDS, Shingler, set_keys
 
-WORDS = 5
 PERCENT = 75
 #: Multi-match prefixes go up to this many common n-grams; verifying a pair costs as much as reading so many postings.
-MOST_MATCHES = 4
+MOST_MATCHES = 8
 VERIFY_COST = 8
-UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-
-
-def words_of(text: Column) -> Column:
-    """Words between ASCII white space, with A-Z in lower case; null for a null text."""
-    return F.filter(F.split(F.translate(text, UPPER, LOWER), "[\\x20\\x09-\\x0D]+"), lambda w: w != "")
-
-
-def with_shingles(docs: DataFrame, text: str = "text", words: int = WORDS) -> DataFrame:
-    """docs with `shingles`: the sorted distinct 64-bit hashes of its word n-grams; one hash of all words if they are
-    fewer than n, and an empty array for a text without words or null."""
-    n = F.size("_ng_words")
-    gram = F.transform(F.sequence(F.lit(0), n - words), lambda i: F.xxhash64(*(F.get("_ng_words", i + k) for k in range(words))))
-    all_words = F.array(F.xxhash64(F.concat_ws(" ", "_ng_words")))
-    found = F.when(n >= words, gram).when(n > 0, all_words).otherwise(F.array().cast("array<bigint>"))
-    out = docs.withColumn("_ng_words", words_of(F.col(text))).withColumn("shingles", F.sort_array(F.array_distinct(found)))
-    return out.drop("_ng_words")
-
-
-def _keyed(docs: DataFrame, words: int) -> DataFrame:
-    """Two hashes of the whole set, 128 bits, name an entity."""
-    s = with_shingles(docs, words=words)
-    return s.withColumns({"n": F.size("shingles"), "k1": F.xxhash64("shingles"), "k2": F.xxhash64(F.lit(1), "shingles")})
-
-
-def _entities(keyed: DataFrame, percent: int) -> DataFrame:
-    """Entities that may have a partner: id, k1, k2, n, their shared n-grams from the rarest on, and these n-grams' counts."""
-    sets = keyed.select("k1", "k2", "n", "shingles").dropDuplicates(["k1", "k2"])
-    grams = sets.select("k1", "k2", "n", F.explode("shingles").alias("gram"))
-    shared = grams.groupBy("gram").agg(F.count("*").alias("df")).where("df > 1")
-    kept = (
-        grams.join(shared.hint("shuffle_hash"), "gram")
-        .groupBy("k1", "k2", "n")
-        .agg(F.sort_array(F.collect_list(F.struct("df", "gram"))).alias("g"))
-        .where(F.size("g") * 100 >= F.col("n") * percent)
-    )
-    kept = cut(kept.select("k1", "k2", "n", F.col("g.gram").alias("grams"), F.col("g.df").alias("df")))
-    return kept.withColumn("id", F.monotonically_increasing_id())  # of a table at rest: the same at every reading
+BUCKET_BITS = 17
+
+
+def _least(n: Column, percent: int) -> Column:
+    """How many n-grams a set of n must share with any partner."""
+    return F.ceil(n * percent / 100).cast("int")
+
+
+def _sizes_and_buckets(docs: DataFrame, id_column: str, words: int) -> DataFrame:
+    """(id, n, k1, k2) of every row, two hashes of its whole set naming an entity; and for each task one row of only `counts`, its n-grams by bucket."""
+    kind = docs.schema[id_column].dataType.simpleString()
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shingles, counts, schema = Shingler(words), np.zeros(1 << BUCKET_BITS, np.int64), None
+        for batch in batches:
+            ids, sizes, keys = batch[0], [], []
+            for text in batch[1]:
+                found = shingles(text.as_py())
+                counts += np.bincount((found >> np.uint64(64 - BUCKET_BITS)).astype(np.int64), minlength=len(counts))
+                sizes.append(len(found))
+                keys.append(set_keys(found))
+            k1, k2 = ([k[i] for k in keys] for i in (0, 1))
+            schema = pa.schema([("id", ids.type), ("n", pa.int32()), ("k1", pa.int64()), ("k2", pa.int64()), ("counts", pa.list_(pa.int64()))])
+            yield pa.record_batch([ids, pa.array(sizes, pa.int32()), pa.array(k1, pa.int64()), pa.array(k2, pa.int64()), pa.nulls(len(ids), pa.list_(pa.int64()))], schema=schema)
+        if schema is not None:
+            yield pa.record_batch([pa.nulls(1, f.type) for f in list(schema)[:4]] + [pa.array([counts], pa.list_(pa.int64()))], schema=schema)
+
+    return docs.select(id_column, F.col("text").cast("binary")).mapInArrow(task, f"id {kind}, n int, k1 long, k2 long, counts array<long>")
+
+
+def _ordered(found: np.ndarray, crowd: np.ndarray, percent: int) -> np.ndarray:
+    """The longest prefix of a set that may be asked for."""
+    least = -(-len(found) * percent // 100)
+    bucket = (found >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)
+    return found[np.lexsort((found, crowd[bucket]))][: len(found) - least + MOST_MATCHES]
+
+
+def _prefix_grams(docs: DataFrame, crowd, words: int, percent: int) -> DataFrame:
+    """(k1, gram) for every n-gram of every row's longest prefix."""
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shingles = Shingler(words)
+        for batch in batches:
+            keys, grams = [np.empty(0, np.int64)], [np.empty(0, np.uint64)]
+            for text in batch[0]:
+                if len(found := shingles(text.as_py())):
+                    grams.append(_ordered(found, crowd.value, percent))
+                    keys.append(np.full(len(grams[-1]), set_keys(found)[0], np.int64))
+            yield pa.record_batch([pa.array(np.concatenate(keys)), pa.array(np.concatenate(grams).view(np.int64))], ["k1", "gram"])
+
+    return docs.select(F.col("text").cast("binary")).mapInArrow(task, "k1 long, gram long")
+
+
+def _whole_sets(docs: DataFrame, crowd, words: int, percent: int) -> DataFrame:
+    """k1, k2, n, the longest prefix in order and the whole set of each row."""
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shingles, longs = Shingler(words), pa.list_(pa.int64())
+        for batch in batches:
+            sets = [found for text in batch[0] if len(found := shingles(text.as_py()))]
+            keys = [set_keys(s) for s in sets]
+            yield pa.record_batch(
+                [
+                    *(pa.array([k[i] for k in keys], pa.int64()) for i in (0, 1)),
+                    pa.array([len(s) for s in sets], pa.int32()),
+                    pa.array([_ordered(s, crowd.value, percent).view(np.int64) for s in sets], longs),
+                    pa.array([s.view(np.int64) for s in sets], longs),
+                ],
+                ["k1", "k2", "n", "prefix", "grams"],
+            )
+
+    return docs.select(F.col("text").cast("binary")).mapInArrow(task, "k1 long, k2 long, n int, prefix array<long>, grams array<long>")
+
+
+def _entities(docs: DataFrame, id_column: str, sets: DataFrame, crowd, words: int, percent: int) -> DataFrame:
+    """Entities that may have a partner: id, k1, k2, n, prefix, grams. A partner shares MOST_MATCHES n-grams of the
+    longest prefix at least, or all those it must share, if they are fewer."""
+    prefix = _prefix_grams(docs, crowd, words, percent)
+    shared = prefix.groupBy("gram").agg(F.count("*").alias("df")).where("df > 1")
+    met = prefix.join(shared.select("gram").hint("shuffle_hash"), "gram").groupBy("k1").agg(F.count("*").alias("met"))
+    wanted = sets.join(met, "k1").where(F.col("met") >= F.least(F.lit(MOST_MATCHES), _least(F.col("n"), percent)))
+    low = wanted.select(F.col("low")).distinct()
+    texts = docs.join(low, F.col(id_column).eqNullSafe(F.col("low")), "left_semi")
+    return cut(_whole_sets(texts, crowd, words, percent)).withColumn("id", F.monotonically_increasing_id())  # of a table at rest: always the same
 
 
 def _prefixes(entities: DataFrame, percent: int) -> DataFrame:
-    """gram, id, n, central, matches: each entity's prefix n-grams at its cheapest number of matches."""
-    least = F.ceil(F.col("n") * percent / 100).cast("int")
-    spare = F.size("grams") - least  # the prefix of l matches has spare + l of the shared n-grams
-    cost = lambda m: F.aggregate(F.slice("df", 1, spare + m), F.lit(0).cast("long"), lambda x, y: x + y) * (1 + VERIFY_COST / m)
-    best = F.array_min(F.array(*(F.struct(cost(m).alias("cost"), F.lit(m).alias("m")) for m in range(1, MOST_MATCHES + 1))))["m"]
-    # No entity needs more matches than it must share with any partner.
-    matches = F.least(best, least)
-    central = F.aggregate("df", F.lit(0).cast("long"), lambda x, y: x + y) / F.col("n")
-    out = entities.select("id", "n", central.alias("central"), matches.alias("matches"), "grams", spare.alias("spare"))
-    return out.select("id", "n", "central", "matches", F.explode(F.slice("grams", F.lit(1), F.col("spare") + F.col("matches"))).alias("gram"))
+    """gram, id, n, central, matches: each entity's prefix at its cheapest number of matches, without n-grams of its own."""
+    spare = F.col("n") - _least(F.col("n"), percent)
+    grams = entities.select("id", "n", spare.alias("spare"), F.posexplode("prefix").alias("at", "gram"))
+    shared = grams.groupBy("gram").agg(F.count("*").alias("df")).where("df > 1")
+    grams = cut(grams.join(shared, "gram"))
+    read = lambda m: F.coalesce(F.sum(F.when(F.col("at") < F.col("spare") + m, F.col("df"))), F.lit(0))
+    costs = F.array(*(F.struct((read(m) * (1 + VERIFY_COST / m)).alias("cost"), F.lit(m).alias("m")) for m in range(1, MOST_MATCHES + 1)))
+    chosen = grams.groupBy("id", "n").agg(F.array_min(costs)["m"].alias("m"), (F.sum("df") / F.col("n")).alias("central"))
+    chosen = chosen.select(F.col("id").alias("own"), F.least("m", _least(F.col("n"), percent)).alias("matches"), "central")
+    out = grams.join(chosen, F.col("id") == F.col("own")).where(F.col("at") < F.col("spare") + F.col("matches"))
+    return out.select("gram", "id", "n", "central", "matches")
 
 
 def _verified(pairs: DataFrame, entities: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose sets are similar enough. N-grams that were dropped are in one set only."""
+    """The pairs (a, b) whose sets are similar enough."""
     of = lambda x: entities.select(F.col("id").alias(x), F.col("n").alias(f"n_{x}"), F.col("grams").alias(f"g_{x}"))
     both = pairs.join(of("a"), "a").join(of("b"), "b").withColumn("both", F.size(F.array_intersect("g_a", "g_b")))
     return both.where(F.col("both") * 100 >= percent * (F.col("n_a") + F.col("n_b") - F.col("both"))).select("a", "b")
@@ -119,16 +171,21 @@ def similar_components(docs: DataFrame, id_column: str = "doc_id", words: int =
     reached by links, the row's own included. Rows without words or text have n_shingles 0 and are linked with nothing.
     Rows that repeat, even with one id, are rows of one set; a null id is never the smallest unless there is no other.
     """
-    keyed = _keyed(docs.select(id_column, "text"), words)
-    meta = cut(keyed.select(id_column, "n", "k1", "k2"))
-    # A condition on n itself would be pushed below, and split the text again for each n-gram.
-    entities = _entities(_keyed(docs.select("text").where(F.col("text").rlike("[^\\x20\\x09-\\x0D]")), words), percent)
+    docs = docs.select(id_column, "text")
+    first = cut(_sizes_and_buckets(docs, id_column, words))
+    meta = first.where("counts is null").select(F.col("id").alias(id_column), "n", "k1", "k2")
+    sums = first.where("counts is not null").select(F.posexplode("counts").alias("bucket", "c")).groupBy("bucket").agg(F.sum("c").alias("c"))
+    crowd = np.zeros(1 << BUCKET_BITS, np.int64)
+    for row in sums.toPandas().itertuples():  # as many rows as there are buckets
+        crowd[row.bucket] = row.c
+    sent = docs.sparkSession.sparkContext.broadcast(crowd)
+    sets = meta.where("n > 0").groupBy("k1", "k2", "n").agg(F.min(id_column).alias("low"))
+    entities = _entities(docs, id_column, sets, sent, words, percent)
     prefixes = cut(_prefixes(entities, percent))
     central = cut(_links_to_central(prefixes, entities, percent))
     between = _links_between(prefixes, connected_components(central), entities, percent)
     labels = connected_components(central.union(between))
-    sets = meta.where("n > 0").groupBy("k1", "k2").agg(F.min(id_column).alias("low"))
-    named = entities.select("id", "k1", "k2").join(labels, F.col("id") == F.col("v")).select("k1", "k2", "c")
+    named = entities.select("id", "k1", "k2").join(labels, F.col("id") == F.col("v")).groupBy("k1", "k2").agg(F.min("c").alias("c"))
     joined = cut(sets.join(named, ["k1", "k2"], "left"))
     lowest = joined.where("c is not null").groupBy("c").agg(F.min("low").alias("lowest"))
     component = joined.join(lowest, "c", "left").select("k1", "k2", F.coalesce("lowest", "low").alias("component_id"))
