@@ -3,13 +3,15 @@
 The tree is fitted on a bounded sample (`SAMPLE` rows, those of the lowest id hashes); every row is then put into its
 leaf. A query opens nodes in the order of a priority queue, nearest centre first, and so visits leaves. How many it
 visits is widened until, for `CALIBRATION` sampled vectors whose true neighbours are known from all rows, the wanted
-share of these lies in the leaves visited. Rows of a leaf and the queries that visit it meet in blocks of bounded size,
+share of these lies in the leaves visited. The first of them give each query a bound, its k-th distance so far, and the
+others only return what is within it. Rows of a leaf and the queries that visit it meet in blocks of bounded size,
 however full a leaf or popular a place is.
 """
 
 from __future__ import annotations
 
 import heapq
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -24,9 +26,12 @@ from pointloom.llm.common import cut, table
 NEAREST = 10
 SAMPLE = 20_000
 CALIBRATION = 200
-RECALL = 0.97
+RECALL = 0.95
 BRANCHES = 16
+#: Leaves are meant to hold the square root of the number of rows, this many at least.
 LEAF_ROWS = 100
+#: This part of the visits comes first, to find the bounds.
+FIRST = 8
 BLOCK = 4096
 
 
@@ -117,13 +122,14 @@ def _top(near: DataFrame, k: int) -> DataFrame:
     return near.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def _nearest_of(ids: np.ndarray, rows: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, k: int) -> dict[str, np.ndarray]:
-    """For each query the k rows nearest to it, other than those of its own id, by exact squares of differences."""
+def _nearest_of(ids: np.ndarray, rows: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, k: int, bounds: np.ndarray | None = None) -> dict[str, np.ndarray]:
+    """For each query the k rows nearest to it, other than those of its own id, by exact squares of differences; within its bound, if there are bounds."""
     found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-    for q, vector in zip(query_ids, queries, strict=True):
+    for i, (q, vector) in enumerate(zip(query_ids, queries, strict=True)):
         square = ((rows - vector) ** 2).sum(1)
         square[ids == q] = np.inf
-        at = np.nonzero(square <= np.partition(square, min(k, len(square)) - 1)[min(k, len(square)) - 1])[0]
+        most = np.partition(square, min(k, len(square)) - 1)[min(k, len(square)) - 1]
+        at = np.nonzero(square <= (most if bounds is None else min(most, bounds[i])))[0]
         at = at[np.isfinite(square[at])]
         at = at[np.lexsort((ids[at], square[at]))][:k]
         found.append((np.full(len(at), q), ids[at], square[at]))
@@ -172,7 +178,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = NEAREST, recall: fl
     total = rows.count()
     sample = rows.orderBy(F.xxhash64("vec_id"), "vec_id", "v").limit(SAMPLE).toPandas()
     points = np.stack(sample["v"].to_numpy()).astype(np.float64)
-    tree = fit_tree(points, max(8, LEAF_ROWS * len(points) // total))
+    tree = fit_tree(points, max(8, max(LEAF_ROWS, math.isqrt(total)) * len(points) // total))
     sent = spark.sparkContext.broadcast(tree)
 
     @F.arrow_udf("int")
@@ -199,28 +205,35 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = NEAREST, recall: fl
         return pa.array([_visits(sent.value, facts.value, q, width, k + 1) for q in _matrix(v, dimension)], pa.list_(pa.int32()))
 
     visits = cut(asked.select(F.col("vec_id").alias("query_id"), F.col("v").alias("q"), visited("v").alias("leaves")))
-    visits = visits.select("query_id", "q", F.explode("leaves").alias("leaf"))
+    first = -(-width // FIRST)
+    near = cut(_top(_meet(placed, visits.withColumns({"leaves": F.slice("leaves", 1, first), "bound": F.lit(math.inf)}), sizes, k, dimension), k))
+    bounds = near.where(F.col("rank") == k).select("query_id", F.col("square").alias("bound"))
+    rest = visits.join(bounds, "query_id", "left").select("query_id", "q", F.expr(f"slice(leaves, {first + 1}, size(leaves))").alias("leaves"), F.coalesce("bound", F.lit(math.inf)).alias("bound"))
+    both = near.drop("rank").unionByName(_meet(placed, rest, sizes, k, dimension))
+    return _top(both, k).select("query_id", F.col("rank").cast("int"), "vec_id", F.sqrt("square").alias("score"))
+
+
+def _meet(placed: DataFrame, visits: DataFrame, sizes: np.ndarray, k: int, dimension: int) -> DataFrame:
+    """For every query (query_id, q, leaves, bound) the k nearest of each block of the leaves it visits, within its bound."""
+    visits = visits.select("query_id", "q", "bound", F.explode("leaves").alias("leaf"))
     popular = visits.groupBy("leaf").agg(F.count("*").alias("asked"))
-    full = spark.createDataFrame(pd.DataFrame({"leaf": np.arange(tree.leaves, dtype=np.int32), "held": sizes}))
-    parts = F.broadcast(  # one row a leaf
-        full.join(popular, "leaf").select(
-            F.col("leaf").cast("int"), F.ceil(F.col("held") / BLOCK).cast("int").alias("row_parts"), F.ceil(F.col("asked") / BLOCK).cast("int").alias("query_parts")
-        )
-    )
+    held = placed.sparkSession.createDataFrame(pd.DataFrame({"leaf": np.arange(len(sizes), dtype=np.int32), "held": sizes}), "leaf int, held long")
+    blocks = lambda n: F.ceil(F.col(n) / BLOCK).cast("int").alias(f"{n}_parts")
+    parts = F.broadcast(held.join(popular, "leaf").where("held > 0").select("leaf", blocks("held"), blocks("asked")))  # one row a leaf
     spread = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     own = lambda column, n: F.pmod(F.xxhash64(column), F.col(n)).cast("int")
-    left = placed.join(parts, "leaf").select("leaf", own("vec_id", "row_parts").alias("r"), spread("query_parts").alias("s"), "vec_id", "v")
-    right = visits.join(parts, "leaf").where("row_parts > 0").select("leaf", spread("row_parts").alias("r"), own("query_id", "query_parts").alias("s"), "query_id", "q")
+    left = placed.join(parts, "leaf").select("leaf", own("vec_id", "held_parts").alias("r"), spread("asked_parts").alias("s"), "vec_id", "v")
+    right = visits.join(parts, "leaf").select("leaf", spread("held_parts").alias("r"), own("query_id", "asked_parts").alias("s"), "query_id", "q", "bound")
 
     def meet(one: pa.Table, other: pa.Table) -> pa.Table:
         if not one.num_rows or not other.num_rows:
             return pa.table({"query_id": pa.array([], pa.int64()), "vec_id": pa.array([], pa.int64()), "square": pa.array([], pa.float64())})
         a, b = one.combine_chunks().to_batches()[0], other.combine_chunks().to_batches()[0]
-        return pa.table(_nearest_of(a["vec_id"].to_numpy(), _matrix(a["v"], dimension), b["query_id"].to_numpy(), _matrix(b["q"], dimension), k))
+        asked = b["query_id"].to_numpy(), _matrix(b["q"], dimension)
+        return pa.table(_nearest_of(a["vec_id"].to_numpy(), _matrix(a["v"], dimension), *asked, k, b["bound"].to_numpy()))
 
     key = ["leaf", "r", "s"]
-    near = left.groupBy(*key).cogroup(right.groupBy(*key)).applyInArrow(meet, NEAR)
-    return _top(near, k).select("query_id", F.col("rank").cast("int"), "vec_id", F.sqrt("square").alias("score"))
+    return left.groupBy(*key).cogroup(right.groupBy(*key)).applyInArrow(meet, NEAR)
 
 
 def op1_kmeans_tree_search(spark: SparkSession, sf_dir: str) -> DataFrame:
