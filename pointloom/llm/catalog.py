@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pointloom.llm import ann, language, line_dedup, ngram_join, packing, secrets, sharding, toxicity
+from pointloom.llm import ann, language, line_dedup, ngram_join, packing, secrets, sharding, spotsigs, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
@@ -14,6 +14,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         ann.op1_kmeans_tree_search,
         toxicity.op2_kneser_ney_toxicity,
         line_dedup.op3_deletion_line_dedup,
+        spotsigs.op4_spotsigs,
         ngram_join.op5_adaptive_prefix_join,
         language.op6_language_mixture,
         secrets.op7_token_efficiency_secrets,
