@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pointloom.llm import ann, language, line_dedup, ngram_join, packing, secrets, sharding, spotsigs, toxicity
+from pointloom.llm import ann, bpe, language, line_dedup, ngram_join, packing, secrets, sharding, spotsigs, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
@@ -19,6 +19,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         language.op6_language_mixture,
         secrets.op7_token_efficiency_secrets,
         sharding.op8_prefix_sum_shards,
+        bpe.op9_higher_order_bpe,
         packing.op10_configuration_packing,
     )
 }
