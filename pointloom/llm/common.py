@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,17 +14,30 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the shared folder named in spark.checkpoint.dir; only where it is unset (tests), a folder of our own."""
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="pointloom-"))
+_own_folder: list[str] = []
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder named in spark.checkpoint.dir; only where it is unset (tests), one of our own."""
+    if path := spark.conf.get("spark.checkpoint.dir", None):
+        return path
+    if not _own_folder:
+        _own_folder.append(tempfile.mkdtemp(prefix="pointloom-"))
+    return _own_folder[0]
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Write df to the shared checkpoint folder, and read it from there from now on."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Write df to a table in the shared folder, and read it from there from now on.
+
+    Lost executors then cost no more than the step at hand. What was shuffled to make df is of no use any more: the
+    collection of garbage lets Spark's cleaner drop those files, once nobody holds the tables they belong to.
+    """
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/pointloom-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def partitions(spark: SparkSession) -> int:
@@ -38,10 +53,10 @@ def id_bucket(column: str, modulus: int) -> Column:
 FILTER_BITS = 24
 
 
-def maybe_in(rows: DataFrame, column: str, wanted: DataFrame) -> DataFrame:
-    """rows without most of those whose `column` is not among the values of wanted's only column, which is to be a table
-    at rest: told by hashes in a bitmap of fixed size. Before a semi-join, it spares the shuffle most rows; any wanted
-    row stays. Nulls are values."""
+def maybe_in(rows: DataFrame, column: str, wanted: DataFrame, maybe: bool = True) -> DataFrame:
+    """rows whose `column` may be among the values of wanted's only column, which is to be a table at rest; or, with
+    maybe=False, the other rows, which surely are not. Hashes in a bitmap of fixed size tell. Before a join, this spares
+    the shuffle most rows. Nulls are values."""
     place = lambda c: F.pmod(F.xxhash64(c), F.lit(1 << FILTER_BITS))
     at = wanted.select(place(wanted.columns[0]).alias("at"))
     found = at.groupBy(F.shiftright("at", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(at % 64 as int))")).alias("mask"))
@@ -49,4 +64,4 @@ def maybe_in(rows: DataFrame, column: str, wanted: DataFrame) -> DataFrame:
     masks = words.agg(F.sort_array(F.collect_list(F.struct("word", F.coalesce("mask", F.lit(0)).alias("mask")))).alias("m")).select("m.mask")
     here = place(column)
     bit = F.call_function("shiftright", masks.scalar()[F.shiftright(here, 6)], (here % 64).cast("int"))
-    return rows.where(bit.bitwiseAND(F.lit(1)) == 1)
+    return rows.where(bit.bitwiseAND(F.lit(1)) == int(maybe))

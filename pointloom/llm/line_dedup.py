@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from pointloom.llm.common import cut, table
+from pointloom.llm.common import cut, maybe_in, table
 
 #: Shorter lines are only compared for equality: one word of them is too large a part.
 LEAST_WORDS = 8
@@ -49,9 +49,9 @@ def _halves() -> Column:
 
 def _may_have_partner(distinct: DataFrame) -> DataFrame:
     """k1, k2 and first of lines that share a half with another."""
-    halves = distinct.where(F.col("halves").isNotNull()).select("k1", "k2", "first", F.explode("halves").alias("half"))
+    halves = distinct.where(F.col("halves").isNotNull()).select("k1", F.explode("halves").alias("half"))
     shared = halves.groupBy("half").agg(F.count("*").alias("lines")).where("lines > 1").select("half")
-    return halves.join(shared, "half").groupBy("k1", "k2").agg(F.min("first").alias("first"))
+    return distinct.select("k1", "k2", "first").join(halves.join(shared, "half").select("k1").distinct(), "k1")
 
 
 def _deletions(lines: DataFrame) -> DataFrame:
@@ -91,8 +91,9 @@ def _near_earlier(distinct: DataFrame, docs: DataFrame, id_column: str) -> DataF
     """k1, k2, near: the earliest line before it that a line is one edit from."""
     wanted = cut(_may_have_partner(distinct))
     # The words of these lines, from the documents where they stand first.
-    homes = docs.join(wanted.select(F.col("first.id").alias("home")).distinct(), F.col(id_column).eqNullSafe(F.col("home")), "left_semi")
-    found = _keyed(homes, id_column).dropDuplicates(["k1", "k2"]).select("k1", "k2", "words")
+    home = cut(wanted.select(F.col("first.id").alias("home")).distinct())
+    homes = maybe_in(docs, id_column, home).join(home, F.col(id_column).eqNullSafe(F.col("home")), "left_semi")
+    found = maybe_in(_keyed(homes, id_column), "k1", wanted.select("k1")).dropDuplicates(["k1", "k2"]).select("k1", "k2", "words")
     lines = cut(found.join(wanted, ["k1", "k2"]).select(F.struct("first", "k1", "k2").alias("me"), "words"))
     variants = cut(_deletions(lines))
     side = lambda *roles: F.min(F.when(F.col("role").isin(*roles), F.col("me")))
@@ -130,17 +131,20 @@ def repeated_lines(docs: DataFrame, id_column: str = "doc_id", least_words: int
 def drop_repeated_lines(docs: DataFrame, id_column: str = "doc_id", least_words: int = LEAST_WORDS) -> DataFrame:
     """docs without the lines that repeated_lines finds, n_chars (if there) following; rows left without a word go,
     unless they had none before. Other columns stay as they are."""
-    gone = repeated_lines(docs, id_column, least_words).distinct().groupBy(id_column).agg(F.sort_array(F.collect_list("line_no")).alias("_ld_gone"))
-    gone = gone.select(F.col(id_column).alias("_ld_id"), "_ld_gone")
-    both = docs.join(gone, docs[id_column].eqNullSafe(gone["_ld_id"]), "left")
-    lines = F.split("text", "\n")
-    marked = F.transform(lines, lambda x, i: F.struct(x.alias("x"), F.array_contains("_ld_gone", i).alias("gone")))
+    gone = repeated_lines(docs, id_column, least_words).distinct().groupBy(id_column).agg(F.collect_list("line_no").alias("_ld_gone"))
+    gone = cut(gone.select(F.col(id_column).alias("_ld_id"), "_ld_gone"))
+    ids = gone.select("_ld_id")
+    both = maybe_in(docs, id_column, ids).join(gone, F.col(id_column).eqNullSafe(F.col("_ld_id")), "left")
+    marked = F.transform(F.split("text", "\n"), lambda x, i: F.struct(x.alias("x"), F.array_contains("_ld_gone", i).alias("gone")))
     text = F.array_join(F.transform(F.filter(marked, lambda m: ~m["gone"]), lambda m: m["x"]), "\n")
     out = both.withColumn("_ld_text", F.when(F.col("_ld_gone").isNull(), F.col("text")).otherwise(text))
     out = out.where(F.col("_ld_gone").isNull() | F.col("_ld_text").rlike("[^\\x20\\x09-\\x0D]"))
-    n_chars = [F.length("_ld_text").cast(docs.schema["n_chars"].dataType).alias("n_chars")] if "n_chars" in docs.columns else []
-    names = {"text": F.col("_ld_text").alias("text")} | ({"n_chars": n_chars[0]} if n_chars else {})
-    return out.select(*(names.get(c, F.col(c)) for c in docs.columns))
+    changed = {"text": F.col("_ld_text").alias("text")}
+    if "n_chars" in docs.columns:
+        n = F.when(F.col("_ld_gone").isNull(), F.col("n_chars")).otherwise(F.length("_ld_text"))
+        changed["n_chars"] = n.cast(docs.schema["n_chars"].dataType).alias("n_chars")
+    out = out.select(*(changed.get(c, F.col(c)) for c in docs.columns))
+    return out.unionByName(maybe_in(docs, id_column, ids, maybe=False))
 
 
 def op3_deletion_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
