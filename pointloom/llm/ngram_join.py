@@ -23,13 +23,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pointloom.llm.common import cut, table
+from pointloom.llm.common import cut, maybe_in, table
 from pointloom.llm.graph import connected_components
 from pointloom.llm.shingles import WORDS, Shingler, set_keys
 
 PERCENT = 75
-#: Multi-match prefixes go up to this many common n-grams; verifying a pair costs as much as reading so many postings.
-MOST_MATCHES = 8
+#: Multi-match prefixes go up to this many common n-grams, or to this part of a set, if that is more.
+MOST_MATCHES, MOST_PART = 8, 16
+#: Verifying a pair costs as much as reading so many postings.
 VERIFY_COST = 8
 BUCKET_BITS = 17
 
@@ -39,6 +40,11 @@ def _least(n: Column, percent: int) -> Column:
     return F.ceil(n * percent / 100).cast("int")
 
 
+def _most(n: Column) -> Column:
+    """How many common n-grams a set's longest prefix asks for."""
+    return F.greatest(F.lit(MOST_MATCHES), F.floor(n / MOST_PART).cast("int"))
+
+
 def _sizes_and_buckets(docs: DataFrame, id_column: str, words: int) -> DataFrame:
     """(id, n, k1, k2) of every row, two hashes of its whole set naming an entity; and for each task one row of only `counts`, its n-grams by bucket."""
     kind = docs.schema[id_column].dataType.simpleString()
@@ -65,7 +71,7 @@ def _ordered(found: np.ndarray, crowd: np.ndarray, percent: int) -> np.ndarray:
     """The longest prefix of a set that may be asked for."""
     least = -(-len(found) * percent // 100)
     bucket = (found >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)
-    return found[np.lexsort((found, crowd[bucket]))][: len(found) - least + MOST_MATCHES]
+    return found[np.lexsort((found, crowd[bucket]))][: len(found) - least + max(MOST_MATCHES, len(found) // MOST_PART)]
 
 
 def _prefix_grams(docs: DataFrame, crowd, words: int, percent: int) -> DataFrame:
@@ -106,15 +112,15 @@ def _whole_sets(docs: DataFrame, crowd, words: int, percent: int) -> DataFrame:
 
 
 def _entities(docs: DataFrame, id_column: str, sets: DataFrame, crowd, words: int, percent: int) -> DataFrame:
-    """Entities that may have a partner: id, k1, k2, n, prefix, grams. A partner shares MOST_MATCHES n-grams of the
-    longest prefix at least, or all those it must share, if they are fewer."""
+    """Entities that may have a partner: id, k1, k2, n, prefix, grams. A partner shares as many n-grams
+    of the longest prefix as that asks for, or all those it must share, if they are fewer."""
     prefix = _prefix_grams(docs, crowd, words, percent)
     shared = prefix.groupBy("gram").agg(F.count("*").alias("df")).where("df > 1")
     met = prefix.join(shared.select("gram").hint("shuffle_hash"), "gram").groupBy("k1").agg(F.count("*").alias("met"))
-    wanted = sets.join(met, "k1").where(F.col("met") >= F.least(F.lit(MOST_MATCHES), _least(F.col("n"), percent)))
-    low = wanted.select(F.col("low")).distinct()
-    texts = docs.join(low, F.col(id_column).eqNullSafe(F.col("low")), "left_semi")
-    return cut(_whole_sets(texts, crowd, words, percent)).withColumn("id", F.monotonically_increasing_id())  # of a table at rest: always the same
+    wanted = sets.join(met, "k1").where(F.col("met") >= F.least(_most(F.col("n")), _least(F.col("n"), percent)))
+    low = cut(wanted.select(F.col("low")).distinct())
+    texts = maybe_in(docs, id_column, low).join(low, F.col(id_column).eqNullSafe(F.col("low")), "left_semi")
+    return cut(_whole_sets(texts, crowd, words, percent).withColumn("id", F.monotonically_increasing_id()))  # numbered once, at rest
 
 
 def _prefixes(entities: DataFrame, percent: int) -> DataFrame:
@@ -122,13 +128,14 @@ def _prefixes(entities: DataFrame, percent: int) -> DataFrame:
     spare = F.col("n") - _least(F.col("n"), percent)
     grams = entities.select("id", "n", spare.alias("spare"), F.posexplode("prefix").alias("at", "gram"))
     shared = grams.groupBy("gram").agg(F.count("*").alias("df")).where("df > 1")
-    grams = cut(grams.join(shared, "gram"))
-    read = lambda m: F.coalesce(F.sum(F.when(F.col("at") < F.col("spare") + m, F.col("df"))), F.lit(0))
-    costs = F.array(*(F.struct((read(m) * (1 + VERIFY_COST / m)).alias("cost"), F.lit(m).alias("m")) for m in range(1, MOST_MATCHES + 1)))
-    chosen = grams.groupBy("id", "n").agg(F.array_min(costs)["m"].alias("m"), (F.sum("df") / F.col("n")).alias("central"))
-    chosen = chosen.select(F.col("id").alias("own"), F.least("m", _least(F.col("n"), percent)).alias("matches"), "central")
-    out = grams.join(chosen, F.col("id") == F.col("own")).where(F.col("at") < F.col("spare") + F.col("matches"))
-    return out.select("gram", "id", "n", "central", "matches")
+    own = grams.join(shared, "gram").groupBy("id", "n", "spare").agg(F.collect_list(F.struct("at", "gram", "df")).alias("own"))
+    choices = [*(F.lit(m) for m in range(1, MOST_MATCHES)), _most(F.col("n"))]
+    read = lambda m: F.aggregate("own", F.lit(0).cast("long"), lambda x, g: x + F.when(g["at"] < F.col("spare") + m, g["df"]).otherwise(0))
+    cheapest = F.array_min(F.array(*(F.struct((read(m) * (1 + VERIFY_COST / m)).alias("cost"), m.alias("m")) for m in choices)))["m"]
+    chosen = own.withColumn("matches", F.least(cheapest, _least(F.col("n"), percent)))
+    central = (F.aggregate("own", F.lit(0).cast("long"), lambda x, g: x + g["df"]) / F.col("n")).cast("float")
+    used = F.filter("own", lambda g: g["at"] < F.col("spare") + F.col("matches"))
+    return chosen.select(F.explode(F.transform(used, lambda g: g["gram"])).alias("gram"), "id", "n", central.alias("central"), "matches")
 
 
 def _verified(pairs: DataFrame, entities: DataFrame, percent: int) -> DataFrame:
@@ -193,5 +200,18 @@ def similar_components(docs: DataFrame, id_column: str = "doc_id", words: int =
     return out.union(meta.where("n = 0").select(id_column, F.lit(0).cast("long"), id_column))
 
 
+def one_of_each_component(docs: DataFrame, id_column: str = "doc_id", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """docs without rows whose component has a smaller id; all columns of the others stay as they are.
+
+    Rows that share an id stay or go together, but of those with the same text, one stays.
+    """
+    found = cut(similar_components(docs, id_column, words, percent))
+    by_id = found.groupBy(F.col(id_column).alias("_ng_id")).agg(F.max(F.col(id_column).eqNullSafe(F.col("component_id"))).alias("first"), F.count("*").alias("rows"))
+    moot = cut(by_id.where("not first or rows > 1").select("_ng_id", "first"))
+    ids = moot.select("_ng_id")
+    kept = maybe_in(docs, id_column, ids).join(moot.where("not first"), F.col(id_column).eqNullSafe(F.col("_ng_id")), "left_anti")
+    return kept.dropDuplicates([id_column, "text"]).unionByName(maybe_in(docs, id_column, ids, maybe=False))
+
+
 def op5_adaptive_prefix_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similar_components(table(spark, sf_dir, "documents"))
