@@ -20,8 +20,8 @@ LEAST_SCORE = 0.4
 
 def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a language: rejected are texts without letters, and mixtures without a main language."""
-    found = predict_languages(docs, train_language_model(docs))
-    return found.where((F.col("language.lang_pred") != UNDETERMINED) & (F.col("language.score") >= LEAST_SCORE)).select(*docs.columns)
+    found = predict_languages(docs, train_language_model(docs), column="_lid")
+    return found.where((F.col("_lid.lang_pred") != UNDETERMINED) & (F.col("_lid.score") >= LEAST_SCORE)).select(*docs.columns)
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -129,8 +129,8 @@ def train_language_model(docs: DataFrame, text: str = "text", lang: str = "lang"
 PREDICTED = T.StructType([T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("mixture", T.MapType(T.StringType(), T.DoubleType()))])
 
 
-def predict_languages(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """docs with a column `language`: (lang_pred, score, mixture).
+def predict_languages(docs: DataFrame, model: Model, text: str = "text", column: str = "language") -> DataFrame:
+    """docs with a column, in place of one of that name: (lang_pred, score, mixture).
 
     lang_pred is the language of the largest proportion in the chosen set, score its proportion (ties: first by name);
     mixture has every chosen language. A null text, or one without a letter, is `und` with score 0 and an empty
@@ -149,7 +149,7 @@ def predict_languages(docs: DataFrame, model: Model, text: str = "text") -> Data
             yield pa.array(rows, kind)
 
     infer.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
-    return docs.withColumn("language", F.arrow_udf(infer, PREDICTED)(F.col(text)))
+    return docs.withColumn(column, F.arrow_udf(infer, PREDICTED)(F.col(text)))
 
 
 def op6_language_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -31,7 +31,7 @@ def prefix_sum_shards(rows: DataFrame, order: list[str], size: str = "size", sha
     A row goes to the shard into whose equal share of all bytes its middle byte falls. So shards are contiguous in
     the order, and their sizes differ from the target by less than the largest row. Rows equal in every column of
     `order` and in size may stand in for one another. An empty table gives an empty result. `rows` must not have
-    columns that start with `_ps_`; any other columns are carried along.
+    columns that start with `_ps_`; other columns are carried along, but for those named shard, slot or start.
     """
     spark = rows.sparkSession
     order = [*order, size]
@@ -53,7 +53,7 @@ def prefix_sum_shards(rows: DataFrame, order: list[str], size: str = "size", sha
     )
     first = placed.groupBy("shard").agg(F.min("_ps_row").alias("_ps_first"))  # one row a shard
     placed = placed.join(F.broadcast(first), "shard").withColumn("slot", F.col("_ps_row") - F.col("_ps_first"))
-    return placed.select(*rows.columns, "shard", "slot", "start")
+    return placed.select(*(c for c in rows.columns if c not in ("shard", "slot", "start")), "shard", "slot", "start")
 
 
 def op8_prefix_sum_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
