@@ -244,6 +244,8 @@ class Collection:
     @classmethod
     def restore(cls, spark: SparkSession, snapshot: str, path: str) -> Collection:
         """Checks the snapshot's settings and row counts before anything is written."""
+        if _Files(spark, path).exists():
+            raise CollectionExistsError(path)
         if not _Files(spark, snapshot).exists("manifest.json"):
             raise SnapshotError(f"{snapshot} has no manifest")
         source = cls(spark, snapshot)
