@@ -30,6 +30,8 @@ from pointloom.llm.shingles import WORDS, Shingler, set_keys
 PERCENT = 75
 #: Multi-match prefixes go up to this many common n-grams, or to this part of a set, if that is more.
 MOST_MATCHES, MOST_PART = 8, 16
+#: An entity asks for one of these numbers, or for the most.
+FEW_MATCHES = (1, 2, 4)
 #: Verifying a pair costs as much as reading so many postings.
 VERIFY_COST = 8
 BUCKET_BITS = 17
@@ -114,7 +116,7 @@ def _whole_sets(docs: DataFrame, crowd, words: int, percent: int) -> DataFrame:
 def _entities(docs: DataFrame, id_column: str, sets: DataFrame, crowd, words: int, percent: int) -> DataFrame:
     """Entities that may have a partner: id, k1, k2, n, prefix, grams. A partner shares as many n-grams
     of the longest prefix as that asks for, or all those it must share, if they are fewer."""
-    prefix = _prefix_grams(docs, crowd, words, percent)
+    prefix = cut(_prefix_grams(docs, crowd, words, percent))
     shared = prefix.groupBy("gram").agg(F.count("*").alias("df")).where("df > 1")
     met = prefix.join(shared.select("gram").hint("shuffle_hash"), "gram").groupBy("k1").agg(F.count("*").alias("met"))
     wanted = sets.join(met, "k1").where(F.col("met") >= F.least(_most(F.col("n")), _least(F.col("n"), percent)))
@@ -124,18 +126,18 @@ def _entities(docs: DataFrame, id_column: str, sets: DataFrame, crowd, words: in
 
 
 def _prefixes(entities: DataFrame, percent: int) -> DataFrame:
-    """gram, id, n, central, matches: each entity's prefix at its cheapest number of matches, without n-grams of its own."""
+    """gram, at (its place), id, n, central, matches: each entity's prefix at its cheapest number of matches, without n-grams of its own."""
     spare = F.col("n") - _least(F.col("n"), percent)
     grams = entities.select("id", "n", spare.alias("spare"), F.posexplode("prefix").alias("at", "gram"))
     shared = grams.groupBy("gram").agg(F.count("*").alias("df")).where("df > 1")
     own = grams.join(shared, "gram").groupBy("id", "n", "spare").agg(F.collect_list(F.struct("at", "gram", "df")).alias("own"))
-    choices = [*(F.lit(m) for m in range(1, MOST_MATCHES)), _most(F.col("n"))]
+    choices = [*map(F.lit, FEW_MATCHES), _most(F.col("n"))]
     read = lambda m: F.aggregate("own", F.lit(0).cast("long"), lambda x, g: x + F.when(g["at"] < F.col("spare") + m, g["df"]).otherwise(0))
     cheapest = F.array_min(F.array(*(F.struct((read(m) * (1 + VERIFY_COST / m)).alias("cost"), m.alias("m")) for m in choices)))["m"]
     chosen = own.withColumn("matches", F.least(cheapest, _least(F.col("n"), percent)))
     central = (F.aggregate("own", F.lit(0).cast("long"), lambda x, g: x + g["df"]) / F.col("n")).cast("float")
     used = F.filter("own", lambda g: g["at"] < F.col("spare") + F.col("matches"))
-    return chosen.select(F.explode(F.transform(used, lambda g: g["gram"])).alias("gram"), "id", "n", central.alias("central"), "matches")
+    return chosen.select(F.explode(used).alias("g"), "id", "n", central.alias("central"), "matches").select("g.gram", "g.at", "id", "n", "central", "matches")
 
 
 def _verified(pairs: DataFrame, entities: DataFrame, percent: int) -> DataFrame:
@@ -145,14 +147,20 @@ def _verified(pairs: DataFrame, entities: DataFrame, percent: int) -> DataFrame:
     return both.where(F.col("both") * 100 >= percent * (F.col("n_a") + F.col("n_b") - F.col("both"))).select("a", "b")
 
 
-def _alike(n: Column, m: Column, percent: int) -> Column:
-    return F.least(n, m) * 100 >= F.greatest(n, m) * percent
+def _may_meet(a: str, b: str, percent: int) -> Column:
+    """Whether a shared n-gram counts for a pair: the sizes allow enough similarity, and it stands within both prefixes
+    for the overlap that these two sizes ask for, which is more than each set asks for alone."""
+    c = lambda side, name: F.col(f"{side}.{name}")
+    n, m, asked = c(a, "n"), c(b, "n"), F.least(c(a, "matches"), c(b, "matches"))
+    overlap = F.ceil((n + m) * percent / (100 + percent))
+    within = (c(a, "at") < n - overlap + asked) & (c(b, "at") < m - overlap + asked)
+    return (F.least(n, m) * 100 >= F.greatest(n, m) * percent) & within
 
 
 def _links_to_central(prefixes: DataFrame, entities: DataFrame, percent: int) -> DataFrame:
     """Each entity with the two of the centres of its prefix n-grams that it shares most of them with, verified."""
-    centre = prefixes.groupBy("gram").agg(F.max(F.struct("central", "id", "n")).alias("c"), F.count("*").alias("k")).where("k > 1")
-    seen = prefixes.join(centre, "gram").where((F.col("id") != F.col("c.id")) & _alike(F.col("n"), F.col("c.n"), percent))
+    centre = prefixes.groupBy("gram").agg(F.max(F.struct("central", "id", "n", "at", "matches")).alias("c"), F.count("*").alias("k")).where("k > 1")
+    seen = prefixes.alias("p").join(centre, "gram").where((F.col("id") != F.col("c.id")) & _may_meet("p", "c", percent))
     counted = seen.groupBy("id", F.col("c.id").alias("b")).agg(F.count("*").alias("k"))
     two = counted.groupBy("id").agg(F.max(F.struct("k", "b")).alias("x"), F.min(F.struct(-F.col("k"), F.col("b"))).alias("y"))
     pairs = two.select(F.col("id").alias("a"), F.explode(F.array_distinct(F.array("x.b", "y.b"))).alias("b"))
@@ -161,12 +169,12 @@ def _links_to_central(prefixes: DataFrame, entities: DataFrame, percent: int) ->
 
 def _links_between(prefixes: DataFrame, labels: DataFrame, entities: DataFrame, percent: int) -> DataFrame:
     """All similar pairs between entities of different components."""
-    own = prefixes.join(labels, prefixes["id"] == labels["v"], "left").select("gram", "id", "n", "matches", F.coalesce("c", "id").alias("c"))
+    own = prefixes.join(labels, prefixes["id"] == labels["v"], "left").select("gram", "at", "id", "n", "matches", F.coalesce("c", "id").alias("c"))
     split = own.groupBy("gram").agg(F.min("c").alias("x"), F.max("c").alias("y")).where("x != y").select("gram")
     own = own.join(split, "gram")
     a, b = own.alias("a"), own.alias("b")
     same = (F.col("a.gram") == F.col("b.gram")) & (F.col("a.id") < F.col("b.id")) & (F.col("a.c") != F.col("b.c"))
-    met = a.join(b, same & _alike(F.col("a.n"), F.col("b.n"), percent))
+    met = a.join(b, same & _may_meet("a", "b", percent))
     counted = met.groupBy(F.col("a.id").alias("a"), F.col("b.id").alias("b")).agg(F.count("*").alias("k"), F.first(F.least("a.matches", "b.matches")).alias("need"))
     return _verified(counted.where("k >= need").select("a", "b"), entities, percent)
 
