@@ -35,6 +35,7 @@ FEW_MATCHES = (1, 2, 4)
 #: Verifying a pair costs as much as reading so many postings.
 VERIFY_COST = 8
 BUCKET_BITS = 17
+COUNTED_AT_ONCE = 1 << 20
 
 
 def _least(n: Column, percent: int) -> Column:
@@ -53,27 +54,30 @@ def _sizes_and_buckets(docs: DataFrame, id_column: str, words: int) -> DataFrame
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles, counts, schema = Shingler(words), np.zeros(1 << BUCKET_BITS, np.int64), None
+        some: list[np.ndarray] = []
         for batch in batches:
-            ids, sizes, keys = batch[0], [], []
-            for text in batch[1]:
-                found = shingles(text.as_py())
-                counts += np.bincount((found >> np.uint64(64 - BUCKET_BITS)).astype(np.int64), minlength=len(counts))
-                sizes.append(len(found))
-                keys.append(set_keys(found))
+            ids, sets = batch[0], [shingles(text.as_py()) for text in batch[1]]
+            sizes, keys = [len(s) for s in sets], [set_keys(s) for s in sets]
+            for s in sets:
+                some.append((s >> np.uint64(64 - BUCKET_BITS)).astype(np.int32))
+            if sum(map(len, some)) > COUNTED_AT_ONCE:  # a count passes over all buckets, so few are made
+                counts += np.bincount(np.concatenate(some), minlength=len(counts))
+                some = []
             k1, k2 = ([k[i] for k in keys] for i in (0, 1))
             schema = pa.schema([("id", ids.type), ("n", pa.int32()), ("k1", pa.int64()), ("k2", pa.int64()), ("counts", pa.list_(pa.int64()))])
             yield pa.record_batch([ids, pa.array(sizes, pa.int32()), pa.array(k1, pa.int64()), pa.array(k2, pa.int64()), pa.nulls(len(ids), pa.list_(pa.int64()))], schema=schema)
         if schema is not None:
+            counts += np.bincount(np.concatenate(some or [np.empty(0, np.int32)]), minlength=len(counts))
             yield pa.record_batch([pa.nulls(1, f.type) for f in list(schema)[:4]] + [pa.array([counts], pa.list_(pa.int64()))], schema=schema)
 
     return docs.select(id_column, F.col("text").cast("binary")).mapInArrow(task, f"id {kind}, n int, k1 long, k2 long, counts array<long>")
 
 
 def _ordered(found: np.ndarray, crowd: np.ndarray, percent: int) -> np.ndarray:
-    """The longest prefix of a set that may be asked for."""
+    """The longest prefix of a sorted set that may be asked for; crowd has the buckets' ranks, in 16 bits, which sort in linear time."""
     least = -(-len(found) * percent // 100)
-    bucket = (found >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)
-    return found[np.lexsort((found, crowd[bucket]))][: len(found) - least + max(MOST_MATCHES, len(found) // MOST_PART)]
+    order = np.argsort(crowd[(found >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)], kind="stable")
+    return found[order[: len(found) - least + max(MOST_MATCHES, len(found) // MOST_PART)]]
 
 
 def _prefix_grams(docs: DataFrame, crowd, words: int, percent: int) -> DataFrame:
@@ -130,14 +134,13 @@ def _prefixes(entities: DataFrame, percent: int) -> DataFrame:
     spare = F.col("n") - _least(F.col("n"), percent)
     grams = entities.select("id", "n", spare.alias("spare"), F.posexplode("prefix").alias("at", "gram"))
     shared = grams.groupBy("gram").agg(F.count("*").alias("df")).where("df > 1")
-    own = grams.join(shared, "gram").groupBy("id", "n", "spare").agg(F.collect_list(F.struct("at", "gram", "df")).alias("own"))
-    choices = [*map(F.lit, FEW_MATCHES), _most(F.col("n"))]
-    read = lambda m: F.aggregate("own", F.lit(0).cast("long"), lambda x, g: x + F.when(g["at"] < F.col("spare") + m, g["df"]).otherwise(0))
-    cheapest = F.array_min(F.array(*(F.struct((read(m) * (1 + VERIFY_COST / m)).alias("cost"), m.alias("m")) for m in choices)))["m"]
-    chosen = own.withColumn("matches", F.least(cheapest, _least(F.col("n"), percent)))
-    central = (F.aggregate("own", F.lit(0).cast("long"), lambda x, g: x + g["df"]) / F.col("n")).cast("float")
-    used = F.filter("own", lambda g: g["at"] < F.col("spare") + F.col("matches"))
-    return chosen.select(F.explode(used).alias("g"), "id", "n", central.alias("central"), "matches").select("g.gram", "g.at", "id", "n", "central", "matches")
+    own = cut(grams.join(shared, "gram"))
+    choices = {f"c{k}": m for k, m in enumerate([*map(F.lit, FEW_MATCHES), _most(F.col("n"))])}
+    read = [F.sum(F.when(F.col("at") < F.col("spare") + m, F.col("df")).otherwise(0)).alias(c) for c, m in choices.items()]
+    sums = own.groupBy("id", "n").agg(*read, F.sum("df").alias("all"))
+    cheapest = F.least(*(F.struct((F.col(c) * (1 + VERIFY_COST / m)).alias("cost"), m.cast("int").alias("m")) for c, m in choices.items()))["m"]
+    chosen = sums.select("id", (F.col("all") / F.col("n")).cast("float").alias("central"), F.least(cheapest, _least(F.col("n"), percent)).alias("matches"))
+    return own.join(chosen, "id").where(F.col("at") < F.col("spare") + F.col("matches")).select("gram", "at", "id", "n", "central", "matches")
 
 
 def _verified(pairs: DataFrame, entities: DataFrame, percent: int) -> DataFrame:
@@ -193,7 +196,9 @@ def similar_components(docs: DataFrame, id_column: str = "doc_id", words: int =
     crowd = np.zeros(1 << BUCKET_BITS, np.int64)
     for row in sums.toPandas().itertuples():  # as many rows as there are buckets
         crowd[row.bucket] = row.c
-    sent = docs.sparkSession.sparkContext.broadcast(crowd)
+    rank = np.empty(1 << BUCKET_BITS, np.int64)
+    rank[np.argsort(crowd, kind="stable")] = np.arange(1 << BUCKET_BITS)
+    sent = docs.sparkSession.sparkContext.broadcast((rank >> (BUCKET_BITS - 16)).astype(np.uint16))
     sets = meta.where("n > 0").groupBy("k1", "k2", "n").agg(F.min(id_column).alias("low"))
     entities = _entities(docs, id_column, sets, sent, words, percent)
     prefixes = cut(_prefixes(entities, percent))
