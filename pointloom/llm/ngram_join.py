@@ -16,6 +16,7 @@ Only prefixes are shuffled for all documents; whole sets only for those whose pr
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -170,15 +171,43 @@ def _links_to_central(prefixes: DataFrame, entities: DataFrame, percent: int) ->
     return _verified(pairs, entities, percent)
 
 
+def _with_a_chance(own: DataFrame, percent: int) -> DataFrame:
+    """The rows of `own` that can meet one of another component, and `main`, a component of many of their n-gram's rows.
+    For each n-gram, the smallest size and the fewest and most matches of all its rows bound those of any partner. An
+    entity stays if, for some number of matches a partner may have, enough of its places are open to such a partner;
+    what goes may leave others without a chance, so this is done twice."""
+    return _open_places(_open_places(own, percent), percent)
+
+
+def _open_places(own: DataFrame, percent: int) -> DataFrame:
+    columns = [c for c in own.columns if c != "main"]
+    facts = own.groupBy("gram").agg(
+        F.min("c").alias("x"), F.max("c").alias("y"), F.max(F.struct("central", "c"))["c"].alias("main"),
+        F.min("n").alias("small"), F.min("matches").alias("fewest"), F.max("matches").alias("most"),
+    )
+    near = own.drop("main").join(facts.where("x != y").drop("x", "y"), "gram")
+    overlap = F.ceil((F.col("n") + F.greatest("small", _least(F.col("n"), percent))) * percent / (100 + percent))
+    room = F.col("n") - overlap - F.col("at")  # the place is within the prefix for more matches than -room
+    near = near.withColumn("room", room).where(F.col("room") + F.least("matches", "most") > 0)
+    near = cut(near.select(*columns, "main", "fewest", "room"))
+    steps = range(1, MOST_MATCHES + 1)  # a partner asks for so many, or for more than all these
+    open_to = lambda t: F.sum(F.when((F.col("fewest") <= t) & (F.col("room") + F.least("matches", F.lit(t)) > 0), 1).otherwise(0))
+    enough = [open_to(t) >= F.least(F.first("matches"), F.lit(t)) for t in steps]
+    more = F.count("*") >= F.least(F.first("matches"), F.lit(MOST_MATCHES + 1))
+    live = near.groupBy("id").agg(functools.reduce(Column.__or__, enough, more).alias("live")).where("live").select("id")
+    return near.join(live, "id").select(*columns, "main")
+
+
 def _links_between(prefixes: DataFrame, labels: DataFrame, entities: DataFrame, percent: int) -> DataFrame:
-    """All similar pairs between entities of different components."""
-    own = prefixes.join(labels, prefixes["id"] == labels["v"], "left").select("gram", "at", "id", "n", "matches", F.coalesce("c", "id").alias("c"))
-    split = own.groupBy("gram").agg(F.min("c").alias("x"), F.max("c").alias("y")).where("x != y").select("gram")
-    own = own.join(split, "gram")
-    a, b = own.alias("a"), own.alias("b")
-    same = (F.col("a.gram") == F.col("b.gram")) & (F.col("a.id") < F.col("b.id")) & (F.col("a.c") != F.col("b.c"))
-    met = a.join(b, same & _may_meet("a", "b", percent))
-    counted = met.groupBy(F.col("a.id").alias("a"), F.col("b.id").alias("b")).agg(F.count("*").alias("k"), F.first(F.least("a.matches", "b.matches")).alias("need"))
+    """All similar pairs between entities of different components. One of a pair is outside its n-gram's main component."""
+    own = prefixes.join(labels, prefixes["id"] == labels["v"], "left").select("gram", "at", "id", "n", "matches", "central", F.coalesce("c", "id").alias("c"))
+    own = cut(_with_a_chance(own, percent))
+    outside = own.where("c != main")
+    a, b = outside.alias("a"), own.join(outside.select("gram").distinct(), "gram", "left_semi").alias("b")
+    once = (F.col("b.c") == F.col("b.main")) | (F.col("a.id") < F.col("b.id"))
+    met = a.join(b, (F.col("a.gram") == F.col("b.gram")) & (F.col("a.c") != F.col("b.c")) & once & _may_meet("a", "b", percent))
+    met = met.select(F.least("a.id", "b.id").alias("a"), F.greatest("a.id", "b.id").alias("b"), F.least("a.matches", "b.matches").alias("need"))
+    counted = met.groupBy("a", "b").agg(F.count("*").alias("k"), F.first("need").alias("need"))
     return _verified(counted.where("k >= need").select("a", "b"), entities, percent)
 
 
