@@ -21,7 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pointloom.llm.common import cut, maybe_in, table
@@ -199,14 +199,23 @@ def _open_places(own: DataFrame, percent: int) -> DataFrame:
 
 
 def _links_between(prefixes: DataFrame, labels: DataFrame, entities: DataFrame, percent: int) -> DataFrame:
-    """All similar pairs between entities of different components. One of a pair is outside its n-gram's main component."""
+    """All similar pairs between entities of different components. One of a pair is outside its n-gram's main component.
+
+    Of the n-grams that a pair must share, at most `half` are among the half most frequent ones of the entity with fewer
+    places: these need not be looked at, if the others are asked for so many matches less."""
     own = prefixes.join(labels, prefixes["id"] == labels["v"], "left").select("gram", "at", "id", "n", "matches", "central", F.coalesce("c", "id").alias("c"))
-    own = cut(_with_a_chance(own, percent))
+    own = _with_a_chance(own, percent)
+    own = own.join(own.groupBy("gram").agg(F.count("*").alias("df")), "gram")
+    of = Window.partitionBy("id")
+    own = cut(own.withColumns({"rank": F.row_number().over(of.orderBy(F.desc("df"), "gram")), "places": F.count("*").over(of)}))
     outside = own.where("c != main")
     a, b = outside.alias("a"), own.join(outside.select("gram").distinct(), "gram", "left_semi").alias("b")
     once = (F.col("b.c") == F.col("b.main")) | (F.col("a.id") < F.col("b.id"))
-    met = a.join(b, (F.col("a.gram") == F.col("b.gram")) & (F.col("a.c") != F.col("b.c")) & once & _may_meet("a", "b", percent))
-    met = met.select(F.least("a.id", "b.id").alias("a"), F.greatest("a.id", "b.id").alias("b"), F.least("a.matches", "b.matches").alias("need"))
+    asked = F.least("a.matches", "b.matches")
+    half = F.floor(asked / 2).cast("int")
+    rank = F.when(F.struct("a.places", "a.id") < F.struct("b.places", "b.id"), F.col("a.rank")).otherwise(F.col("b.rank"))
+    met = a.join(b, (F.col("a.gram") == F.col("b.gram")) & (F.col("a.c") != F.col("b.c")) & once & _may_meet("a", "b", percent) & (rank > half))
+    met = met.select(F.least("a.id", "b.id").alias("a"), F.greatest("a.id", "b.id").alias("b"), (asked - half).alias("need"))
     counted = met.groupBy("a", "b").agg(F.count("*").alias("k"), F.first("need").alias("need"))
     return _verified(counted.where("k >= need").select("a", "b"), entities, percent)
 
