@@ -32,8 +32,11 @@ DIGEST = re.compile(r"(?:[0-9a-f]{32}|[0-9a-f]{40}|[0-9a-f]{56}|[0-9a-f]{64}|[0-
 UUID = re.compile(r"[0-9A-Fa-f]{8}(?:-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}")
 #: Words, numbers and version parts joined by separators: paths, slugs, constants, names in camel case.
 PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+|v[0-9]+")
-IDENTIFIER = re.compile(r"(?:(?:[A-Z]?[a-z]{2,}|[A-Z]{2,}|[0-9]+)[_/=+-]*)+")
+#: (The same strings match without giving back, which on long ones that don't match would never end.)
+IDENTIFIER = re.compile(r"(?:(?:[A-Z]?[a-z]{2,}+|[A-Z]{2,}+|[0-9]++)[_/=+-]*+)++")
 CHARS_A_TOKEN = 2.0
+#: Tokens are counted in pieces of at most so many characters.
+PIECE = 4096
 
 
 @functools.lru_cache(maxsize=4)
@@ -53,6 +56,20 @@ def _known(run: str) -> bool:
     return bool(IDENTIFIER.fullmatch(run)) and sum(map(len, parts)) >= 4 * len(parts)
 
 
+def _dense(run: str, vocabulary: str, bound: float) -> list[tuple[int, int]]:
+    """(start, end) of what has fewer than bound characters a token: all of run, or else those of its pieces that do."""
+    size = -(-len(run) // -(-len(run) // PIECE))  # pieces of about the same length
+    pieces = [(at, min(at + size, len(run))) for at in range(0, len(run), size)]
+    tokens = [len(_vocabulary(vocabulary).encode_ordinary(run[a:b])) for a, b in pieces]
+    if len(run) < bound * sum(tokens):
+        return [(0, len(run))]
+    found: list[tuple[int, int]] = []
+    for (a, b), n in zip(pieces, tokens, strict=True):
+        if b - a < bound * n:
+            found[-1:] = [(found[-1][0], b)] if found and found[-1][1] == a else [*found[-1:], (a, b)]
+    return found
+
+
 def find_spans(text: str, vocabulary: str, bound: float = CHARS_A_TOKEN) -> list[tuple[int, int, int]]:
     """(start, kind's place in KINDS, end) of each span in code points, by start and kind."""
     found = [(m.start(), 0, m.end()) for m in ASSIGN.finditer(text) if m.end(1) - m.start(1) >= 6]
@@ -60,8 +77,8 @@ def find_spans(text: str, vocabulary: str, bound: float = CHARS_A_TOKEN) -> list
     found += [(m.start(), 2, m.end()) for m in HEX.finditer(text)]
     for m in RUN.finditer(text):
         run = m.group()
-        if not _known(run) and len(run) < bound * len(_vocabulary(vocabulary).encode_ordinary(run[:4096])) * max(1, len(run) / 4096):
-            found.append((m.start(), 3, m.end()))
+        if not _known(run):
+            found += [(m.start() + a, 3, m.start() + b) for a, b in _dense(run, vocabulary, bound)]
     return sorted(found)
 
 

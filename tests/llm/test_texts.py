@@ -90,6 +90,21 @@ def test_secrets(spark):
     assert secrets.scan_secrets(empty(spark), secrets.default_vocabulary()).count() == 0
 
 
+def dense(text):
+    return [(a, b) for a, k, b in secrets.find_spans(text, secrets.default_vocabulary()) if secrets.KINDS[k] == "dense"]
+
+
+def test_long_runs_are_read_whole():
+    r = np.random.default_rng(5)
+    words = "international-development_2/configuration=" * 400
+    key = "".join(r.choice(list("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"), 20_000))
+    assert dense("x " + words[:4200] + key) == [(2, 24_202)]  # dense as a whole
+    (a, b), = dense(words + key[:6000])
+    assert len(words) <= a + 4096 and a <= len(words) + 4096 and b == len(words) + 6000
+    (a, b), = dense(key[:6000] + words)
+    assert a == 0 and 6000 - 4096 <= b <= 6000 + 4096
+
+
 def test_bpe_equals_tiktoken(spark):
     ranks = bpe.read_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
     plain = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
