@@ -1,8 +1,9 @@
 """Operator 7: secrets in texts, by fixed shapes and by a test of token efficiency.
 
 Ordinary words cost few tokens under a byte-pair vocabulary; random strings cost nearly one token a character or two.
-A run of key-like characters is flagged when it has fewer characters a token than a bound, unless it is a known digest
-or an identifier: those are random-looking or long, but not secret.
+A run of key-like characters is flagged when it has fewer characters a token than a bound, unless it is a known digest,
+a UUID, a number or an identifier: those are random-looking or long, but not secret. If a run is not flagged as a whole,
+its parts are, each by its own ratio: words glued on by separators hide nothing.
 """
 
 from __future__ import annotations
@@ -26,6 +27,7 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 HEX = re.compile(r"[0-9a-f]{24,}")
 KINDS = ("assign", "access", "hex", "dense")
 
+LEAST = 20
 RUN = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
 #: Digests by their lengths in hex digits: MD5, SHA-1, SHA-224, SHA-256, SHA-384, SHA-512.
 DIGEST = re.compile(r"(?:[0-9a-f]{32}|[0-9a-f]{40}|[0-9a-f]{56}|[0-9a-f]{64}|[0-9a-f]{96}|[0-9a-f]{128}|[0-9A-F]{32}|[0-9A-F]{40}|[0-9A-F]{64})")
@@ -34,6 +36,11 @@ UUID = re.compile(r"[0-9A-Fa-f]{8}(?:-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}")
 PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+|v[0-9]+")
 #: (The same strings match without giving back, which on long ones that don't match would never end.)
 IDENTIFIER = re.compile(r"(?:(?:[A-Z]?[a-z]{2,}+|[A-Z]{2,}+|[0-9]++)[_/=+-]*+)++")
+#: Letters joined one or two at a time: lists of initials, rules.
+UNSPELLED = re.compile(r"[A-Za-z]{0,2}(?:[+/_=-]+[A-Za-z]{0,2})*+")
+LETTERS = re.compile(r"[A-Za-z]+")
+#: The parts of a run between its separators; a UUID is one.
+BETWEEN = re.compile(rf"(?<![A-Za-z0-9]){UUID.pattern}(?![A-Za-z0-9])|[A-Za-z0-9]+")
 CHARS_A_TOKEN = 2.0
 #: Tokens are counted in pieces of at most so many characters.
 PIECE = 4096
@@ -48,37 +55,83 @@ def _vocabulary(path: str):
     return tiktoken.Encoding(path, pat_str=r"[\s\S]+", mergeable_ranks=ranks, special_tokens={})
 
 
-def _known(run: str) -> bool:
-    """Digests, UUIDs, numbers, and identifiers made of parts of four letters a part or more on average."""
-    if DIGEST.fullmatch(run) or UUID.fullmatch(run) or not (re.search("[0-9]", run) and re.search("[A-Za-z]", run)):
+def _tokens(run: str, vocabulary: str) -> list[tuple[int, int, int]]:
+    """(start, end, number of tokens) of pieces of about the same length, PIECE at most."""
+    size = -(-len(run) // -(-len(run) // PIECE))
+    return [(at, min(at + size, len(run)), len(_vocabulary(vocabulary).encode_ordinary(run[at : at + size]))) for at in range(0, len(run), size)]
+
+
+def _known(run: str, vocabulary: str, bound: float) -> bool:
+    """Digests, UUIDs, numbers, letters joined one or two at a time, and identifiers: parts whose letters have bound
+    characters a token or more, and which, if there are digits, have four letters a part or more on average."""
+    if DIGEST.fullmatch(run) or UUID.fullmatch(run) or UNSPELLED.fullmatch(run) or not re.search("[A-Za-z]", run):
         return True
-    parts = PART.findall(run)
-    return bool(IDENTIFIER.fullmatch(run)) and sum(map(len, parts)) >= 4 * len(parts)
+    if not IDENTIFIER.fullmatch(run):
+        return False
+    if re.search("[0-9]", run):
+        parts = PART.findall(run)
+        if sum(map(len, parts)) < 4 * len(parts):
+            return False
+    letters = LETTERS.findall(run)
+    return sum(map(len, letters)) >= bound * sum(n for x in letters for _, _, n in _tokens(x, vocabulary))
 
 
 def _dense(run: str, vocabulary: str, bound: float) -> list[tuple[int, int]]:
     """(start, end) of what has fewer than bound characters a token: all of run, or else those of its pieces that do."""
-    size = -(-len(run) // -(-len(run) // PIECE))  # pieces of about the same length
-    pieces = [(at, min(at + size, len(run))) for at in range(0, len(run), size)]
-    tokens = [len(_vocabulary(vocabulary).encode_ordinary(run[a:b])) for a, b in pieces]
-    if len(run) < bound * sum(tokens):
+    pieces = _tokens(run, vocabulary)
+    if len(run) < bound * sum(n for _, _, n in pieces):
         return [(0, len(run))]
     found: list[tuple[int, int]] = []
-    for (a, b), n in zip(pieces, tokens, strict=True):
+    for a, b, n in pieces:
         if b - a < bound * n:
             found[-1:] = [(found[-1][0], b)] if found and found[-1][1] == a else [*found[-1:], (a, b)]
     return found
 
 
+def _dense_in(run: str, vocabulary: str, bound: float) -> list[tuple[int, int]]:
+    """(start, end) of what is dense in a run: all of it, or else neighbouring parts that are not known, together if
+    they are dense together (base64 has separators within), or else each part by itself."""
+    if _known(run, vocabulary, bound):
+        whole = []
+    elif (whole := _dense(run, vocabulary, bound)) == [(0, len(run))]:
+        return whole
+    groups: list[list[tuple[int, int]]] = [[]]
+    for m in BETWEEN.finditer(run):
+        if _known(m.group(), vocabulary, bound):
+            groups.append([])
+        else:
+            groups[-1].append(m.span())
+    found = []
+    for group in filter(None, groups):
+        a, b = group[0][0], group[-1][1]
+        together = _judged(run, a, b, vocabulary, bound)
+        found += together if together == [(a, b)] else _merged([*together, *(x for p in group for x in _judged(run, *p, vocabulary, bound))])
+    return _merged([*whole, *found])
+
+
+def _judged(run: str, a: int, b: int, vocabulary: str, bound: float) -> list[tuple[int, int]]:
+    if b - a < LEAST or _known(run[a:b], vocabulary, bound):
+        return []
+    return [(a + x, a + y) for x, y in _dense(run[a:b], vocabulary, bound)]
+
+
+def _merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    out: list[tuple[int, int]] = []
+    for a, b in sorted(spans):
+        if out and a <= out[-1][1]:
+            out[-1] = (out[-1][0], max(b, out[-1][1]))
+        else:
+            out.append((a, b))
+    return out
+
+
 def find_spans(text: str, vocabulary: str, bound: float = CHARS_A_TOKEN) -> list[tuple[int, int, int]]:
     """(start, kind's place in KINDS, end) of each span in code points, by start and kind."""
     found = [(m.start(), 0, m.end()) for m in ASSIGN.finditer(text) if m.end(1) - m.start(1) >= 6]
     found += [(m.start(), 1, m.end()) for m in ACCESS.finditer(text)] if "AKIA" in text else []
     found += [(m.start(), 2, m.end()) for m in HEX.finditer(text)]
     for m in RUN.finditer(text):
-        run = m.group()
-        if not _known(run):
-            found += [(m.start() + a, 3, m.start() + b) for a, b in _dense(run, vocabulary, bound)]
+        found += [(m.start() + a, 3, m.start() + b) for a, b in _dense_in(m.group(), vocabulary, bound)]
     return sorted(found)
 
 

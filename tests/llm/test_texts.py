@@ -105,6 +105,26 @@ def test_long_runs_are_read_whole():
     assert a == 0 and 6000 - 4096 <= b <= 6000 + 4096
 
 
+def test_letters_only_and_glued_secrets():
+    r = np.random.default_rng(6)
+    some = lambda n, of="ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz": "".join(r.choice(list(of), n))
+    assert dense(x := some(40)) == [(0, len(x))]
+    for head in ("database_connection_string_production=", "/home/application/configuration/production/", "services/T00000000/B00000000/"):
+        for n in (24, 32):
+            key = some(n, "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789")
+            found = dense(head + key + "/documentation")
+            assert any(a <= len(head) and b >= len(head) + n for a, b in found), (head, key, found)
+    split = "Zq8xT0vK3mP9/sLw2Rj5nYh7+BxT4Qz9vW"
+    head = "/home/application/configuration/production/database_connection_string_production="
+    assert dense(head + split) == [(len(head), len(head) + len(split))]  # too few a token only without the head
+    for plain in (
+        "international_development_configuration", "/usr/local/share/documentation/internationalization", "to-be-or-not-to-be-that-is-the-question",
+        "-" * 40, "=" * 5000, "2024-01-02-03-04-05-06-07", "a/b/c/d/e/f/g/h/i/j/k/l/m", "/items/123e4567-e89b-12d3-a456-426614174000/documentation",
+        "/commit/da39a3ee5e6b4b0d3255bfef95601890afd80709/documentation",
+    ):
+        assert dense(plain) == [], plain
+
+
 def test_bpe_equals_tiktoken(spark):
     ranks = bpe.read_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
     plain = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
