@@ -1,18 +1,20 @@
 """Operator 2: toxicity by two class-conditional Kneser-Ney models over words.
 
-Each class has a bigram model with Kneser-Ney discounting: what it takes from the class's counts goes to a bigram model
-of both classes' counts, what is taken there to the class's unigrams, and what is taken from these to unigrams that
-both classes share. The shared counts are those that the discounts gave up, so that, as Kneser and Ney ask, the models
-keep the words' overall shares. An expression too rare to say anything about a class is thus about equally likely in
-both. A text's evidence is the difference of its two log-likelihoods a word; a logistic curve, fitted on labelled rows that the models
-have not seen, turns it into a score.
-
-The models learn from at most `LABELLED` rows of each class, those of the lowest id hashes. The discount is at least
-the 2^-20th part of a class's words, so no table has more than 2^20 expressions of a class, whatever the texts' length.
+Each class has a bigram model. What is discounted from the class's counts goes to a bigram model of both classes'
+counts, what is taken there to the class's lower order, and what is taken from this to the lower order that both
+classes share. As Kneser and Ney ask, the lower orders count in how many contexts a word occurs, not how often. The
+shared bigrams have the discount n1 / (n1 + 2 n2); a class's discount depends on the count, as in modified Kneser-Ney,
+but is larger: it keeps KEPT n^3 / (n^2 + DISCOUNT^2) of n occurrences. So a rare expression says little about a class, but
+something, and has its own counts in the shared models. A text's evidence is the difference of its two log-likelihoods a
+word; a logistic curve, fitted on labelled rows that the models have not seen, turns it into a score.
+
+The models learn from at most `LABELLED` rows of each class, those of the lowest id hashes, and from all words and pairs
+of words in them. A text's evidence is a sum of a table's entries, which are sent to the tasks AT_ONCE at a time.
 """
 
 from __future__ import annotations
 
+import functools
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, replace
@@ -20,18 +22,21 @@ from dataclasses import dataclass, replace
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pointloom.llm.common import id_bucket, table
+from pointloom.llm.common import cut, id_bucket, table
 
 LABELLED = 20_000
-#: The least discount, in occurrences, of the smaller class; that of the other is as large a part of its words.
+#: Of an expression that occurs so often in the smaller class, that keeps half of what it keeps of frequent ones; for the
+#: other it is as many times more as that class is larger.
 DISCOUNT = 10.0
 #: No more than this part of a count stays undiscounted: most of each model is shared, so what many rare expressions
 #: happen to do in one class does not outweigh the few that tell.
 KEPT = 0.01
-MOST_EXPRESSIONS = 1 << 20
+#: So many entries of the table are sent to the tasks at once.
+AT_ONCE = 1 << 22
+START = np.uint64(0)
 HELD_OUT, CALIBRATING = (0,), (1,)
 FOLDS = 5
 WORD = re.compile(r"\w+")
@@ -50,109 +55,150 @@ def word_hashes(text: str | None, known: _Hashes) -> np.ndarray:
     return np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
 
 
+#: Kinds of the table's entries: a word itself, what a word leaves to the words after it, and a pair of words.
+WORD_ENTRY, CONTEXT_ENTRY, PAIR_ENTRY = 0, 1, 2
+
+
+def entry_keys(kind: int, v: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """64-bit hashes of the entries (kind, v, w)."""
+    x = v * np.uint64(0x9E3779B97F4A7C15) + w + np.uint64(kind * 0xD1B54A32D192ED03 % (1 << 64))
+    x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    return x ^ (x >> np.uint64(29))
+
+
 @dataclass(frozen=True)
-class Model:
-    """Arrays by vocabulary place; the last place is every other word. Classes: 0 ordinary, 1 toxic."""
-
-    words: np.ndarray  # sorted hashes
-    unigram: np.ndarray  # place x class: probability
-    pairs: np.ndarray  # sorted: place of the first word * (len(words) + 1) + place of the second
-    discounted: np.ndarray  # pair x class
-    rest: np.ndarray  # place x class: what a class's bigrams after this word leave to those of both classes
-    both: np.ndarray  # pair: the discounted share, over both classes
-    left: np.ndarray  # place: what these leave to the class's unigrams
-    slope: float = 1.0
-    threshold: float = 0.0
+class Part:
+    """Entries of the table, by sorted key, and what each adds to a text's toxic less ordinary log-likelihood."""
 
-    def places(self, hashes: np.ndarray) -> np.ndarray:
-        if not len(self.words):
-            return np.zeros(len(hashes), np.int64)
-        at = np.minimum(np.searchsorted(self.words, hashes), len(self.words) - 1)
-        return np.where(self.words[at] == hashes, at, len(self.words))
+    keys: np.ndarray
+    values: np.ndarray
 
-    def evidence(self, hashes: np.ndarray) -> float:
-        """Toxic less ordinary log-likelihood a word; 0 without words."""
-        if not len(hashes):
+    def added(self, hashes: np.ndarray) -> float:
+        if not len(hashes) or not len(self.keys):
             return 0.0
-        w = self.places(hashes)
-        v = np.r_[len(self.words), w[:-1]]
-        p = self.left[v, None] * self.unigram[w]
-        if len(self.pairs):
-            pair = v * (len(self.words) + 1) + w
-            at = np.minimum(np.searchsorted(self.pairs, pair), len(self.pairs) - 1)
-            there = (self.pairs[at] == pair)[:, None]
-            p = self.discounted[at] * there + self.rest[v] * (self.both[at, None] * there + p)
-        return float(np.log(p[:, 1] / p[:, 0]).mean())
+        before, none = np.r_[START, hashes[:-1]], np.zeros(len(hashes), np.uint64)
+        key = np.r_[entry_keys(WORD_ENTRY, none, hashes), entry_keys(CONTEXT_ENTRY, before, none), entry_keys(PAIR_ENTRY, before, hashes)]
+        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        return float(self.values[at][self.keys[at] == key].sum())
+
+
+@dataclass(frozen=True)
+class Model:
+    """A text's log-likelihood ratio is a sum over its words, the words before them, and its pairs. The entries stay in
+    a table, of which no more than `at_once` are in one place at a time."""
+
+    entries: DataFrame  # key, value
+    n: int
+    unknown: float  # what every word adds, known or not
+    at_once: int
+    slope: float = 1.0
+    threshold: float = 0.0
 
-    def score(self, evidence: float) -> float:
-        return float(1 / (1 + np.exp(-np.clip(self.slope * (evidence - self.threshold), -30, 30))))
+    def parts(self) -> Iterator[Part]:
+        k = max(1, -(-self.n // self.at_once))
+        for i in range(k):
+            got = self.entries.where(F.pmod("key", F.lit(k)) == i).toPandas()
+            keys = got["key"].to_numpy(np.int64).view(np.uint64)
+            order = np.argsort(keys)
+            yield Part(keys[order], got["value"].to_numpy(np.float64)[order])
 
 
-def _counted(rows: DataFrame, words: np.ndarray | None) -> DataFrame:
-    """rows (text, toxic) to (v, w, n0, n1): how often word v is followed by w in texts of either class, places in
-    `words`; without `words`, all words by their hash, v being 0."""
-    sent = rows.sparkSession.sparkContext.broadcast(None if words is None else Model(words, *[np.empty(0)] * 6))
+def _counted(rows: DataFrame) -> DataFrame:
+    """rows (text, toxic) to (v, w, n0, n1): how often word v is followed by w in texts of either class; START before all."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = _Hashes()
         for batch in batches:
-            keys, classes = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
-            for text, toxic in zip(batch[0].to_pylist(), batch[1].to_pylist(), strict=True):
-                found = word_hashes(text, known)
-                if sent.value is None:
-                    keys.append(found.view(np.int64))
-                else:
-                    at = sent.value.places(found)
-                    both = (at[:-1] < len(sent.value.words)) & (at[1:] < len(sent.value.words))
-                    keys.append((at[:-1] * (1 << 31) + at[1:])[both])
-                classes.append(np.full(len(keys[-1]), toxic))
-            key, where = np.unique(np.concatenate(keys), return_inverse=True)
-            n = [np.bincount(where[np.concatenate(classes) == c], minlength=len(key)) for c in (0, 1)]
-            v, w = (np.zeros_like(key), key) if sent.value is None else (key >> 31, key & ((1 << 31) - 1))
-            yield pa.record_batch([pa.array(x) for x in (v, w, *n)], ["v", "w", "n0", "n1"])
+            found = [word_hashes(text, known) for text in batch[0].to_pylist()]
+            pair = np.zeros(sum(map(len, found)), [("v", np.int64), ("w", np.int64)])
+            if not len(pair):
+                continue
+            pair["w"] = np.concatenate(found).view(np.int64)
+            pair["v"] = np.concatenate([np.r_[START, x[:-1]] for x in found if len(x)]).view(np.int64)
+            toxic = np.repeat(batch[1].to_numpy(), [len(x) for x in found])
+            yield pa.record_batch([pa.array(x) for x in (pair["v"], pair["w"], (toxic == 0).astype(np.int64), (toxic == 1).astype(np.int64))], ["v", "w", "n0", "n1"])
 
     return rows.select("text", F.col("toxic").cast("int")).mapInArrow(task, "v long, w long, n0 long, n1 long").groupBy("v", "w").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
 
 
-def train_models(rows: DataFrame, discount: float = DISCOUNT, most: int = MOST_EXPRESSIONS) -> Model:
-    """The two models from rows (text, toxic 0 or 1)."""
-    counts = _counted(rows, None)
-    totals = counts.agg(F.sum("n0"), F.sum("n1")).first()
-    total = np.array([float(x or 0) for x in totals])
-    cut = np.maximum(discount * total / max(total.min(), 1), total / most)
-    common = (F.col("n0") > float(cut[0])) | (F.col("n1") > float(cut[1]))
-    kept = counts.where(common).toPandas().astype({"w": np.int64})  # at most 2 * most rows
-    hashes = kept["w"].to_numpy().view(np.uint64)
-    order = np.argsort(hashes)
-    words, n = hashes[order], kept[["n0", "n1"]].to_numpy(np.float64)[order]
-
-    over = np.clip(n - cut, 0, KEPT * n)
-    given_up = np.r_[(n - over).sum(1), (total - n.sum(0)).sum() + 1]
-    unigram = np.r_[over, np.zeros((1, 2))] / np.maximum(total, 1)
-    unigram += (1 - unigram.sum(0)) * (given_up / given_up.sum())[:, None]
-
-    kept = _counted(rows, words).where(common).toPandas().astype(np.int64).sort_values(["v", "w"])
-    first, count = kept["v"].to_numpy(), kept[["n0", "n1"]].to_numpy(np.float64)
-    discounted = np.clip(count - cut, 0, KEPT * count) / np.maximum(n[first], 1)
-    both = np.maximum(count.sum(1) - cut.min(), 0) / np.maximum(n[first].sum(1), 1)
-    rest, left = np.ones((len(words) + 1, 2)), np.ones(len(words) + 1)
-    np.subtract.at(rest, first, discounted)
-    np.subtract.at(left, first, both)
-    return Model(words, unigram, first * (len(words) + 1) + kept["w"].to_numpy(), discounted, np.maximum(rest, 1e-6), both, np.maximum(left, 1e-6))
-
-
-def with_evidence(docs: DataFrame, model: Model, name: str, column: str, kind: str = "double") -> DataFrame:
-    """docs with a column `name`: of each text, the model's evidence or score."""
-    sent = docs.sparkSession.sparkContext.broadcast(model)
+def _discounts(counts: DataFrame, *columns: str) -> list[float]:
+    """Of each column the discount that Ney, Essen and Kneser estimate: n1 / (n1 + 2 n2), n1 and n2 expressions occurring once and twice."""
+    found = counts.agg(*(F.count_if(F.col(c) == k) for c in columns for k in (1, 2))).first()
+    return [found[2 * i] / (found[2 * i] + 2 * found[2 * i + 1]) if found[2 * i] and found[2 * i + 1] else 0.75 for i in range(len(columns))]
+
+
+def train_models(rows: DataFrame, discount: float = DISCOUNT, at_once: int = AT_ONCE) -> Model:
+    """The two models from rows (text, toxic 0 or 1), of all words and pairs of words in them."""
+    pairs = cut(_counted(rows).withColumn("n", F.col("n0") + F.col("n1")))
+    over = lambda n, d: F.greatest(F.col(n) - d, F.lit(0.0))
+    part = lambda a, b: F.when((F.col(b) > 0) & (F.col(a) > 0), F.col(a) / F.col(b)).otherwise(0.0)
+
+
+    def own(x: str, n: list[float]) -> list[Column]:
+        """What each class keeps of its counts x0 and x1, of n in all: KEPT of large ones, ever less of rare ones, never nothing."""
+        half = [discount * max(n[c], 1) / max(min(n), 1) for c in (0, 1)]
+        return [KEPT * F.pow(f"{x}{c}", F.lit(3.0)) / (F.pow(f"{x}{c}", F.lit(2.0)) + half[c] ** 2) for c in (0, 1)]
+
+    totals = [float(x or 0) for x in pairs.agg(F.sum("n0"), F.sum("n1")).first()]
+    (d,) = _discounts(pairs, "n")
+    pairs = pairs.withColumns(dict(zip(("o0", "o1"), own("n", totals), strict=True)) | {"o": over("n", d)})
+    first = pairs.groupBy("v").agg(*(F.sum(x).alias(f"v_{x}") for x in ("n0", "n1", "n", "o0", "o1", "o")))
+    rest = {f"rest{c}": 1 - part(f"v_o{c}", f"v_n{c}") for c in (0, 1)}
+    first = cut(first.withColumns(rest).withColumn("left", 1 - part("v_o", "v_n")).withColumn("context", F.log(F.col("rest1") / F.col("rest0"))))
+
+    # In how many contexts a word occurs, not how often.
+    second = cut(pairs.groupBy("w").agg(F.count_if(F.col("n0") > 0).alias("c0"), F.count_if(F.col("n1") > 0).alias("c1"), F.count("*").alias("c")))
+    contexts = [float(x or 0) for x in second.agg(F.sum("c0"), F.sum("c1")).first()]
+    second = second.withColumns(dict(zip(("q0", "q1"), own("c", contexts), strict=True)))
+    sums = {k: float(x or 0) for k, x in second.agg(*(F.sum(x).alias(x) for x in ("c0", "c1", "c", "q0", "q1"))).first().asDict().items()}
+    lower = lambda c: F.col(f"q{c}") / max(sums[f"c{c}"], 1) + shared[c] * F.col("c") / (sums["c"] + 1)
+    shared = [1 - sums[f"q{c}"] / max(sums[f"c{c}"], 1) for c in (0, 1)]
+    unknown = float(np.log(shared[1] / shared[0]))
+    second = cut(second.select("w", lower(0).alias("p0"), lower(1).alias("p1")).withColumn("word", F.log(F.col("p1") / F.col("p0"))))
+
+    p = [part(f"o{c}", f"v_n{c}") + F.col(f"rest{c}") * (part("o", "v_n") + F.col("left") * F.col(f"p{c}")) for c in (0, 1)]
+    both = pairs.join(first, "v").join(second, "w").select("v", "w", (F.log(p[1] / p[0]) - F.col("context") - F.col("word")).alias("value"))
+    kinds = [second.select(F.lit(0).cast("long").alias("v"), "w", (F.col("word") - unknown).alias("value")), first.select("v", F.lit(0).cast("long").alias("w"), F.col("context").alias("value")), both]
+
+    def keyed(kind: int) -> DataFrame:
+        def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                v, w = (batch[i].to_numpy().view(np.uint64) for i in (0, 1))
+                yield pa.record_batch([pa.array(entry_keys(kind, v, w).view(np.int64)), batch[2]], ["key", "value"])
+
+        return kinds[kind].where("value <> 0").mapInArrow(task, "key long, value double")
+
+    entries = cut(keyed(WORD_ENTRY).union(keyed(CONTEXT_ENTRY)).union(keyed(PAIR_ENTRY)))
+    return Model(entries, entries.count(), unknown, at_once)
+
+
+def _added(docs: DataFrame, part: Part, unknown: float) -> Column:
+    """What a text's words, all together, add by this part of the table: per word, and null without words."""
+    sent = docs.sparkSession.sparkContext.broadcast(part)
 
     def measure(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         known = _Hashes()
         for texts in batches:
-            found = [sent.value.evidence(word_hashes(x.as_py(), known)) for x in texts]
-            yield pa.array([sent.value.score(x) for x in found] if column == "score" else found, pa.float64())
+            found = [word_hashes(x.as_py(), known) for x in texts]
+            yield pa.array([unknown + sent.value.added(x) / len(x) if len(x) else 0.0 for x in found], pa.float64())
 
     measure.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
-    return docs.withColumn(name, F.arrow_udf(measure, kind)(F.col("text")))
+    return F.arrow_udf(measure, "double")(F.col("text"))
+
+
+def with_evidence(docs: DataFrame, model: Model, name: str, column: str) -> DataFrame:
+    """docs with a column `name`: of each text, the model's evidence (toxic less ordinary log-likelihood a word; 0
+    without words) or score. If the table is in parts, a part's tasks hold that part only, and what the parts add meets
+    by hashes of the texts."""
+    score = lambda x: 1 / (1 + F.exp(-F.least(F.greatest(model.slope * (x - model.threshold), F.lit(-30.0)), F.lit(30.0)))) if column == "score" else x
+    if model.n <= model.at_once:
+        return docs.withColumn(name, score(_added(docs, next(model.parts()), model.unknown)))
+    hashes = {"_tx_a": F.xxhash64("text"), "_tx_b": F.xxhash64(F.lit(1), "text")}
+    keyed = docs.withColumns(hashes)
+    texts = cut(docs.select("text").withColumns(hashes).dropDuplicates(["_tx_a", "_tx_b"]))
+    added = [texts.select("_tx_a", "_tx_b", _added(texts, part, 0.0 if i else model.unknown).alias("_tx_x")) for i, part in enumerate(model.parts())]
+    total = functools.reduce(DataFrame.union, added).groupBy("_tx_a", "_tx_b").agg(F.sum("_tx_x").alias("_tx_x"))
+    return keyed.join(total, ["_tx_a", "_tx_b"]).select(*docs.columns, score(F.col("_tx_x")).alias(name))
 
 
 def calibrated(model: Model, evidence: np.ndarray, toxic: np.ndarray) -> Model:

@@ -66,6 +66,29 @@ def test_toxicity_odd_cases(spark):
     assert len(scores) == len(texts()) + 2 and all(0 <= s <= 1 for s in scores)
 
 
+def test_rare_words_tell(spark):
+    r = np.random.default_rng(4)
+    both = [" ".join(r.choice([f"v{i}" for i in range(50)], 60)) for _ in range(200)]
+    said = [(x + (" grom" if toxic and i < 5 else ""), toxic) for i, x in enumerate(both) for toxic in (0, 1)]
+    rows = spark.createDataFrame(said, "text string, toxic int")
+    texts = spark.createDataFrame([("v1 v2 v3",), ("v1 grom v3",), ("",), (None,)], "text string")
+    measured = lambda model: [x["e"] for x in toxicity.with_evidence(texts.coalesce(1), model, "e", "evidence").collect()]
+    plain, rare, empty_text, null = measured(toxicity.train_models(rows))
+    assert rare - plain > 1e-4 and empty_text == null == 0
+    # In parts, the same.
+    parts = {x["text"]: x["e"] for x in toxicity.with_evidence(texts, toxicity.train_models(rows, at_once=500), "e", "evidence").collect()}
+    assert len(parts) == 4 and abs(parts["v1 grom v3"] - rare) < 1e-12 and abs(parts["v1 v2 v3"] - plain) < 1e-12 and parts[None] == 0
+
+
+def test_backoff_counts_contexts(spark):
+    # "york" is frequent, but only ever follows "new"; "tea" is as frequent, after many words.
+    said = [(f"new york x{i} tea", i % 2) for i in range(200)] + [("new york", 1)] * 200 + [(f"y{i} tea", 1) for i in range(200)]
+    model = toxicity.train_models(spark.createDataFrame(said, "text string, toxic int"))
+    texts = spark.createDataFrame([("unseen york",), ("unseen tea",)], "text string").coalesce(1)
+    york, tea = [x["e"] for x in toxicity.with_evidence(texts, model, "e", "evidence").collect()]
+    assert tea > york
+
+
 def plain_spans(text):
     out = [(m.start(), 0, m.end()) for m in re.finditer(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", text, re.I | re.A) if len(m[2]) >= 6]
     out += [(m.start(), 1, m.end()) for m in re.finditer("AKIA[A-Z0-9]+", text) if len(m[0]) >= 20]
