@@ -35,7 +35,9 @@ DISCOUNT = 10.0
 #: happen to do in one class does not outweigh the few that tell.
 KEPT = 0.01
 #: So many entries of the table are sent to the tasks at once.
-AT_ONCE = 1 << 22
+AT_ONCE = 1 << 23
+#: And so many pass the driver's JVM at once.
+SLICE = 1 << 19
 START = np.uint64(0)
 HELD_OUT, CALIBRATING = (0,), (1,)
 FOLDS = 5
@@ -79,7 +81,7 @@ class Part:
         before, none = np.r_[START, hashes[:-1]], np.zeros(len(hashes), np.uint64)
         key = np.r_[entry_keys(WORD_ENTRY, none, hashes), entry_keys(CONTEXT_ENTRY, before, none), entry_keys(PAIR_ENTRY, before, hashes)]
         at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-        return float(self.values[at][self.keys[at] == key].sum())
+        return float(self.values[at][self.keys[at] == key].sum(dtype=np.float64))
 
 
 @dataclass(frozen=True)
@@ -96,11 +98,14 @@ class Model:
 
     def parts(self) -> Iterator[Part]:
         k = max(1, -(-self.n // self.at_once))
+        slices = max(1, -(-self.n // (k * SLICE)))
         for i in range(k):
-            got = self.entries.where(F.pmod("key", F.lit(k)) == i).toPandas()
-            keys = got["key"].to_numpy(np.int64).view(np.uint64)
+            got = [self.entries.where(F.pmod("key", F.lit(k * slices)) == i + k * j).toPandas() for j in range(slices)]
+            keys = np.concatenate([x["key"].to_numpy(np.int64) for x in got]).view(np.uint64)
+            values = np.concatenate([x["value"].to_numpy(np.float32) for x in got])
+            del got
             order = np.argsort(keys)
-            yield Part(keys[order], got["value"].to_numpy(np.float64)[order])
+            yield Part(keys[order], values[order])
 
 
 def _counted(rows: DataFrame) -> DataFrame:
