@@ -1,24 +1,32 @@
 """Operator 9: byte-level BPE by Spark's higher-order functions.
 
-Texts are split by the vocabulary's pattern; only distinct words are encoded. A fold over a word's byte array merges, at
-each step, the neighbouring pair of the lowest rank, until no pair has one. Ranks of pairs are a map, dealt into buckets
-because Spark searches a map from end to end, and sent as one row. Decoding concatenates the bytes of the ids' pieces.
+Texts are split by the vocabulary's pattern. A fold over a word's byte array merges, at each step, the neighbouring pair
+of the lowest rank, until no pair has one; it carries the parts and the ranks of their pairs, of which a merge changes
+two. Ranks of pairs are a literal map, dealt into buckets because Spark searches a map from end to end.
+
+Distinct words are counted over all texts. Those that occur most often, as many as a literal of bounded size holds, are
+encoded once each; other words where they stand. So no word's places are ever shuffled, and the commonest word is no
+more work to one task than to another. Decoding concatenates the bytes of the ids' pieces.
 """
 
 from __future__ import annotations
 
 import base64
+import json
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pointloom.llm.common import cut, table
+from pointloom.llm.common import cut, partitions, table
 
 #: Java's \\s, \\p{L} and \\p{N} are those of Unicode under (?U).
 UNICODE = "(?U)"
-BUCKETS = 65_521
-WORDS_A_ROW = 2_000
+PAIR_BUCKETS = 131_071
+#: Of the words that occur most often, no more than so many, of no more than so many bytes each, are encoded beforehand.
+FREQUENT, FREQUENT_BYTES = 1 << 17, 64
+WORD_BUCKETS = 131_071
+#: The part beyond either end of a word.
+NONE = -1
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -26,77 +34,99 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
 
 
-def rank_row(spark: SparkSession, ranks: dict[bytes, int]) -> DataFrame:
-    """One row: `merges`, buckets of a map from pairs of ids to the id they merge into, `single`, the id of each byte,
-    and `pieces`, the bytes of each id. As large as the vocabulary."""
-    pairs = [
-        (a << 32 | b, rank)
-        for piece, rank in ranks.items()
-        for k in range(1, len(piece))
-        if (a := ranks.get(piece[:k])) is not None and (b := ranks.get(piece[k:])) is not None
-    ]
-    merges = spark.createDataFrame(pd.DataFrame(pairs, columns=["pair", "id"]), "pair long, id int")
-    bucket = F.pmod("pair", F.lit(BUCKETS)).cast("int").alias("bucket")
-    held = merges.groupBy(bucket).agg(F.map_from_entries(F.collect_list(F.struct("pair", "id"))).alias("map"))
-    every = spark.range(BUCKETS).select(F.col("id").cast("int").alias("bucket")).join(held, "bucket", "left")
-    by_bucket = F.array_sort(F.collect_list(F.struct("bucket", "map")), lambda x, y: x["bucket"] - y["bucket"])
-    pieces = spark.createDataFrame(pd.DataFrame({"id": list(ranks.values()), "piece": list(ranks)}), "id int, piece binary")
-    by_id = F.sort_array(F.collect_list(F.struct("id", "piece")))
-    one = every.agg(by_bucket.alias("b")).crossJoin(pieces.agg(by_id.alias("p")))
-    single = F.array(*(F.lit(ranks[bytes([b])]) for b in range(256)))
-    return one.select(F.col("b.map").alias("merges"), single.alias("single"), F.col("p.id").alias("ids"), F.col("p.piece").alias("pieces"))
-
-
-def _merged(parts: Column, merges: Column) -> Column:
-    """parts after its lowest-ranked merge; parts itself if none applies."""
-    n = F.size(parts)
-    pair = lambda a, b: a.cast("bigint") * (1 << 32) + b
-    rank = lambda p: F.try_element_at(F.get(merges, F.pmod(p, F.lit(BUCKETS)).cast("int")), p)
-    ranks = F.zip_with(F.slice(parts, F.lit(1), F.greatest(n - 1, F.lit(0))), F.slice(parts, F.lit(2), F.greatest(n - 1, F.lit(0))), lambda a, b: rank(pair(a, b)))
-    low = F.array_min(ranks)
-    at = F.array_position(ranks, low).cast("int")
-    return F.when(low.isNull(), parts).otherwise(F.concat(F.slice(parts, F.lit(1), at - 1), F.array(low), F.slice(parts, at + 2, n)))
+def _literal(rows: list, kind: str) -> Column:
+    """rows as a literal: Spark folds the parsing of a constant before it runs anything."""
+    return F.from_json(F.lit(json.dumps(rows, separators=(",", ":"))), kind)
+
+
+def merge_buckets(ranks: dict[bytes, int]) -> Column:
+    """A literal: buckets of a map from pairs of ids to the id they merge into. As large as the vocabulary."""
+    buckets: list[dict[str, list[int]] | None] = [None] * PAIR_BUCKETS
+    for piece, rank in ranks.items():
+        for k in range(1, len(piece)):
+            if (a := ranks.get(piece[:k])) is not None and (b := ranks.get(piece[k:])) is not None:
+                pair = a << 32 | b
+                held = buckets[pair % PAIR_BUCKETS] = buckets[pair % PAIR_BUCKETS] or {"p": [], "r": []}
+                held["p"].append(pair)
+                held["r"].append(rank)
+    return _literal(buckets, "array<struct<p:array<bigint>,r:array<int>>>")
+
+
+def _with(value: Column, body) -> Column:
+    """body(value), value being worked out once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
 def encoded_word(word: Column, merges: Column, single: Column) -> Column:
-    """The ids of one word, a string."""
-    digits = F.hex(F.encode(word, "UTF-8"))
-    one_byte = lambda k: F.get(single, F.conv(F.substring(digits, 2 * k - 1, F.lit(2)), 16, 10).cast("int"))
-    size = F.octet_length(word)
-    first = F.transform(F.sequence(F.lit(1), size), one_byte)
-    return F.aggregate(F.sequence(F.lit(1), size), first, lambda parts, _: _merged(parts, merges))
+    """The ids of one word, a string. A literal is best bound before (`_with`), as each mention of it has its own copy."""
 
+    def rank(a: Column, b: Column) -> Column:
+        pair = a.cast("bigint") * (1 << 32) + b
+        bucket = F.get(merges, F.pmod(pair, F.lit(PAIR_BUCKETS)).cast("int"))
+        return _with(bucket, lambda held: F.when(held.isNotNull(), F.get(held["r"], F.array_position(held["p"], pair).cast("int") - 1)))
 
-def encode_words(words: DataFrame, ranks: DataFrame) -> DataFrame:
-    """word, ids, bytes for a table of distinct words at rest: bytes is decoded from the ids."""
-    rows = max(1, -(-words.count() // WORDS_A_ROW))
-    dealt = words.repartition(F.col("word")).groupBy(F.pmod(F.xxhash64("word"), F.lit(rows)).alias("row")).agg(F.collect_list("word").alias("words"))
-    joined = dealt.crossJoin(F.broadcast(ranks))
-    ids = joined.select("words", "pieces", F.transform("words", lambda w: encoded_word(w, F.col("merges"), F.col("single"))).alias("ids"))
-    # Ids are ranks, 0 and up without a gap, so a piece stands at its id.
-    piece = lambda x: F.aggregate(x, F.lit(b""), lambda done, i: F.concat(done, F.get("pieces", i)))
-    both = ids.select(F.explode(F.arrays_zip("words", "ids", F.transform("ids", piece).alias("bytes"))).alias("x"))
-    return both.select(F.col("x.words").alias("word"), F.col("x.ids").alias("ids"), F.col("x.bytes").alias("bytes"))
+    def merged(state: Column) -> Column:
+        parts, ranks = state["parts"], state["ranks"]
 
+        def at_lowest(low: Column, at: Column) -> Column:
+            more = F.size(parts)
+            before, after = F.get(parts, at - 2), F.get(parts, at + 1)
+            return F.struct(
+                F.concat(F.slice(parts, F.lit(1), at - 1), F.array(low), F.slice(parts, at + 2, more)).alias("parts"),
+                F.concat(F.slice(ranks, F.lit(1), at - 2), F.array(rank(before, low), rank(low, after)), F.slice(ranks, at + 2, more)).alias("ranks"),
+            )
 
-def encode_documents(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_column: str = "doc_id") -> DataFrame:
-    """id_column, n_tokens, ids (array of int) and decoded (binary) for each row of docs.
+        at = lambda low: F.array_position(ranks, low).cast("int")
+        return _with(F.array_min(ranks), lambda low: F.when(low.isNull(), state).otherwise(_with(at(low), lambda at: at_lowest(low, at))))
 
-    Null and empty texts have no tokens. Rows of equal id and text have equal results. Ids may be null. The ranks must
+    size = F.octet_length(word)
+    digits = F.hex(word)
+    one_byte = lambda k: F.get(single, F.conv(F.substring(digits, 2 * k - 1, F.lit(2)), 16, 10).cast("int"))
+    end = F.array(F.lit(NONE))
+    first = F.concat(end, F.transform(F.sequence(F.lit(1), size), one_byte), end)
+    ranked = lambda parts: F.zip_with(F.slice(parts, F.lit(1), size + 1), F.slice(parts, F.lit(2), size + 1), rank)
+    start = _with(first, lambda parts: F.struct(parts.alias("parts"), ranked(parts).alias("ranks")))
+    return F.aggregate(F.sequence(F.lit(1), size), start, lambda state, _: merged(state), lambda state: F.slice(state["parts"], F.lit(2), F.size(state["parts"]) - 2))
+
+
+def _frequent(counts: DataFrame) -> DataFrame:
+    """The words of counts (word, n), a table at rest, that occur at least so often that FREQUENT do at most."""
+    short = counts.where(F.octet_length("word") <= FREQUENT_BYTES)
+    step = F.floor(F.log2("n") * 8).alias("step")
+    seen, least = 0, None
+    for row in short.groupBy(step).agg(F.count("*").alias("words")).orderBy(F.desc("step")).collect():  # a row an eighth of a power of 2
+        seen += row["words"]
+        if seen > FREQUENT:
+            break
+        least = row["step"]
+    return short.where(step >= least if least is not None else F.lit(False)).select("word")
+
+
+def encode_documents(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_column: str = "doc_id", text: str = "text") -> DataFrame:
+    """id_column, n_tokens, ids (array of int) and decoded (binary) for each row of docs; other columns are not read.
+
+    Null and empty texts have no tokens, an empty table no rows. Rows that repeat have a row each; ids may be null and
+    may repeat. A word's work grows with the square of its length, at about a second for 20,000 letters. The ranks must
     be 0 and up without a gap, and hold all single bytes.
     """
     assert sorted(ranks.values()) == list(range(len(ranks))), "a piece must stand at its rank"
-    key = [F.col(id_column).alias("_bpe_id"), F.xxhash64("text").alias("_bpe_text")]
-    rows = docs.select(*key, F.length("text").alias("_bpe_length"))
-    words = F.regexp_extract_all("text", F.lit(UNICODE + pattern), F.lit(0))
-    found = docs.select(*key, "text").distinct().select("_bpe_id", "_bpe_text", F.posexplode(words).alias("at", "word"))
-    distinct = cut(docs.select(F.explode(words).alias("word")).distinct())
-    coded = cut(encode_words(distinct, rank_row(docs.sparkSession, ranks)))
-    placed = found.join(coded, "word").groupBy("_bpe_id", "_bpe_text").agg(F.sort_array(F.collect_list(F.struct("at", "ids", F.hex("bytes").alias("hex")))).alias("x"))
-    texts = placed.select("_bpe_id", "_bpe_text", F.flatten("x.ids").alias("ids"), F.unhex(F.array_join("x.hex", "")).alias("decoded"))
-    same = rows["_bpe_id"].eqNullSafe(texts["_bpe_id"]) & (rows["_bpe_text"] == texts["_bpe_text"])
-    out = rows.join(texts, same, "left").select(rows["_bpe_id"].alias(id_column), F.coalesce("ids", F.array().cast("array<int>")).alias("ids"), F.coalesce("decoded", F.lit(b"")).alias("decoded"))
-    return out.select(id_column, F.size("ids").cast("long").alias("n_tokens"), "ids", "decoded")
+    spark = docs.sparkSession
+    merges = merge_buckets(ranks)
+    single = _literal([ranks[bytes([b])] for b in range(256)], "array<int>")
+    words = F.regexp_extract_all(text, F.lit(UNICODE + pattern), F.lit(0))
+    counts = cut(docs.select(F.explode(words).alias("word")).groupBy("word").agg(F.count("*").alias("n")))
+    bucket = lambda w: F.pmod(F.xxhash64(w), F.lit(WORD_BUCKETS)).cast("int")
+    coded = _frequent(counts).repartition(partitions(spark), "word").select(bucket("word").alias("bucket"), "word", _with(merges, lambda m: encoded_word(F.col("word"), m, single)).alias("ids"))
+    held: list[dict[str, list[int]] | None] = [None] * WORD_BUCKETS
+    for r in coded.collect():  # FREQUENT rows at most
+        held[r["bucket"]] = (held[r["bucket"]] or {}) | {r["word"]: r["ids"]}
+    known = _literal(held, "array<map<string,array<int>>>")
+    ids_of = lambda w, known, merges: F.coalesce(F.try_element_at(F.get(known, bucket(w)), w), encoded_word(w, merges, single))
+    ids = _with(known, lambda k: _with(merges, lambda m: F.flatten(F.transform(words, lambda w: ids_of(w, k, m)))))
+    rows = docs.select(id_column, F.coalesce(ids, F.array().cast("array<int>")).alias("ids"))
+    by_id = _literal([piece.hex() for piece in sorted(ranks, key=ranks.__getitem__)], "array<string>")
+    decoded = F.unhex(F.array_join(F.transform("ids", lambda i: F.get(by_id, i)), ""))
+    return rows.select(id_column, F.size("ids").cast("long").alias("n_tokens"), "ids", decoded.alias("decoded"))
 
 
 def op9_higher_order_bpe(spark: SparkSession, sf_dir: str, vocabulary: str | None = None, pattern: str | None = None) -> DataFrame:
