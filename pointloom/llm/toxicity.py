@@ -8,13 +8,15 @@ but is larger: it keeps KEPT n^3 / (n^2 + DISCOUNT^2) of n occurrences. So a rar
 something, and has its own counts in the shared models. A text's evidence is the difference of its two log-likelihoods a
 word; a logistic curve, fitted on labelled rows that the models have not seen, turns it into a score.
 
-The models learn from at most `LABELLED` rows of each class, those of the lowest id hashes, and from all words and pairs
-of words in them. A text's evidence is a sum of a table's entries, which are sent to the tasks AT_ONCE at a time.
+The models learn from labelled rows of each class in the order of their id hashes, `LABELLED` of them at most and until
+they have `LABELLED_BYTES` of text, and from all words and pairs of words in these. So the table of what each expression
+adds to a text's evidence has a bound, and is sent to the tasks, in slices of which the driver holds one at a time.
 """
 
 from __future__ import annotations
 
 import functools
+import math
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, replace
@@ -22,22 +24,23 @@ from dataclasses import dataclass, replace
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark import Broadcast
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pointloom.llm.common import cut, id_bucket, table
 
 LABELLED = 20_000
+#: A class's texts to learn from are no more once they have so many bytes; an expression takes two at least.
+LABELLED_BYTES = 1 << 23
 #: Of an expression that occurs so often in the smaller class, that keeps half of what it keeps of frequent ones; for the
 #: other it is as many times more as that class is larger.
 DISCOUNT = 10.0
 #: No more than this part of a count stays undiscounted: most of each model is shared, so what many rare expressions
 #: happen to do in one class does not outweigh the few that tell.
 KEPT = 0.01
-#: So many entries of the table are sent to the tasks at once.
-AT_ONCE = 1 << 23
-#: And so many pass the driver's JVM at once.
-SLICE = 1 << 19
+#: About so many entries of the table pass the driver at once.
+SLICE = 1 << 18
 START = np.uint64(0)
 HELD_OUT, CALIBRATING = (0,), (1,)
 FOLDS = 5
@@ -68,44 +71,55 @@ def entry_keys(kind: int, v: np.ndarray, w: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
-@dataclass(frozen=True)
-class Part:
-    """Entries of the table, by sorted key, and what each adds to a text's toxic less ordinary log-likelihood."""
-
-    keys: np.ndarray
-    values: np.ndarray
-
-    def added(self, hashes: np.ndarray) -> float:
-        if not len(hashes) or not len(self.keys):
-            return 0.0
-        before, none = np.r_[START, hashes[:-1]], np.zeros(len(hashes), np.uint64)
-        key = np.r_[entry_keys(WORD_ENTRY, none, hashes), entry_keys(CONTEXT_ENTRY, before, none), entry_keys(PAIR_ENTRY, before, hashes)]
-        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-        return float(self.values[at][self.keys[at] == key].sum(dtype=np.float64))
-
-
 @dataclass(frozen=True)
 class Model:
-    """A text's log-likelihood ratio is a sum over its words, the words before them, and its pairs. The entries stay in
-    a table, of which no more than `at_once` are in one place at a time."""
+    """A text's log-likelihood ratio is a sum over its words, the words before them, and its pairs."""
 
-    entries: DataFrame  # key, value
-    n: int
+    slices: tuple[Broadcast, ...]  # (keys, values) of the entries, sorted, one slice of keys after the other
     unknown: float  # what every word adds, known or not
-    at_once: int
     slope: float = 1.0
     threshold: float = 0.0
 
-    def parts(self) -> Iterator[Part]:
-        k = max(1, -(-self.n // self.at_once))
-        slices = max(1, -(-self.n // (k * SLICE)))
-        for i in range(k):
-            got = [self.entries.where(F.pmod("key", F.lit(k * slices)) == i + k * j).toPandas() for j in range(slices)]
-            keys = np.concatenate([x["key"].to_numpy(np.int64) for x in got]).view(np.uint64)
-            values = np.concatenate([x["value"].to_numpy(np.float32) for x in got])
-            del got
-            order = np.argsort(keys)
-            yield Part(keys[order], values[order])
+    def evidence(self, texts: list[str | None], hashes: _Hashes) -> np.ndarray:
+        """Of each text, what its words, all together, add: per word, and 0 without words."""
+        found = [word_hashes(text, hashes) for text in texts]
+        n = np.array([len(x) for x in found], np.int64)
+        out = np.where(n > 0, self.unknown, 0.0)
+        if n.any():
+            w = np.concatenate(found)
+            v = np.r_[START, w[:-1]]
+            v[(np.cumsum(n) - n)[n > 0]] = START
+            none = np.zeros(len(w), np.uint64)
+            added = sum(self._values(key) for key in (entry_keys(WORD_ENTRY, none, w), entry_keys(CONTEXT_ENTRY, v, none), entry_keys(PAIR_ENTRY, v, w)))
+            out += np.bincount(np.repeat(np.arange(len(n)), n), added, len(n)) / np.maximum(n, 1)
+        return out
+
+    def _values(self, key: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(key))
+        of = (key >> np.uint64(64 - SLICE_BITS)).astype(np.int64) * len(self.slices) >> SLICE_BITS
+        for k, sent in enumerate(self.slices):
+            keys, values = sent.value
+            if len(keys) and len(here := np.nonzero(of == k)[0]):
+                at = np.minimum(np.searchsorted(keys, key[here]), len(keys) - 1)
+                out[here] = np.where(keys[at] == key[here], values[at], 0.0)
+        return out
+
+
+#: Slices are ranges of the keys' first bits, of which there are so many.
+SLICE_BITS = 16
+
+
+def _sent(entries: DataFrame) -> tuple[Broadcast, ...]:
+    """The table entries (key, value), at rest, sent to the tasks in slices."""
+    slices = 1 << max(0, math.ceil(math.log2(max(entries.count(), 1) / SLICE)))
+    of = F.shiftrightunsigned("key", 64 - SLICE_BITS) * slices
+    out = []
+    for k in range(slices):
+        got = entries.where(F.shiftright(of, SLICE_BITS) == k).toPandas()
+        keys, values = got["key"].to_numpy(np.int64).view(np.uint64), got["value"].to_numpy(np.float32)
+        order = np.argsort(keys)
+        out.append(entries.sparkSession.sparkContext.broadcast((keys[order], values[order])))
+    return tuple(out)
 
 
 def _counted(rows: DataFrame) -> DataFrame:
@@ -132,7 +146,7 @@ def _discounts(counts: DataFrame, *columns: str) -> list[float]:
     return [found[2 * i] / (found[2 * i] + 2 * found[2 * i + 1]) if found[2 * i] and found[2 * i + 1] else 0.75 for i in range(len(columns))]
 
 
-def train_models(rows: DataFrame, discount: float = DISCOUNT, at_once: int = AT_ONCE) -> Model:
+def train_models(rows: DataFrame, discount: float = DISCOUNT) -> Model:
     """The two models from rows (text, toxic 0 or 1), of all words and pairs of words in them."""
     pairs = cut(_counted(rows).withColumn("n", F.col("n0") + F.col("n1")))
     over = lambda n, d: F.greatest(F.col(n) - d, F.lit(0.0))
@@ -174,36 +188,23 @@ def train_models(rows: DataFrame, discount: float = DISCOUNT, at_once: int = AT_
         return kinds[kind].where("value <> 0").mapInArrow(task, "key long, value double")
 
     entries = cut(keyed(WORD_ENTRY).union(keyed(CONTEXT_ENTRY)).union(keyed(PAIR_ENTRY)))
-    return Model(entries, entries.count(), unknown, at_once)
+    return Model(_sent(entries), unknown)
 
 
-def _added(docs: DataFrame, part: Part, unknown: float) -> Column:
-    """What a text's words, all together, add by this part of the table: per word, and null without words."""
-    sent = docs.sparkSession.sparkContext.broadcast(part)
+def with_evidence(docs: DataFrame, model: Model, name: str, column: str) -> DataFrame:
+    """docs with a column `name`, in place of one of that name: of each text, the model's evidence (toxic less ordinary
+    log-likelihood a word; 0 without words) or score."""
 
     def measure(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        known = _Hashes()
+        hashes = _Hashes()
         for texts in batches:
-            found = [word_hashes(x.as_py(), known) for x in texts]
-            yield pa.array([unknown + sent.value.added(x) / len(x) if len(x) else 0.0 for x in found], pa.float64())
+            yield pa.array(model.evidence(texts.to_pylist(), hashes), pa.float64())
 
     measure.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
-    return F.arrow_udf(measure, "double")(F.col("text"))
-
-
-def with_evidence(docs: DataFrame, model: Model, name: str, column: str) -> DataFrame:
-    """docs with a column `name`: of each text, the model's evidence (toxic less ordinary log-likelihood a word; 0
-    without words) or score. If the table is in parts, a part's tasks hold that part only, and what the parts add meets
-    by hashes of the texts."""
-    score = lambda x: 1 / (1 + F.exp(-F.least(F.greatest(model.slope * (x - model.threshold), F.lit(-30.0)), F.lit(30.0)))) if column == "score" else x
-    if model.n <= model.at_once:
-        return docs.withColumn(name, score(_added(docs, next(model.parts()), model.unknown)))
-    hashes = {"_tx_a": F.xxhash64("text"), "_tx_b": F.xxhash64(F.lit(1), "text")}
-    keyed = docs.withColumns(hashes)
-    texts = cut(docs.select("text").withColumns(hashes).dropDuplicates(["_tx_a", "_tx_b"]))
-    added = [texts.select("_tx_a", "_tx_b", _added(texts, part, 0.0 if i else model.unknown).alias("_tx_x")) for i, part in enumerate(model.parts())]
-    total = functools.reduce(DataFrame.union, added).groupBy("_tx_a", "_tx_b").agg(F.sum("_tx_x").alias("_tx_x"))
-    return keyed.join(total, ["_tx_a", "_tx_b"]).select(*docs.columns, score(F.col("_tx_x")).alias(name))
+    found = F.arrow_udf(measure, "double")(F.col("text"))
+    if column == "score":
+        found = 1 / (1 + F.exp(-F.least(F.greatest(model.slope * (found - model.threshold), F.lit(-30.0)), F.lit(30.0))))
+    return docs.withColumn(name, found)
 
 
 def calibrated(model: Model, evidence: np.ndarray, toxic: np.ndarray) -> Model:
@@ -225,9 +226,10 @@ def calibrated(model: Model, evidence: np.ndarray, toxic: np.ndarray) -> Model:
     return replace(model, slope=float(b[0] / spread), threshold=float(middle - spread * b[1] / b[0]))
 
 
-def fit_toxicity(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED) -> Model:
+def fit_toxicity(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, labelled_bytes: int = LABELLED_BYTES) -> Model:
     """Learns from labels of rows in all folds but the held out one. Of several labels of one id the largest counts;
-    null ids and labels are left out."""
+    null ids and labels are left out. Rows of docs that share an id are learnt from together. Without labels of both
+    classes every text has evidence, but the threshold stays 0."""
     fold = id_bucket("doc_id", FOLDS)
     known = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1) & ~fold.isin(*HELD_OUT))
     known = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).withColumn("calibrating", fold.isin(*CALIBRATING))
@@ -236,15 +238,21 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED) -
         for c in (0, 1)
         for part in (False, True)
     ]
-    chosen = parts[0].union(parts[1]).union(parts[2]).union(parts[3])
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # at most 4 * labelled rows
+    chosen = cut(functools.reduce(DataFrame.union, parts))  # at most 4 * labelled ids
+    rows = docs.select("doc_id", "text")
+    sizes = rows.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "toxic", "calibrating").agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0))).alias("bytes"))
+    before = Window.partitionBy("toxic", "calibrating").orderBy(F.xxhash64("doc_id"), "doc_id").rowsBetween(Window.unboundedPreceding, -1)  # at most `labelled`
+    sizes = sizes.withColumn("before", F.coalesce(F.sum("bytes").over(before), F.lit(0)))
+    chosen = cut(sizes.where(F.col("calibrating") | (F.col("before") < labelled_bytes)).select("doc_id", "toxic", "calibrating"))
+    rows = rows.join(F.broadcast(chosen), "doc_id")
     model = train_models(rows.where("not calibrating"))
     seen = with_evidence(rows.where("calibrating"), model, "evidence", "evidence").select("toxic", "evidence").toPandas()
     return calibrated(model, seen["evidence"].to_numpy(), seen["toxic"].to_numpy())
 
 
 def score_toxicity(docs: DataFrame, model: Model) -> DataFrame:
-    """docs with toxicity (0 to 1). A text without words, or null, has no evidence either way: the score of evidence 0."""
+    """docs with toxicity (0 to 1), in place of a column of that name. A text without words, or null, has no evidence
+    either way: the score of evidence 0. Rows all stay, repeated ones too; equal texts have equal scores."""
     return with_evidence(docs, model, "toxicity", "score")
 
 
