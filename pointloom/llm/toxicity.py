@@ -41,6 +41,8 @@ DISCOUNT = 10.0
 KEPT = 0.01
 #: About so many entries of the table pass the driver at once.
 SLICE = 1 << 18
+#: So many words, or one text's, are looked up at once.
+AT_ONCE = 1 << 16
 START = np.uint64(0)
 HELD_OUT, CALIBRATING = (0,), (1,)
 FOLDS = 5
@@ -80,12 +82,11 @@ class Model:
     slope: float = 1.0
     threshold: float = 0.0
 
-    def evidence(self, texts: list[str | None], hashes: _Hashes) -> np.ndarray:
-        """Of each text, what its words, all together, add: per word, and 0 without words."""
-        found = [word_hashes(text, hashes) for text in texts]
+    def evidence(self, found: list[np.ndarray]) -> np.ndarray:
+        """Of each text's word hashes, what all together add: per word, and 0 without words."""
         n = np.array([len(x) for x in found], np.int64)
         out = np.where(n > 0, self.unknown, 0.0)
-        if n.any():
+        if n.any():  # else there is nothing to put together
             w = np.concatenate(found)
             v = np.r_[START, w[:-1]]
             v[(np.cumsum(n) - n)[n > 0]] = START
@@ -198,7 +199,14 @@ def with_evidence(docs: DataFrame, model: Model, name: str, column: str) -> Data
     def measure(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         hashes = _Hashes()
         for texts in batches:
-            yield pa.array(model.evidence(texts.to_pylist(), hashes), pa.float64())
+            out, some, words = [np.empty(0)], [], 0
+            for text in texts:
+                some.append(word_hashes(text.as_py(), hashes))
+                words += len(some[-1])
+                if words > AT_ONCE:
+                    out.append(model.evidence(some))
+                    some, words = [], 0
+            yield pa.array(np.concatenate([*out, model.evidence(some)]), pa.float64())
 
     measure.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
     found = F.arrow_udf(measure, "double")(F.col("text"))
