@@ -1,16 +1,18 @@
 """Operator 10: packs token sequences of a fixed capacity by a configuration linear program.
 
 All that the program needs of the corpus is the histogram of piece lengths, at most `capacity` numbers. Multiplicative
-weights solve the covering program: every length has a weight, falling as it is covered; a knapsack dynamic program
-finds the configuration of the greatest weight; it enters with a part of the copies that its scarcest length has. The
-solution is scaled to what is there and rounded down; what is left is placed best fit, longest first, whole groups of
-equal sequences at a time. So the driver's work does not grow with the corpus. Then every piece finds its place by its
-rank among the pieces of its length.
+weights solve the covering program: every length has a price, falling as it is covered; a knapsack dynamic program finds
+the dearest configurations, one for each length, and those near the dearest enter with a small part of the copies that
+their scarcest length has. This stops at a stated gap between the bounds that prices and uses give, or after a number of
+rounds. The uses, scaled by the least covered length, are rounded down to what is there; what is left is placed best fit,
+longest first, whole groups of equal sequences at a time. So the driver's work does not grow with the corpus. Then every
+piece finds its place by its rank among the pieces of its length.
 """
 
 from __future__ import annotations
 
 import functools
+import json
 import re
 import struct
 import unicodedata
@@ -29,8 +31,11 @@ from pointloom.llm.common import cut, partitions, table
 
 CAPACITY = 4096
 SEPARATOR = 1
-ROUNDS = 400
-STEP = 1.0
+ROUNDS = 200
+STEP = 0.3
+GAP = 0.01
+#: Pieces shorter than this part of the capacity fill what is left in the end.
+SHORT = 256
 CACHED = 300_000
 
 
@@ -39,24 +44,41 @@ _OWN = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
 _BYTE = {b: chr(b) for b in _OWN} | {b: chr(256 + k) for k, b in enumerate(sorted({*range(256)} - {*_OWN}))}
 
 
+# How the vocabulary that CachedEncoder knows normalizes and splits texts, as its file says it.
+WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]}
+SPLITTING = {
+    "type": "Sequence",
+    "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": WORDS}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+    ],
+}
+
+
 class CachedEncoder:
     """The token ids of a text, as little-endian unsigned 32-bit integers, by a vocabulary of the tokenizers library.
 
     The vocabulary's splitting drops white space and never joins across it, so the ids of a text are those of its
     white-space-free chunks, and those the ids of a chunk's words. Both are looked up in bounded caches; the library's
     model merges new words. Texts with characters for which lower-casing, normal forms or white space could depend on
-    the context or differ between libraries go to the library whole.
+    the context or differ between libraries, or with a special token written out, go to the library whole; so do all
+    texts if the vocabulary has another normalizer or splitting than the one below.
     """
 
     #: Basic and extended Latin without control characters but tab, line feed and carriage return, general punctuation.
     PLAIN = re.compile("[\t\n\r -~\xa1-\u012f\u0132-\u024f\u2010-\u2027\u2030-\u205e]*")
-    WORD = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+    WORD = regex.compile(WORDS)
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        with open(path, encoding="utf-8") as f:
+            settings = json.load(f)
+        self.known_splitting = (settings["normalizer"], settings["pre_tokenizer"]) == (NORMALIZER, SPLITTING)
+        special = [re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.special = re.compile("|".join(special) or r"(?!)", re.IGNORECASE)
         self.model = self.tokenizer.model
         self.chunks: dict[str, bytes] = {}
         self.words: dict[str, bytes] = {}
@@ -71,7 +93,7 @@ class CachedEncoder:
         return ids
 
     def __call__(self, text: str) -> bytes:
-        if not self.PLAIN.fullmatch(text):
+        if not self.known_splitting or not self.PLAIN.fullmatch(text) or self.special.search(text):
             return self.whole([text])[0]
         found = unicodedata.normalize("NFC", text).lower().split()
         known = self.chunks
@@ -116,9 +138,10 @@ def cut_pieces(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, separ
 Group = tuple[int, list[tuple[int, int]]]  # equal sequences: how many, and their (length, copies)
 
 
-def _richest(weight: np.ndarray, capacity: int) -> dict[int, int]:
-    """Unbounded knapsack: the configuration of the greatest weight; weight[l] is that of length l, below 0 where there is none."""
-    best, last, down = np.zeros(capacity + 1), np.zeros(capacity + 1, np.int64), weight[:0:-1].copy()
+def _knapsack(price: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
+    """Unbounded knapsack: for every capacity up to this one the greatest price that fits, and the last length taken for
+    it (0: none more than for one less). price[l] is that of length l, below 0 where there is none."""
+    best, last, down = np.zeros(capacity + 1), np.zeros(capacity + 1, np.int64), price[:0:-1].copy()
     for c in range(1, capacity + 1):
         gain = best[:c] + down[-c:]  # of adding a length from c down to 1; the longest wins a tie
         k = int(gain.argmax())
@@ -126,8 +149,13 @@ def _richest(weight: np.ndarray, capacity: int) -> dict[int, int]:
             best[c], last[c] = gain[k], c - k
         else:
             best[c] = best[c - 1]
-    used: dict[int, int] = defaultdict(int)
-    c = capacity
+    return best, last
+
+
+def _with_length(length: int, last: np.ndarray, capacity: int) -> dict[int, int]:
+    """The dearest configuration that has this length."""
+    used: dict[int, int] = defaultdict(int, {length: 1})
+    c = capacity - length
     while c > 0:
         if last[c]:
             used[int(last[c])] += 1
@@ -135,27 +163,58 @@ def _richest(weight: np.ndarray, capacity: int) -> dict[int, int]:
     return used
 
 
+def fractional(count: np.ndarray, capacity: int, rounds: int = ROUNDS, step: float = STEP, gap: float = GAP) -> dict[tuple[tuple[int, int], ...], float]:
+    """Configurations, (length, copies) each, and how often each is used, in fractions, so that every piece of count is
+    covered by about as few uses as can be. (All lengths short of cover after the last round are covered in part.)
+
+    The prices start in proportion to the lengths, where the bound of all tokens by the capacity has them. A use that
+    covers a part p of a length's pieces takes its price times exp(-p).
+    """
+    lengths = np.nonzero(count)[0]
+    price = np.full(len(count), -1.0)
+    price[lengths] = lengths / capacity
+    covered, uses = np.zeros(len(count)), defaultdict(float)
+    bound = 0.0
+    for _ in range(rounds if len(lengths) else 0):
+        best, last = _knapsack(price, capacity)
+        enough = (1 - step) * best[capacity]
+        bound = max(bound, float(price[lengths] @ count[lengths]) / best[capacity])  # no cover has fewer uses
+        for length in lengths[np.argsort(covered[lengths], kind="stable")].tolist():
+            if price[length] + best[capacity - length] < enough:
+                continue
+            found = _with_length(length, last, capacity)
+            held, copies = np.array([*found]), np.array([*found.values()])
+            if float(price[held] @ copies) < enough:  # prices have fallen since
+                continue
+            part = copies / count[held]
+            times = step / part.max()
+            uses[tuple(sorted(found.items(), reverse=True))] += times
+            covered[held] += times * part
+            price[held] *= np.exp(-times * part)
+        price[lengths] /= price[lengths].max()
+        if (least := covered[lengths].min()) > 0 and sum(uses.values()) / least <= bound * (1 + gap):
+            break
+    least = max(1.0, float(covered[lengths].min())) if len(lengths) else 1.0
+    return {items: x / least for items, x in uses.items()}
+
+
 def configurations(count: np.ndarray, capacity: int, rounds: int = ROUNDS, step: float = STEP) -> list[Group]:
-    """Multiplicative weights for: cover count[l] pieces of each length l by the fewest configurations. Rounded down, so
-    that no length is used more often than it occurs. The prices start in proportion to the lengths, where the bound of
-    all tokens by the capacity has them."""
-    there = count > 0
-    price = np.where(there, np.arange(len(count)) / capacity, -1.0)
-    uses: dict[tuple[tuple[int, int], ...], float] = defaultdict(float)
-    for _ in range(rounds if there.any() else 0):
-        found = _richest(price, capacity)
-        lengths, copies = np.array([*found]), np.array([*found.values()])
-        part = copies / count[lengths]  # of the pieces of each length that one use covers
-        times = step / part.max()
-        uses[tuple(sorted(found.items(), reverse=True))] += times
-        price[lengths] *= np.exp(-times * part)
-    left, out = count.copy(), []
-    for items, x in sorted(uses.items(), key=lambda u: -u[1]):
-        if n := min(int(x), *(int(left[length]) // copies for length, copies in items)):
-            out.append((n, [*items]))
-            for length, copies in items:
-                left[length] -= n * copies
-    return out
+    """The fractional solution rounded: down at first, and then up as far as there are pieces, so that no length is used
+    more often than it occurs. Configurations that waste more than the solution does on average, and those with pieces
+    that are to fill what is left, are not used."""
+    uses = fractional(count, capacity, rounds, step)
+    waste = {items: capacity - sum(a * b for a, b in items) for items in uses}
+    most = sum(waste[items] * x for items, x in uses.items()) / max(sum(uses.values()), 1e-9)
+    order = sorted((waste[items], -x, items) for items, x in uses.items() if waste[items] <= most and items[-1][0] >= capacity // SHORT)
+    left, out = count.copy(), defaultdict(int)
+    for up in (False, True):
+        for _, x, items in order:
+            n = min(int(left[length]) // copies for length, copies in items)
+            if n := n if up else min(n, int(-x)):
+                out[items] += n
+                for length, copies in items:
+                    left[length] -= n * copies
+    return [(n, [*items]) for items, n in out.items()]
 
 
 def best_fit(count: np.ndarray, groups: list[Group], capacity: int) -> list[Group]:
@@ -191,13 +250,14 @@ def best_fit(count: np.ndarray, groups: list[Group], capacity: int) -> list[Grou
 
 def plan(count: np.ndarray, capacity: int, rounds: int = ROUNDS) -> pd.DataFrame:
     """Where the pieces of each length go: those of rank first to first + n - 1 into sequences base and up, `copies` in each from offset on."""
-    groups = configurations(count, capacity, rounds)
-    left = count.copy()
+    left, groups = count.copy(), configurations(count, capacity, rounds)
     for n, items in groups:
         for length, copies in items:
             left[length] -= n * copies
+    # Best fit alone may do better by a few sequences, where rounding is coarse.
+    packed = min(best_fit(left, groups, capacity), best_fit(count, [], capacity), key=lambda found: sum(n for n, _ in found))
     rows, base, taken = [], 0, np.zeros(capacity + 1, np.int64)
-    for n, items in best_fit(left, groups, capacity):
+    for n, items in packed:
         at = 0
         for length, copies in items:
             rows.append((length, int(taken[length]), n * copies, base, copies, at))

@@ -80,7 +80,6 @@ def test_packing(spark, rounds):
     found = packing.pack_documents(documents(spark), rounds=rounds).toPandas()
     check_packed(found, 4096)
     plain = Tokenizer.from_file(packing.default_vocabulary())
-    plain.encode_special_tokens = True
     by_id = {i: t for i, t in enumerate(texts())} | {None: "no id here"}
     for doc, part in found.groupby("doc_id"):
         ids = np.array([*plain.encode(by_id[int(doc)] or "", add_special_tokens=False).ids, 1], "<u4")
@@ -104,6 +103,47 @@ def test_plans_use_every_piece_once():
     assert len(packing.plan(np.zeros(9, np.int64), 8)) == 0
 
 
+def test_ids_are_the_library_s(tmp_path):
+    import json
+
+    other = json.load(open(packing.default_vocabulary(), encoding="utf-8"))
+    other["normalizer"]["normalizers"].pop()  # does not lower the case
+    (tmp_path / "other.json").write_text(json.dumps(other), encoding="utf-8")
+    said = ["<|endoftext|> x", "a<|ENDOFTEXT|>b", "x <|startoftext|>", "Plain, It's FINE 42", "\u1e9e\u0130 na\u00efve \u96ea", "", "a\u00a0b"]
+    for path in (packing.default_vocabulary(), str(tmp_path / "other.json")):
+        ours, plain = packing.CachedEncoder(path), Tokenizer.from_file(path)
+        for text in [*said, *filter(None, texts())]:
+            assert np.frombuffer(ours(text), "<u4").tolist() == plain.encode(text, add_special_tokens=False).ids, text
+    assert np.frombuffer(packing.CachedEncoder(packing.default_vocabulary())("<|endoftext|> x"), "<u4").tolist()[0] == 49407
+
+
+def sequences(plan):
+    return int((plan["base"] + plan["n"] // plan["copies"]).max())
+
+
+def test_the_program_beats_best_fit():
+    count = np.zeros(11, np.int64)
+    count[4], count[3] = 200, 400  # 4 + 3 + 3, where best fit takes 4 + 4 first
+    assert sequences(packing.plan(count, 10, rounds=0)) == 234 and sequences(packing.plan(count, 10)) == 200
+
+
+def test_most_pieces_come_from_the_program():
+    r = np.random.default_rng(8)
+    count = np.bincount(np.minimum(np.exp(r.normal(5, 1, 8000)).astype(int) + 2, 512), minlength=513) * 100
+    groups = packing.configurations(count, 512)
+    placed = sum(n * copies for n, items in groups for _, copies in items)
+    assert placed > count.sum() / 2
+    assert sequences(packing.plan(count, 512)) <= sequences(packing.plan(count, 512, rounds=0))
+    # What the prices bound: no cover is much better than the fractional one.
+    uses = packing.fractional(count, 512)
+    covered = np.zeros(513)
+    for items, x in uses.items():
+        assert sum(a * b for a, b in items) <= 512
+        for length, copies in items:
+            covered[length] += x * copies
+    assert sum(uses.values()) >= 0.9 * (count * np.arange(513)).sum() / 512 * min(1, (covered[count > 0] / count[count > 0]).min())
+
+
 def test_pipeline_stages(spark):
     from tests.llm.test_joins import components, repeated
 
