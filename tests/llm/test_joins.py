@@ -69,13 +69,15 @@ def one_edit(a, b):
 
 
 def repeated(rows):
-    lines = sorted((d, n, tuple(x.split())) for d, t in rows for n, x in enumerate((t or "").split("\n")) if x.split())
+    units = lambda w: tuple(w) if len(w) >= 4 else tuple("\t" + c for c in " ".join(w))
+    words = lambda x: re.findall(r"[^\x20\x09-\x0D]+", x)
+    lines = sorted((d, n, units(words(x))) for d, t in rows for n, x in enumerate((t or "").split("\n")) if words(x))
     first = {}
     for d, n, w in lines:
         first.setdefault(w, (d, n))
     out = {}
     for d, n, w in lines:
-        near = min((p for v, p in first.items() if v != w and p < first[w] and min(len(v), len(w)) >= 8 and one_edit(v, w)), default=None)
+        near = min((p for v, p in first.items() if v != w and p < first[w] and min(len(v), len(w)) >= 4 and one_edit(v, w)), default=None)
         of = near or (first[w] if first[w] < (d, n) else None)
         if of:
             out[d, n] = of
@@ -89,6 +91,14 @@ def test_repeated_lines(spark):
     assert line_dedup.repeated_lines(empty(spark)).count() == 0
 
 
+def test_short_lines_and_common_lines(spark):
+    said = ["one two three", "one two thred", "one two", "one twa", "a b c d", "a b c", "a b x d", "abcd", "abd", "abcx", "雪の夜道😀", "雪の夜道😁", "雪夜", "雪道", "a b c d e", "x"]
+    rows = [(i, "\n".join([t, "everywhere", "x"])) for i, t in enumerate(said)] + [(100 + i, "everywhere") for i in range(300)]
+    found = {(r["doc_id"], r["line_no"]): (r["of_id"], r["of_line_no"]) for r in line_dedup.repeated_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert found == repeated(rows)
+    assert found[1, 0] == (0, 0) and found[11, 0] == (10, 0) and (12, 0) not in found and found[399, 0] == (0, 1)
+
+
 def test_drop_repeated_lines(spark):
     docs = documents(spark)
     found = {r["doc_id"]: r for r in line_dedup.drop_repeated_lines(docs).collect()}
