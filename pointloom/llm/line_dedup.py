@@ -17,6 +17,8 @@ All of this is DataFrame functions.
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -24,14 +26,13 @@ from pointloom.llm.common import cut, maybe_in, partitions, table
 
 #: One edit in so many units is allowed, so lines of fewer are only compared for equality.
 LEAST_UNITS = 4
-WORD_BREAK = "[\\x20\\x09-\\x0D]+"
 
 
 def _lines(docs: DataFrame, id_column: str) -> DataFrame:
     """id, line_no (from 0) and units of every line that has a word; characters are marked by a tab, which no word holds."""
-    lines = docs.select(F.col(id_column).alias("id"), F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
-    words = F.filter(F.split("line", WORD_BREAK), lambda w: w != "")
-    found = lines.where(F.col("line").rlike("[^\\x20\\x09-\\x0D]")).select("id", "line_no", words.alias("words"))
+    text = functools.reduce(lambda x, c: F.replace(x, F.lit(c), F.lit(" ")), "\t\v\f\r", F.col("text"))
+    lines = docs.select(F.col(id_column).alias("id"), F.posexplode(F.split(text, "\n")).alias("line_no", "line"))
+    found = lines.where(F.trim("line") != "").select("id", "line_no", F.array_remove(F.split("line", " "), "").alias("words"))
     characters = F.transform(F.split(F.array_join("words", " "), ""), lambda c: F.concat(F.lit("\t"), c))
     return found.select("id", "line_no", F.when(F.size("words") >= LEAST_UNITS, F.col("words")).otherwise(characters).alias("units"))
 
