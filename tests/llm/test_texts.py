@@ -4,6 +4,7 @@ import re
 
 import numpy as np
 import public_tokenizers
+import pytest
 import tiktoken
 from pyspark.sql import functions as F
 
@@ -66,7 +67,7 @@ def test_toxicity_odd_cases(spark):
     assert len(scores) == len(texts()) + 2 and all(0 <= s <= 1 for s in scores)
 
 
-def test_rare_words_tell(spark):
+def test_rare_words_tell(spark, monkeypatch):
     r = np.random.default_rng(4)
     both = [" ".join(r.choice([f"v{i}" for i in range(50)], 60)) for _ in range(200)]
     said = [(x + (" grom" if toxic and i < 5 else ""), toxic) for i, x in enumerate(both) for toxic in (0, 1)]
@@ -75,9 +76,19 @@ def test_rare_words_tell(spark):
     measured = lambda model: [x["e"] for x in toxicity.with_evidence(texts.coalesce(1), model, "e", "evidence").collect()]
     plain, rare, empty_text, null = measured(toxicity.train_models(rows))
     assert rare - plain > 1e-4 and empty_text == null == 0
-    # In parts, the same.
-    parts = {x["text"]: x["e"] for x in toxicity.with_evidence(texts, toxicity.train_models(rows, at_once=500), "e", "evidence").collect()}
-    assert len(parts) == 4 and abs(parts["v1 grom v3"] - rare) < 1e-12 and abs(parts["v1 v2 v3"] - plain) < 1e-12 and parts[None] == 0
+    # In slices, and looked up a few at a time, the same.
+    monkeypatch.setattr(toxicity, "SLICE", 500)
+    monkeypatch.setattr(toxicity, "AT_ONCE", 1)
+    assert measured(toxicity.train_models(rows)) == pytest.approx([plain, rare, 0, 0], abs=1e-12)
+
+
+def test_labelled_texts_have_a_bound(spark):
+    docs = spark.createDataFrame([(i, "grom " * 20 if i % 2 else "v1 " * 20, "x") for i in range(60)], "doc_id long, text string, toxicity string")
+    labels = docs.select("doc_id", (F.col("doc_id") % 2).cast("int").alias("toxic"))
+    for most in (1, 1 << 20):  # one text of each class, or all
+        scores = {r["doc_id"]: r["toxicity"] for r in toxicity.score_toxicity(docs, toxicity.fit_toxicity(docs, labels, labelled_bytes=most)).collect()}
+        assert len(scores) == 60 and scores[1] > 0.5 > scores[0]
+    assert toxicity.score_toxicity(empty(spark), toxicity.fit_toxicity(empty(spark), labels)).count() == 0
 
 
 def test_backoff_counts_contexts(spark):
@@ -151,7 +162,7 @@ def test_letters_only_and_glued_secrets():
 def test_bpe_equals_tiktoken(spark):
     ranks = bpe.read_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
     plain = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-    odd = [None, "", " ", "  two  spaces\n\n\n x", "it's we'LL ½ ² ٣٤ é́ 雪雪 \U0001f600​  z", "a" * 60, "tab\tend\r\n  ", "<|endoftext|>", "one two one two"]
+    odd = [None, "", " ", "  two  spaces\n\n\n x", "it's we'LL ½ ² ٣٤ é́ 雪雪 \U0001f600​  z", "a" * 60, "".join(np.random.default_rng(9).choice(list("abcdefghij"), 3000)), "tab\tend\r\n  ", "<|endoftext|>", "one two one two"]
     rows = [*enumerate(odd), (3, odd[3]), (None, "no id")]
     found = bpe.encode_documents(spark.createDataFrame(rows, "doc_id long, text string"), ranks, public_tokenizers.PATTERN).collect()
     assert len(found) == len(rows)
