@@ -29,6 +29,10 @@ class SchemaMismatchError(PointloomError):
     pass
 
 
+class WriteConflictError(PointloomError):
+    pass
+
+
 class SnapshotError(PointloomError):
     pass
 

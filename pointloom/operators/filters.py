@@ -8,6 +8,8 @@ leaf; a missing key has none.
 from __future__ import annotations
 
 import math
+import operator
+from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
 from numbers import Real
@@ -19,9 +21,6 @@ from pyspark.sql import functions as F
 from pointloom import ids
 from pointloom.errors import InvalidFilterError, InvalidPointError
 
-#: Arrays directly within arrays are expanded this many levels deep by the compiled filter.
-ARRAY_DEPTH = 3
-
 
 def _path(path: str) -> list[str]:
     if not isinstance(path, str) or not all(parts := path.split(".")):
@@ -132,10 +131,17 @@ def matches_filter(condition: Condition, point_id: object, payload: dict) -> boo
 
 
 def _expanded(found: Column) -> Column:
-    """An array of variants, with arrays among them replaced by their elements."""
-    for _ in range(ARRAY_DEPTH):
-        found = F.flatten(F.transform(found, lambda x: F.coalesce(F.when(F.schema_of_variant(x).startswith("ARRAY"), F.try_variant_get(x, "$", "array<variant>")), F.array(x))))
-    return found
+    """An array of variants, with arrays among them, however deep, replaced by their elements."""
+    is_array = lambda x: F.schema_of_variant(x).startswith("ARRAY")
+    opened = lambda xs: F.flatten(F.transform(xs, lambda x: F.coalesce(F.when(is_array(x), F.try_variant_get(x, "$", "array<variant>")), F.array(x))))
+    brackets = lambda x: F.length(F.to_json(x)) - F.length(F.replace(F.to_json(x), F.lit("["), F.lit("")))
+
+    def all_opened(xs: Column) -> Column:
+        most = F.array_max(F.transform(xs, brackets))  # no value is deeper than its brackets are many
+        return F.aggregate(F.sequence(F.lit(1), most), xs, lambda done, _: F.when(F.exists(done, is_array), opened(done)).otherwise(done))
+
+    once = F.transform(F.array(found), lambda xs: F.when(F.exists(xs, is_array), all_opened(xs)).otherwise(xs))
+    return F.get(once, F.lit(0))
 
 
 def _getter(at: str):
@@ -187,9 +193,18 @@ def compile_filter(condition: Condition, payload: Column | None, key: Column) ->
         return sure(F.exists(found, lambda x: F.coalesce(_equal(x, condition.value), F.lit(False))))
 
     def within(x: Column) -> Column:
-        n, out = _number(x), F.lit(True)
-        for bound, holds in ((condition.gt, n.__gt__), (condition.gte, n.__ge__), (condition.lt, n.__lt__), (condition.lte, n.__le__)):
-            out = out if bound is None else out & holds(float(bound))
-        return F.coalesce(out, F.lit(False))
+        n, whole = _number(x), F.try_variant_get(x, "$", "decimal(38,0)")
+        is_whole = F.schema_of_variant(x).rlike(r"^(BIGINT|DECIMAL\(\d+,0\))")
+
+        def holds(bound: float | None, op: Callable, rounded: Callable) -> Column:
+            if bound is None:
+                return F.lit(True)
+            beyond = abs(bound) >= 1e37  # of any whole number here
+            as_double = op(n, F.lit(float(bound)))
+            return as_double if beyond else F.when(is_whole, op(whole, F.lit(str(rounded(bound))).cast("decimal(38,0)"))).otherwise(as_double)
+
+        # A whole number is above b if and only if it is above b rounded down, and so on: doubles would not tell large ones apart.
+        parts = (holds(condition.gt, operator.gt, math.floor), holds(condition.gte, operator.ge, math.ceil), holds(condition.lt, operator.lt, math.ceil), holds(condition.lte, operator.le, math.floor))
+        return F.coalesce(reduce(operator.and_, parts), F.lit(False))
 
     return sure(F.exists(found, within))

@@ -5,6 +5,8 @@ Points are (id, vector array<double>, any payload columns). Results are ordered
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -17,22 +19,39 @@ def _prepared(vector: Column, metric: Distance) -> Column:
     return normalized(vector) if metric == Distance.COSINE else vector
 
 
+def _asked(query: Column, metric: Distance) -> Column:
+    """The query's vector, prepared; a task that meets one without direction, or not finite, raises an error."""
+    bad = query.isNull() | F.exists(query, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
+    if metric == Distance.COSINE:
+        bad |= ~F.exists(query, lambda x: x != 0)
+    return F.when(bad, F.raise_error(F.lit("a query needs a finite vector, not zero for cosine")).cast("array<double>")).otherwise(_prepared(query, metric))
+
+
+def _scored(vector: Column, query: Column, value: Column) -> Column:
+    """value, unless the dimensions differ: that raises an error. A point without a vector has no score."""
+    differ = F.raise_error(F.concat(F.lit("a query of another dimension: "), F.size(query).cast("string"))).cast("double")
+    return F.when(F.size(vector) != F.size(query), differ).otherwise(value)
+
+
 def scored(points: DataFrame, query: DataFrame, metric: Distance, strict: bool = False) -> DataFrame:
     """points with `score` against the one row of `query`, its column q. For cosine, points are to be stored normalized."""
-    q = query.limit(1).select(_prepared(F.col("q"), metric).alias("q"))
+    q = query.limit(1).select(_asked(F.col("q"), metric).alias("q"))
     both = points.crossJoin(F.broadcast(q))
     value = strict_score(metric)("vector", "q") if strict else score(F.col("vector"), F.col("q"), metric)
-    return both.withColumn("score", value).drop("q")
+    return both.withColumn("score", _scored(F.col("vector"), F.col("q"), value)).drop("q")
 
 
 def top_k(points: DataFrame, query: DataFrame, k: int, metric: Distance = Distance.DOT, where: Column | None = None, threshold: float | None = None, strict: bool = False) -> DataFrame:
-    """The k nearest points that satisfy `where`, of score >= threshold. Filters run before scores."""
+    """The k nearest points that satisfy `where`, of score >= threshold. Filters run before scores. Points without a
+    vector are left out; a query of another dimension, not finite, or zero for cosine fails."""
     if k < 1:
         raise ValueError("k must be at least 1")
+    if threshold is not None and not math.isfinite(threshold):
+        raise ValueError("threshold must be finite")
     found = scored(points if where is None else points.where(where), query, metric, strict)
     if threshold is not None:
         found = found.where(F.col("score") >= threshold)
-    return found.orderBy(F.desc("score"), "id").limit(k)
+    return found.where(F.col("score").isNotNull()).orderBy(F.desc("score"), "id").limit(k)
 
 
 def batch_top_k(points: DataFrame, queries: DataFrame, k: int, metric: Distance = Distance.DOT) -> DataFrame:
@@ -40,10 +59,10 @@ def batch_top_k(points: DataFrame, queries: DataFrame, k: int, metric: Distance
 
     Every task scores its points against all queries, and keeps k a query before anything is shuffled.
     """
-    q = queries.select("query_id", _prepared(F.col("q"), metric).alias("q"))
+    q = queries.select("query_id", _asked(F.col("q"), metric).alias("q"))
     pairs = points.select("id", "vector").join(F.broadcast(q), F.col("id") != F.col("query_id"))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
-    found = pairs.select("query_id", "id", score(F.col("vector"), F.col("q"), metric).alias("score"))
+    found = pairs.select("query_id", "id", _scored(F.col("vector"), F.col("q"), score(F.col("vector"), F.col("q"), metric)).alias("score"))
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 

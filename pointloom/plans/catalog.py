@@ -384,6 +384,16 @@ def hnsw_default_ef(spark, d):
     return shown(hnsw.search(hnsw.build(p), one_query(p), 10))
 
 
+@query("SELECT true AS enough")
+def hnsw_recall(spark, d):
+    """Whether the default search finds nine in ten of the exact ten nearest, over all points divisible by 50."""
+    p = points(spark, d)
+    q = p.where("id % 50 = 0").select(F.col("id").alias("query_id"), F.col("vector").alias("q"))
+    exact = search.batch_top_k(p, q, 10).select("query_id", "id")
+    about = hnsw.search(hnsw.build(p), q, 11).where("id <> query_id").select("query_id", "id").withColumn("hit", F.lit(1))
+    return exact.join(about, ["query_id", "id"], "left").agg((F.count("hit") / F.count("*") >= 0.9).alias("enough"))
+
+
 def stored(spark: SparkSession, d: str) -> Collection:
     """The history above as a collection in the shared folder: two upserts and a deletion."""
     c = Collection.create(spark, tempfile.mktemp(prefix="pointloom-collection-", dir=shared_folder(spark)), dimension=64, distance=Distance.DOT)

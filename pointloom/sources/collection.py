@@ -8,6 +8,7 @@ writer at a time. Paths may be on any file system that Spark writes to.
 from __future__ import annotations
 
 import json
+import math
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -16,7 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pointloom.config import CollectionConfig, Distance, PayloadSchema, ScalarQuantizationConfig
-from pointloom.errors import CollectionExistsError, CollectionNotFoundError, InvalidPointError, InvalidVectorError, SchemaMismatchError, SnapshotError
+from pointloom.errors import CollectionExistsError, CollectionNotFoundError, InvalidPointError, InvalidVectorError, SchemaMismatchError, SnapshotError, WriteConflictError
 from pointloom.functions.distance import normalized
 from pointloom.operators import payload_index, search, versions
 from pointloom.operators.filters import Condition, compile_filter
@@ -104,9 +105,9 @@ class Collection:
     def manifest(self) -> dict:
         return self.files.read("manifest.json")
 
-    def rows(self) -> DataFrame:
-        """All rows of all batches, superseded ones included, with their segment_id; the batches of this moment."""
-        batches = self.manifest["batches"]
+    def rows(self, manifest: dict | None = None) -> DataFrame:
+        """All rows of all batches, superseded ones included, with their segment_id; the batches of this moment, or of a manifest."""
+        batches = (manifest or self.manifest)["batches"]
         if not batches:
             return self.spark.createDataFrame([], ROWS + ", segment_id string")
         tables = self.spark.read.schema(ROWS).parquet(*(f"{self.path}/{b}" for b in batches))
@@ -115,7 +116,7 @@ class Collection:
     def points(self) -> DataFrame:
         """id, vector, payload (VARIANT) and version of live points. A single compacted batch needs no shuffle."""
         state = self.manifest
-        found = self.rows().drop("segment_id")
+        found = self.rows(state).drop("segment_id")
         found = found if state.get("compacted") and len(state["batches"]) == 1 else versions.live(found)
         return found.select("id", "vector", F.parse_json("payload").alias("payload"), "version")
 
@@ -133,6 +134,9 @@ class Collection:
 
     def search(self, query: DataFrame, k: int, condition: Condition | None = None, threshold: float | None = None, exact: bool = False) -> DataFrame:
         """The k nearest live points to the one row q of query; through int8 codes if the collection is quantized and exact is not asked for."""
+        asked = query.first()["q"]  # one row
+        if asked is None or len(asked) != self.config.dimension or not all(x is not None and math.isfinite(x) for x in asked) or (self.config.distance == Distance.COSINE and not any(asked)):
+            raise InvalidVectorError(f"a query needs {self.config.dimension} finite numbers, not all 0 for cosine")
         where = None if condition is None else self._holds(condition)
         if self.config.quantization and not exact and threshold is None:
             return search.quantized_top_k(self.points(), query, k, self.config.distance, self.config.quantization.oversampling, where)
@@ -140,14 +144,20 @@ class Collection:
 
     # -- writing
 
-    def _append(self, make: Callable[[int], DataFrame], compacted: bool = False, upto: int | None = None) -> int:
-        """Write make(version) as a batch and publish it; with upto, in place of the batches that were there."""
-        state = self.manifest
+    def _append(self, make: Callable[[int], DataFrame], compacted: bool = False, upto: dict | None = None) -> int:
+        """Write make(version) as a batch and publish it; with upto, in place of the batches of that manifest."""
+        state = upto or self.manifest
         version = state["version"] + (upto is None)
         name = f"batch-{version:012d}-{uuid.uuid4().hex[:8]}"
         make(version).write.parquet(f"{self.path}/{name}")
-        batches = [name] if upto is not None else [*state["batches"], name]
-        self.files.replace("manifest.json", {"generation": state["generation"] + 1, "batches": batches, "version": version, "compacted": compacted})
+        now = self.manifest  # others may have published meanwhile
+        if upto is None and now["version"] != state["version"]:
+            raise WriteConflictError(f"version {version} was taken while it was written; write again")
+        late = [b for b in now["batches"] if b not in state["batches"]] if upto else []
+        if upto and len(late) != len(now["batches"]) - len(state["batches"]):
+            raise WriteConflictError("the batches were replaced meanwhile")
+        batches = [name, *late] if upto else [*now["batches"], name]
+        self.files.replace("manifest.json", {"generation": now["generation"] + 1, "batches": batches, "version": max(version, now["version"]), "compacted": compacted and not late})
         return version
 
     def _checked(self, points: DataFrame) -> DataFrame:
@@ -213,9 +223,10 @@ class Collection:
         return self.points().withColumns(columns) if columns else self.points()
 
     def optimize(self) -> None:
-        """One batch of live points in place of all; earlier files stay for readers that hold them, until vacuum()."""
-        boundary = self.manifest["version"]
-        self._append(lambda _: versions.compacted(self.rows().drop("segment_id"), boundary), compacted=True, upto=boundary)
+        """One batch of live points in place of all that are there now; batches published meanwhile stay beside it.
+        Earlier files stay for readers that hold them, until vacuum()."""
+        state = self.manifest
+        self._append(lambda _: versions.compacted(self.rows(state).drop("segment_id"), state["version"]), compacted=True, upto=state)
 
     def vacuum(self) -> int:
         """Deletes batches that do not count any more; only when no search of theirs is at work."""

@@ -7,7 +7,7 @@ import re
 from pyspark.sql import SparkSession
 
 from pointloom.config import Distance
-from pointloom.errors import ClosedResourceError, CollectionNotFoundError
+from pointloom.errors import ClosedResourceError
 from pointloom.sources.collection import Collection, _Files
 
 NAME = re.compile(r"[A-Za-z0-9][A-Za-z0-9_-]{0,127}")
@@ -50,12 +50,13 @@ class Database:
         if not replace:
             return Collection.restore(self.spark, snapshot, path)
         beside = Collection.restore(self.spark, snapshot, f"{self.path}/.{name}-restored")
-        try:
-            self.drop_collection(name)
-        except CollectionNotFoundError:
-            pass
-        files = _Files(self.spark, beside.path)
-        files.fs().rename(files.path(), _Files(self.spark, path).path())
+        files, old = _Files(self.spark, beside.path), _Files(self.spark, f"{self.path}/.{name}-replaced")
+        there = _Files(self.spark, path)
+        old.fs().delete(old.path(), True)
+        if there.exists():  # it steps aside, and goes once the other has its place
+            there.fs().rename(there.path(), old.path())
+        files.fs().rename(files.path(), there.path())
+        old.fs().delete(old.path(), True)
         return Collection.open(self.spark, path)
 
     def close(self) -> None:

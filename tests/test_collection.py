@@ -32,16 +32,16 @@ def state(c):
 
 
 def test_versions_patches_and_reopening(spark, tmp_path):
-    c = made(spark, tmp_path / "c", [(1, [1.0, 0.0], '{"a":1,"remove":2}'), (2, [0.0, 1.0], None)])
-    assert c.upsert(spark.createDataFrame([(2, [0.5, 0.5], '{"kind":"new"}')], ROWS)) == 2
-    assert c.merge_payload(ids(spark, 1), '{"active":true}') == 3
-    assert c.delete_payload_keys(ids(spark, 1, 77), ["remove"]) == 4
+    c = made(spark, tmp_path / "c", [(1, [1.0, 0.0], '{"size":1,"old":2}'), (2, [0.0, 1.0], None)])
+    assert c.upsert(spark.createDataFrame([(2, [0.5, 0.5], '{"shade":"blue"}')], ROWS)) == 2
+    assert c.merge_payload(ids(spark, 1), '{"lit":true}') == 3
+    assert c.delete_payload_keys(ids(spark, 1, 77), ["old"]) == 4
     assert c.replace_payload(ids(spark, 99), "{}") is None and c.manifest["version"] == 4
     assert c.delete(ids(spark, 99)) == 5
     c = Collection.open(spark, c.path)
-    assert state(c) == {1: {"a": 1, "active": True}, 2: {"kind": "new"}}
+    assert state(c) == {1: {"size": 1, "lit": True}, 2: {"shade": "blue"}}
     c.optimize()
-    assert state(c) == {1: {"a": 1, "active": True}, 2: {"kind": "new"}} and len(c.manifest["batches"]) == 1
+    assert state(c) == {1: {"size": 1, "lit": True}, 2: {"shade": "blue"}} and len(c.manifest["batches"]) == 1
     assert c.vacuum() > 0 and c.count() == 2
     c.delete(ids(spark, 1))
     assert [r["id"] for r in c.search(query(spark, 1, 0), 5).collect()] == [2]
@@ -62,15 +62,18 @@ def test_first_row_of_a_batch_counts(spark, tmp_path):
 
 
 def test_search_filters_cosine_and_quantized(spark, tmp_path):
-    rows = [(1, [1.0, 0.0], '{"category":"book"}'), (2, [0.8, 0.2], '{"category":"movie"}'), (3, [0.7, 0.3], '{"category":"book"}')]
+    rows = [(4, [3.0, 0.1], '{"hue":"teal"}'), (5, [2.0, 1.0], '{"hue":"rust"}'), (6, [1.0, 1.1], '{"hue":"teal"}')]
     c = made(spark, tmp_path / "c", rows, distance=Distance.COSINE, quantization=ScalarQuantizationConfig())
-    assert [r["id"] for r in c.search(query(spark, 2, 0), 2, Match("category", "book")).collect()] == [1, 3]
-    assert [r["id"] for r in c.search(query(spark, 1, 0), 2, exact=True).collect()] == [1, 2]
+    assert [r["id"] for r in c.search(query(spark, 2, 0), 2, Match("hue", "teal")).collect()] == [4, 6]
+    assert [r["id"] for r in c.search(query(spark, 1, 0), 2, exact=True).collect()] == [4, 5]
     with pytest.raises(InvalidVectorError):
-        c.upsert(spark.createDataFrame([(4, [0.0, 0.0], "{}")], ROWS))
-    c.create_payload_index("category", PayloadSchema.KEYWORD)
-    assert Collection.open(spark, c.path).indexed_points().where(F.array_contains("__pidx_0", "book")).count() == 2
-    assert c.search(query(spark, 1, 0), 9, Range("category", gt=1)).count() == 0
+        c.upsert(spark.createDataFrame([(7, [0.0, 0.0], "{}")], ROWS))
+    for bad in ((1,), (0, 0), (1, float("inf"))):
+        with pytest.raises(InvalidVectorError):
+            c.search(query(spark, *bad), 2)
+    c.create_payload_index("hue", PayloadSchema.KEYWORD)
+    assert Collection.open(spark, c.path).indexed_points().where(F.array_contains("__pidx_0", "teal")).count() == 2
+    assert c.search(query(spark, 1, 0), 9, Range("hue", gt=1)).count() == 0
 
 
 def test_a_search_keeps_its_batches(spark, tmp_path):
@@ -81,6 +84,24 @@ def test_a_search_keeps_its_batches(spark, tmp_path):
     assert before.count() == 1 and c.count() == 0
 
 
+def test_writes_during_optimize_stay(spark, tmp_path, monkeypatch):
+    c = made(spark, tmp_path / "c", [(1, [1.0, 0.0], "{}"), (2, [1.0, 0.0], "{}")])
+    real = Collection.rows
+
+    def rows(self, manifest=None):  # while the batches are read, another writer publishes
+        monkeypatch.setattr(Collection, "rows", real)
+        other = Collection.open(spark, c.path)
+        other.delete(ids(spark, 1))
+        other.upsert(spark.createDataFrame([(3, [0.0, 1.0], "{}")], ROWS))
+        return real(self, manifest)
+
+    monkeypatch.setattr(Collection, "rows", rows)
+    c.optimize()
+    assert set(state(c)) == {2, 3} and len(c.manifest["batches"]) == 3 and c.manifest["version"] == 3
+    c.optimize()
+    assert set(state(c)) == {2, 3} and len(c.manifest["batches"]) == 1
+
+
 def test_snapshots_and_names(spark, tmp_path):
     c = made(spark, tmp_path / "c", [(1, [1.0, 0.0], '{"x":1}')])
     snap = c.create_snapshot(str(tmp_path / "snap"))

@@ -24,8 +24,12 @@ def test_exact_order_ties_and_threshold(spark):
     assert [r["id"] for r in search.top_k(p, query(spark, [1, 0]), 9, threshold=0.5).collect()] == [1, 3, 2]
     far = search.top_k(p, query(spark, [1, 0]), 4, Distance.EUCLID).collect()
     assert [(r["id"], r["score"]) for r in far] == [(1, 0.0), (3, 0.0), (2, -0.25), (4, -4.0)]
-    with pytest.raises(ValueError):
-        search.top_k(p, query(spark, [1, 0]), 0)
+    for bad in ({"k": 0}, {"k": 1, "threshold": float("nan")}):
+        with pytest.raises(ValueError):
+            search.top_k(p, query(spark, [1, 0]), **bad)
+    for q, metric in (([1], Distance.DOT), ([0, 0], Distance.COSINE), ([1, float("nan")], Distance.EUCLID)):
+        with pytest.raises(Exception, match="a query"):
+            search.top_k(p, query(spark, q), 2, metric).collect()
 
 
 def test_filter_runs_before_the_scores(spark):
