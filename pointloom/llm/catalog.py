@@ -24,4 +24,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     )
 }
 
-ORACLE_SQL: dict[str, str] = {"op3_deletion_line_dedup": line_dedup.OP3_SQL}
+ORACLE_SQL: dict[str, str] = {"op3_deletion_line_dedup": line_dedup.OP3_SQL, "op5_adaptive_prefix_join": ngram_join.OP5_SQL}
