@@ -106,7 +106,7 @@ def encode_documents(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_
     """id_column, n_tokens, ids (array of int) and decoded (binary) for each row of docs; other columns are not read.
 
     Null and empty texts have no tokens, an empty table no rows. Rows that repeat have a row each; ids may be null and
-    may repeat. A word's work grows with the square of its length, at about a second for 20,000 letters. The ranks must
+    may repeat. A word's work grows with the square of its length, at some half a minute for 20,000 letters. The ranks must
     be 0 and up without a gap, and hold all single bytes.
     """
     assert sorted(ranks.values()) == list(range(len(ranks))), "a piece must stand at its rank"
