@@ -44,6 +44,20 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+#: Whole texts go to Python at most so many rows at a time: Spark's own 10,000 would take a task's memory by the texts' length.
+BATCH_ROWS = 1000
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def in_small_batches(docs: DataFrame) -> DataFrame:
+    """docs, of whose session Arrow batches from now on hold BATCH_ROWS rows at most, or fewer if it says so. No result
+    depends on the batches."""
+    conf = docs.sparkSession.conf
+    if not 0 < int(conf.get(_BATCH)) <= BATCH_ROWS:
+        conf.set(_BATCH, str(BATCH_ROWS))
+    return docs
+
+
 def id_bucket(column: str, modulus: int) -> Column:
     """crc32 of the id as text, modulo modulus: which rows a model may learn from. A null id counts as 0."""
     return F.coalesce(F.crc32(F.col(column).cast("string")), F.lit(0)) % modulus

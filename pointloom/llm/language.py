@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pointloom.llm.common import id_bucket, table
+from pointloom.llm.common import id_bucket, in_small_batches, table
 
 BUCKETS = 1 << 16
 EM_STEPS = 12
@@ -111,7 +111,7 @@ def train_language_model(docs: DataFrame, text: str = "text", lang: str = "lang"
             yield pa.record_batch([pa.array([language] * len(which), pa.string()), pa.array(which), pa.array(n[which])], ["lang", "bucket", "n"])
 
     rows = (
-        docs.where(F.col(text).isNotNull() & F.col(lang).isNotNull())
+        in_small_batches(docs).where(F.col(text).isNotNull() & F.col(lang).isNotNull())
         .select(F.col(lang).cast("string"), text)
         .mapInArrow(counts, "lang string, bucket long, n long")
         .groupBy("lang", "bucket")
@@ -149,7 +149,7 @@ def predict_languages(docs: DataFrame, model: Model, text: str = "text", column:
             yield pa.array(rows, kind)
 
     infer.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
-    return docs.withColumn(column, F.arrow_udf(infer, PREDICTED)(F.col(text)))
+    return in_small_batches(docs).withColumn(column, F.arrow_udf(infer, PREDICTED)(F.col(text)))
 
 
 def op6_language_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:

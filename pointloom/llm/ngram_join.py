@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from pointloom.llm.common import cut, maybe_in, table
+from pointloom.llm.common import cut, in_small_batches, maybe_in, table
 from pointloom.llm.graph import connected_components
 from pointloom.llm.shingles import WORDS, Shingler, set_keys
 
@@ -71,7 +71,7 @@ def _sizes_and_buckets(docs: DataFrame, id_column: str, words: int) -> DataFrame
             counts += np.bincount(np.concatenate(some or [np.empty(0, np.int32)]), minlength=len(counts))
             yield pa.record_batch([pa.nulls(1, f.type) for f in list(schema)[:4]] + [pa.array([counts], pa.list_(pa.int64()))], schema=schema)
 
-    return docs.select(id_column, F.col("text").cast("binary")).mapInArrow(task, f"id {kind}, n int, k1 long, k2 long, counts array<long>")
+    return in_small_batches(docs).select(id_column, F.col("text").cast("binary")).mapInArrow(task, f"id {kind}, n int, k1 long, k2 long, counts array<long>")
 
 
 def _ordered(found: np.ndarray, crowd: np.ndarray, percent: int) -> np.ndarray:
@@ -94,7 +94,7 @@ def _prefix_grams(docs: DataFrame, crowd, words: int, percent: int) -> DataFrame
                     keys.append(np.full(len(grams[-1]), set_keys(found)[0], np.int64))
             yield pa.record_batch([pa.array(np.concatenate(keys)), pa.array(np.concatenate(grams).view(np.int64))], ["k1", "gram"])
 
-    return docs.select(F.col("text").cast("binary")).mapInArrow(task, "k1 long, gram long")
+    return in_small_batches(docs).select(F.col("text").cast("binary")).mapInArrow(task, "k1 long, gram long")
 
 
 def _whole_sets(docs: DataFrame, crowd, words: int, percent: int) -> DataFrame:
@@ -115,7 +115,7 @@ def _whole_sets(docs: DataFrame, crowd, words: int, percent: int) -> DataFrame:
                 ["k1", "k2", "n", "prefix", "grams"],
             )
 
-    return docs.select(F.col("text").cast("binary")).mapInArrow(task, "k1 long, k2 long, n int, prefix array<long>, grams array<long>")
+    return in_small_batches(docs).select(F.col("text").cast("binary")).mapInArrow(task, "k1 long, k2 long, n int, prefix array<long>, grams array<long>")
 
 
 def _entities(docs: DataFrame, id_column: str, sets: DataFrame, crowd, words: int, percent: int) -> DataFrame:

@@ -27,7 +27,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from pointloom.llm.common import cut, partitions, table
+from pointloom.llm.common import cut, in_small_batches, partitions, table
 
 CAPACITY = 4096
 SEPARATOR = 1
@@ -132,7 +132,7 @@ def cut_pieces(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, separ
             yield pa.record_batch(arrays, ["doc_id", "piece", "start", "length", "ids_crc32"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(pieces, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long")
+    return in_small_batches(docs).select("doc_id", "text").mapInArrow(pieces, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long")
 
 
 Group = tuple[int, list[tuple[int, int]]]  # equal sequences: how many, and their (length, copies)

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pointloom.llm.common import table
+from pointloom.llm.common import in_small_batches, table
 
 ASSIGN = re.compile(
     r"""(?:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII
@@ -152,7 +152,7 @@ def scan_secrets(docs: DataFrame, vocabulary: str, text: str = "text") -> DataFr
             yield pa.array(rows, kind)
 
     spans.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
-    return docs.withColumn("spans", F.arrow_udf(spans, SPANS)(F.col(text)))
+    return in_small_batches(docs).withColumn("spans", F.arrow_udf(spans, SPANS)(F.col(text)))
 
 
 def redact(text: str, spans: list[tuple[int, int]], mark: str) -> str:
@@ -177,7 +177,7 @@ def redact_secrets(docs: DataFrame, vocabulary: str, mark: str = "[SECRET]") ->
             yield pa.array(rows, pa.string())
 
     clean.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
-    out = docs.withColumn("text", F.arrow_udf(clean, "string")(F.col("text")))
+    out = in_small_batches(docs).withColumn("text", F.arrow_udf(clean, "string")(F.col("text")))
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
 
 

@@ -6,7 +6,8 @@ import numpy as np
 import xxhash
 
 WORDS = 5
-CACHED = 500_000
+#: Hashing a word anew costs little more than looking it up.
+CACHED = 1 << 16
 
 
 class _WordHashes(dict):
