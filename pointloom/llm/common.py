@@ -44,17 +44,21 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-#: Whole texts go to Python at most so many rows at a time: Spark's own 10,000 would take a task's memory by the texts' length.
+#: Whole texts go to Python at most so many rows, and about so many bytes, at a time: Spark's own 10,000 rows would take a
+#: task's memory by the texts' length. (A single text beyond that is a batch of its own.)
 BATCH_ROWS = 1000
-_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+BATCH_BYTES = 4 << 20
+_BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": BATCH_ROWS, "spark.sql.execution.arrow.maxBytesPerBatch": BATCH_BYTES}
 
 
 def in_small_batches(docs: DataFrame) -> DataFrame:
-    """docs, of whose session Arrow batches from now on hold BATCH_ROWS rows at most, or fewer if it says so. No result
-    depends on the batches."""
+    """docs, of whose session Arrow batches from now on hold BATCH_ROWS rows and about BATCH_BYTES bytes at most, or fewer
+    if it says so. No result depends on the batches."""
     conf = docs.sparkSession.conf
-    if not 0 < int(conf.get(_BATCH)) <= BATCH_ROWS:
-        conf.set(_BATCH, str(BATCH_ROWS))
+    for key, most in _BATCH.items():
+        said = conf.get(key).removesuffix("b")  # what has another unit was set by somebody, and holds
+        if said.lstrip("-").isdigit() and not 0 < int(said) <= most:
+            conf.set(key, str(most))
     return docs
 
 
