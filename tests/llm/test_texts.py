@@ -4,6 +4,7 @@ import re
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
 from pyspark.sql import functions as F
@@ -179,3 +180,24 @@ def test_shingler_is_case_and_space_blind():
     of = Shingler()
     assert (of(b"A b\tC d\x0be F") == of(b"a B c\nd e f")).all() and len(of(None)) == 0
     assert set_keys(of(b"one two")) != set_keys(of(b"onetwo"))
+
+
+def test_texts_go_to_python_in_bounded_batches(spark):
+    from pointloom.llm.common import BATCH_BYTES, BATCH_ROWS, in_small_batches
+
+    rows, size = "spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = {key: spark.conf.get(key) for key in (rows, size)}
+    try:
+        spark.conf.unset(rows)
+        spark.conf.unset(size)
+        long = in_small_batches(spark.range(30).select(F.expr("repeat('x', 1000000)").alias("text")).coalesce(1))
+        assert (spark.conf.get(rows), spark.conf.get(size)) == (str(BATCH_ROWS), str(BATCH_BYTES))
+        counts = long.mapInArrow(lambda batches: (pa.record_batch({"n": [b.num_rows]}) for b in batches), "n long").collect()
+        assert sum(r["n"] for r in counts) == 30 and max(r["n"] for r in counts) <= 5
+        spark.conf.set(rows, "10")
+        spark.conf.set(size, "1m")
+        in_small_batches(long)
+        assert (spark.conf.get(rows), spark.conf.get(size)) == ("10", "1m")
+    finally:
+        for key, value in before.items():
+            spark.conf.set(key, value)
