@@ -1,8 +1,9 @@
 """Operator 6: languages of a text as a mixture, inferred by expectation-maximisation.
 
 Each language has a distribution over character trigrams, counted over all texts to learn from. A text is taken as
-drawn from a mixture of these; EM finds the languages' proportions. The set of languages grows from the best one, by
-the one of the steepest gain, as long as the likelihood pays for the penalty of one more language (BIC).
+drawn from a mixture of these; EM finds the languages' proportions, in EM_STEPS steps at most. The set of languages
+grows from the best one, by the first candidate, steepest gain first, whose likelihood pays for the penalty of one more
+language (BIC), until none does. However small a share, the penalty alone decides.
 
 Trigrams fall into a fixed number of buckets, so the model's size is languages x BUCKETS, whatever the corpus.
 """
@@ -26,8 +27,6 @@ EM_STEPS = 12
 PRIOR = 2000.0
 #: BIC counts independent observations; trigrams of one word overlap, so about one in three counts.
 OVERLAP = 3.0
-#: One more language must also explain at least this share of the text.
-LEAST_SHARE = 0.1
 UNDETERMINED = "und"
 
 
@@ -80,17 +79,17 @@ class Model:
         chosen = [int(alone.argmax())]
         share, best = np.ones(1), float(alone[chosen[0]])
         penalty = 0.5 * np.log(n.sum() + 1) + 1
-        while len(chosen) < len(self.languages):
+        grown = True
+        while grown:
             # The likelihood is concave in a new language's proportion: it gains no more than its slope at 0.
             slope = (n / (p[:, chosen] @ share)) @ p - n.sum()
             slope[chosen] = -np.inf
-            k = int(slope.argmax())
-            if slope[k] <= penalty:
-                break
-            more, value = self.fit(n, p, [*chosen, k])
-            if value - penalty <= best or more.min() < LEAST_SHARE:
-                break
-            chosen, share, best = [*chosen, k], more, value
+            grown = False
+            for k in (int(k) for k in np.argsort(-slope, kind="stable") if slope[k] > penalty):
+                more, value = self.fit(n, p, [*chosen, k])
+                if grown := value - penalty > best:
+                    chosen, share, best = [*chosen, k], more, value
+                    break
         return {self.languages[k]: float(s) for k, s in zip(chosen, share, strict=True)}
 
 
