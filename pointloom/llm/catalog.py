@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pointloom.llm import ann, bpe, language, line_dedup, ngram_join, packing, secrets, sharding, spotsigs, toxicity
+from pointloom.llm import ann, bpe, conversation_repair, conversation_trie, language, line_dedup, ngram_join, packing, secrets, sharding, spotsigs, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
@@ -21,7 +21,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         sharding.op8_prefix_sum_shards,
         bpe.op9_higher_order_bpe,
         packing.op10_configuration_packing,
+        conversation_trie.op11_conversation_trie,
+        conversation_repair.op12_conversation_repair,
     )
 }
 
-ORACLE_SQL: dict[str, str] = {"op3_deletion_line_dedup": line_dedup.OP3_SQL, "op5_adaptive_prefix_join": ngram_join.OP5_SQL}
+ORACLE_SQL: dict[str, str] = {"op3_deletion_line_dedup": line_dedup.OP3_SQL, "op5_adaptive_prefix_join": ngram_join.OP5_SQL, "op11_conversation_trie": conversation_trie.OP11_SQL}
