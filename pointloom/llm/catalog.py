@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pointloom.llm import ann, bpe, conversation_repair, conversation_trie, language, line_dedup, ngram_join, packing, secrets, sharding, spotsigs, toxicity
+from pointloom.llm import ann, bpe, conversation_repair, conversation_trie, html_extraction, language, line_dedup, ngram_join, packing, secrets, sharding, spotsigs, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
@@ -23,6 +23,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         packing.op10_configuration_packing,
         conversation_trie.op11_conversation_trie,
         conversation_repair.op12_conversation_repair,
+        html_extraction.op13_site_style_tree,
     )
 }
 
