@@ -9,14 +9,16 @@ from __future__ import annotations
 
 import math
 import operator
+import sys
 from collections.abc import Callable
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from functools import reduce
 from numbers import Real
 from typing import Any
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from pointloom import ids
 from pointloom.errors import InvalidFilterError, InvalidPointError
@@ -54,7 +56,7 @@ class Range:
     def __post_init__(self) -> None:
         _path(self.path)
         bounds = [b for b in (self.gt, self.gte, self.lt, self.lte) if b is not None]
-        if not bounds or any(isinstance(b, bool) or not isinstance(b, Real) or not math.isfinite(b) for b in bounds):
+        if not bounds or any(isinstance(b, bool) or not isinstance(b, Real) or (isinstance(b, float) and not math.isfinite(b)) for b in bounds):
             raise InvalidFilterError("a range needs finite bounds, one at least")
         lows, highs = [b for b in (self.gt, self.gte) if b is not None], [b for b in (self.lt, self.lte) if b is not None]
         if lows and highs and max(lows) > min(highs):
@@ -144,19 +146,26 @@ def _expanded(found: Column) -> Column:
     return F.get(once, F.lit(0))
 
 
-def _getter(at: str):
+def _getter(name: str):
+    """Of a key; one with both kinds of quotes is no path of Spark's, and is looked up in a map."""
+    if "'" in name and '"' in name:
+        return lambda x: F.try_element_at(F.try_variant_get(x, "$", "map<string,variant>"), F.lit(name))
+    at = f"$['{name}']" if "'" not in name else f'$["{name}"]'
     return lambda x: F.try_variant_get(x, at, "variant")
 
 
 def compiled_leaves(payload: Column, path: str) -> Column:
     found = _expanded(F.array(payload))
     for name in _path(path):
-        at = f"$['{name}']" if "'" not in name else f'$["{name}"]'
         # Only an object has keys: try_variant_get of a scalar or an array gives NULL, which is no leaf.
-        found = _expanded(F.filter(F.transform(found, _getter(at)), lambda x: x.isNotNull()))
+        found = _expanded(F.filter(F.transform(found, _getter(name)), lambda x: x.isNotNull()))
     return found
 
 
+#: Whole numbers of a payload are below this, and all numbers at most this.
+WHOLE, _LARGEST = 10**37, sys.float_info.max
+
+
 def _number(x: Column) -> Column:
     """The leaf as a double, null unless it is a number."""
     kind = F.schema_of_variant(x)
@@ -169,10 +178,12 @@ def _equal(x: Column, value: None | bool | float | str) -> Column:
     kind = F.schema_of_variant(x)
     if isinstance(value, str):
         return (kind == "STRING") & (F.try_variant_get(x, "$", "string") == value)
-    same = _number(x) == float(value)
-    if isinstance(value, int) and not -(1 << 53) <= value <= 1 << 53:  # beyond doubles
+    if abs(value) > _LARGEST:  # of any number here
+        return F.lit(False)
+    same = _number(x) == float(value) if float(value) == value else F.lit(False)
+    if value == int(value) and abs(value) < WHOLE:  # doubles would not tell large ones apart
         whole = kind.rlike(r"^(BIGINT|DECIMAL\(\d+,0\))")
-        same = F.when(whole, F.try_variant_get(x, "$", "decimal(38,0)") == F.lit(str(value)).cast("decimal(38,0)")).otherwise(same)
+        same = F.when(whole, F.try_variant_get(x, "$", "decimal(38,0)") == F.lit(str(int(value))).cast("decimal(38,0)")).otherwise(same)
     as_bool = (kind == "BOOLEAN") & (F.try_variant_get(x, "$", "boolean") == bool(value)) if value in (0, 1) else F.lit(False)
     return F.coalesce(same, F.lit(False)) | F.coalesce(as_bool, F.lit(False))
 
@@ -199,8 +210,10 @@ def compile_filter(condition: Condition, payload: Column | None, key: Column) ->
         def holds(bound: float | None, op: Callable, rounded: Callable) -> Column:
             if bound is None:
                 return F.lit(True)
-            beyond = abs(bound) >= 1e37  # of any whole number here
-            as_double = op(n, F.lit(float(bound)))
+            beyond = abs(bound) >= WHOLE  # of any whole number here
+            near = float(bound) if abs(bound) <= _LARGEST else math.inf if bound > 0 else -math.inf
+            up, exactly = op in (operator.gt, operator.ge), near == bound  # a whole bound may lie between two doubles
+            as_double = (op if exactly else (operator.ge if near > bound else operator.gt) if up else (operator.lt if near > bound else operator.le))(n, F.lit(near))
             return as_double if beyond else F.when(is_whole, op(whole, F.lit(str(rounded(bound))).cast("decimal(38,0)"))).otherwise(as_double)
 
         # A whole number is above b if and only if it is above b rounded down, and so on: doubles would not tell large ones apart.
@@ -208,3 +221,64 @@ def compile_filter(condition: Condition, payload: Column | None, key: Column) ->
         return F.coalesce(reduce(operator.and_, parts), F.lit(False))
 
     return sure(F.exists(found, within))
+
+
+# -- typed payloads
+
+
+def compile_typed(condition: Condition, payload: Column, kind: T.DataType, key: Column) -> Column:
+    """The condition over a payload of nested structs and arrays, for a Filter or where(): true where it holds, else false
+    or null. Paths become nested columns, so Parquet reads only these, and skips row groups by conditions on those
+    outside of arrays. A null field is an explicit null, unless the struct around it is null: then it is missing. What
+    has another type than its condition's value does not satisfy it; VARIANT parts are read as in compile_filter."""
+    if isinstance(condition, Filter):
+        of = lambda cs: [compile_typed(c, payload, kind, key) for c in cs]
+        parts = [*of(condition.must), *([reduce(operator.or_, of(condition.should))] if condition.should else [])]
+        parts += [~F.coalesce(c, F.lit(False)) for c in of(condition.must_not)]
+        return reduce(operator.and_, parts) if parts else F.lit(True)
+    if isinstance(condition, HasId):
+        return key.isin([ids.key(i) for i in condition.ids])
+    return _typed(payload, kind, _path(condition.path), condition)
+
+
+def _typed(x: Column, kind: T.DataType, names: list[str], condition: Match | Range) -> Column:
+    if isinstance(kind, T.ArrayType):
+        return F.exists(x, lambda e: F.coalesce(_typed(e, kind.elementType, names, condition), F.lit(False)))
+    if isinstance(kind, T.VariantType):
+        at = {"path": ".".join(names)} if names else {}
+        return compile_filter(replace(condition, **at), x, F.lit("")) if names else F.lit(False)
+    if names:
+        if not isinstance(kind, T.StructType) or names[0] not in kind.names:
+            return F.lit(False)
+        found = _typed(x.getField(names[0]), kind[names[0]].dataType, names[1:], condition)
+        is_null = isinstance(condition, Match) and condition.value is None and len(names) == 1
+        return x.isNotNull() & found if is_null else found
+    if isinstance(condition, Range):
+        if not isinstance(kind, T.NumericType):
+            return F.lit(False)
+        return reduce(operator.and_, (_bounded(x, kind, b, op) for b, op in ((condition.gt, operator.gt), (condition.gte, operator.ge), (condition.lt, operator.lt), (condition.lte, operator.le)) if b is not None))
+    value = condition.value
+    if value is None:
+        return x.isNull()
+    if isinstance(value, str):
+        return x == F.lit(value) if isinstance(kind, T.StringType) else F.lit(False)
+    if isinstance(kind, T.BooleanType):
+        return x == F.lit(bool(value)) if value in (0, 1) else F.lit(False)
+    if not isinstance(kind, T.NumericType):
+        return F.lit(False)
+    return _bounded(x, kind, value, operator.ge) & _bounded(x, kind, value, operator.le) if isinstance(kind, T.IntegralType) and value != int(value) else _bounded(x, kind, value, operator.eq)
+
+
+_BITS = {"byte": 7, "short": 15, "integer": 31, "long": 63}
+
+
+def _bounded(x: Column, kind: T.DataType, bound: float, op: Callable) -> Column:
+    """op(x, bound), in x's own type if it is integral, so that it can be pushed down."""
+    if not isinstance(kind, T.IntegralType):
+        return op(x, F.lit(float(bound))) if abs(bound) <= _LARGEST else F.lit((bound > 0) == (op in (operator.lt, operator.le)))
+    least, most = -(1 << _BITS[kind.typeName()]), (1 << _BITS[kind.typeName()]) - 1
+    whole = {operator.gt: math.floor, operator.ge: math.ceil, operator.lt: math.ceil, operator.le: math.floor, operator.eq: int}[op](bound)
+    if least <= whole <= most:
+        return op(x, F.lit(whole).cast(kind))
+    always = op in ((operator.gt, operator.ge) if whole < least else (operator.lt, operator.le))
+    return x.isNotNull() if always else F.lit(False)

@@ -21,6 +21,23 @@ def live(rows: DataFrame, id_column: str = "id") -> DataFrame:
     return latest(rows, id_column).where(~F.col("deleted"))
 
 
+#: Changed ids that all tasks may hold at once: some tens of MB.
+BROADCAST_IDS = 1_000_000
+
+
+def latest_by_delta(base: DataFrame, delta: DataFrame, delta_rows: int | None = None, id_column: str = "id") -> DataFrame:
+    """Each id's last state of base and delta together, deletions included, where base has one row an id, older than all
+    of delta: the base rows that delta does not change, and delta's own last states.
+
+    Only delta is shuffled. Its ids go to all tasks if they are few (delta_rows, counted if not given); otherwise they
+    are joined as Spark sees fit.
+    """
+    few = (delta.count() if delta_rows is None else delta_rows) <= BROADCAST_IDS
+    changed = delta.select(id_column)  # an id that repeats changes nothing in an anti-join
+    unchanged = base.join(F.broadcast(changed) if few else changed.distinct(), id_column, "left_anti")
+    return unchanged.select(*base.columns).unionByName(latest(delta, id_column))
+
+
 def newer_than(rows: DataFrame, boundary: int) -> DataFrame:
     """What a compaction that captured versions up to boundary must keep."""
     return rows.where(F.col("version") > boundary)
@@ -36,7 +53,6 @@ def segment_statistics(rows: DataFrame, segment: str = "segment_id") -> DataFram
     return rows.groupBy(segment).agg(F.count_if(~F.col("deleted")).alias("live_points"), F.count_if("deleted").alias("deleted_points"))
 
 
-
 def merged(payload: Column, fields: Column) -> Column:
     """Top-level keys of fields over those of payload, both VARIANT objects; a nested value is replaced whole."""
     of = lambda v: F.coalesce(v.cast("map<string,variant>"), F.create_map().cast("map<string,variant>"))

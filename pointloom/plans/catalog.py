@@ -5,17 +5,17 @@ Points are the rows of `embeddings`: id = vec_id, vector = embedding in double p
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-from pointloom.config import Distance, HnswConfig, OptimizerConfig, PayloadSchema
+from pointloom.config import Distance, HnswConfig, OptimizerConfig, PayloadSchema, ScalarQuantizationConfig
 from pointloom.functions import quantize
 from pointloom.functions.distance import normalized
 from pointloom.operators import hnsw, payload_index, search, versions
-from pointloom.operators.filters import Filter, HasId, Match, Range, compile_filter
+from pointloom.operators.filters import Filter, HasId, Match, Range, compile_filter, compile_typed
 from pointloom.plans import strategy
 from pointloom.sources.collection import Collection, shared_folder
 
@@ -46,6 +46,12 @@ def asked(p: DataFrame, vec_id: int = 7) -> DataFrame:
     return p.where(F.col("id") == vec_id).select(F.col("vector").alias("q"))
 
 
+def by_label(p: DataFrame) -> tuple[DataFrame, dict[str, payload_index.Indexed]]:
+    """p with the two columns of an integer index of the label."""
+    value, other = payload_index.stored(F.parse_json("json"), "label", PayloadSchema.INTEGER)
+    return p.withColumns({"by_label": value, "other_label": other}), {"label": payload_index.Indexed("by_label", "other_label", PayloadSchema.INTEGER)}
+
+
 def keep(condition) -> Column:
     return compile_filter(condition, F.parse_json("json"), F.lit(""))
 
@@ -136,10 +142,9 @@ def knn_filter_has_id(spark, d):
 @query(top("label = 4"))
 def knn_filter_then_exact(spark, d):
     p = points(spark, d)
-    p = p.withColumn("by_label", payload_index.extract(F.parse_json("json"), "label", PayloadSchema.INTEGER))
+    p, index = by_label(p)
     condition = Match("label", 4)
-    known, _ = payload_index.candidates(condition, {"label": payload_index.Indexed("by_label", PayloadSchema.INTEGER)})
-    return shown(search.top_k(p, asked(p), 10, where=known & keep(condition)))
+    return shown(search.top_k(p, asked(p), 10, where=payload_index.candidates(condition, index) & keep(condition)))
 
 
 @query("SELECT event_type, count(*) AS n FROM events WHERE CAST(json_extract_string(props, '$.k') AS INT) = 42 GROUP BY event_type")
@@ -254,8 +259,11 @@ def fields(found: DataFrame, payload: str = "payload") -> DataFrame:
 @query("""SELECT vec_id AS id, CASE WHEN vec_id % 2 = 0 THEN NULL ELSE label END AS label, CASE WHEN vec_id % 2 = 0 THEN 'new' END AS a,
 CASE WHEN vec_id % 2 = 0 THEN '["a"]' ELSE '["b","label"]' END AS keys FROM embeddings""")
 def payload_replace(spark, d):
-    p = points(spark, d).withColumn("payload", F.parse_json(F.expr("concat('{\"b\":1,\"label\":', label, '}')")))
-    return fields(p.withColumn("payload", F.when(F.col("id") % 2 == 0, F.parse_json(F.lit('{"a":"new"}'))).otherwise(F.col("payload"))))
+    c = Collection.create(spark, own_path(spark), dimension=64, distance=Distance.DOT)
+    p = points(spark, d)
+    c.upsert(p.select("id", "vector", F.expr("concat('{\"b\":1,\"label\":', label, '}')").alias("payload")))
+    c.replace_payload(p.where("id % 2 = 0").select("id"), '{"a":"new"}')
+    return fields(c.points())
 
 
 @query("""SELECT vec_id AS id, CASE WHEN vec_id % 2 = 0 THEN -1 ELSE label END AS label, CASE WHEN vec_id % 2 = 0 THEN 'new' END AS a,
@@ -282,8 +290,7 @@ def inverted_index_postings(spark, d):
 @query("""SELECT 'exact' AS kind, n AS minimum, n AS expected, n AS maximum, true AS exact FROM (SELECT count(*) AS n FROM embeddings WHERE label >= 3 AND label <> 5)
 UNION ALL SELECT 'unknown', 0, n // 2, n, false FROM (SELECT count(*) AS n FROM embeddings)""")
 def cardinality_estimate(spark, d):
-    p = points(spark, d).withColumn("by_label", payload_index.extract(F.parse_json("json"), "label", PayloadSchema.INTEGER))
-    index = {"label": payload_index.Indexed("by_label", PayloadSchema.INTEGER)}
+    p, index = by_label(points(spark, d))
     known = payload_index.cardinality(p, Filter(must=[Range("label", gte=3)], must_not=[Match("label", 5)]), index)
     unknown = payload_index.cardinality(p, Match("opt", 1), index)
     return known.select(F.lit("exact").alias("kind"), "*").union(unknown.select(F.lit("unknown"), "*"))
@@ -394,9 +401,14 @@ def hnsw_recall(spark, d):
     return exact.join(about, ["query_id", "id"], "left").agg((F.count("hit") / F.count("*") >= 0.9).alias("enough"))
 
 
+def own_path(spark: SparkSession) -> str:
+    """A new path in the shared folder."""
+    return f"{shared_folder(spark)}/pointloom-collection-{uuid.uuid4().hex}"
+
+
 def stored(spark: SparkSession, d: str) -> Collection:
     """The history above as a collection in the shared folder: two upserts and a deletion."""
-    c = Collection.create(spark, tempfile.mktemp(prefix="pointloom-collection-", dir=shared_folder(spark)), dimension=64, distance=Distance.DOT)
+    c = Collection.create(spark, own_path(spark), dimension=64, distance=Distance.DOT)
     p = points(spark, d)
     payload = lambda add: F.expr(f"concat('{{\"value\":', label + {add}, '}}')").alias("payload")
     c.upsert(p.select("id", "vector", payload(0)))
@@ -432,3 +444,95 @@ def collection_search(spark, d):
     c, p = stored(spark, d), points(spark, d)
     c.merge_payload(p.where("label = 3").select("id"), '{"three":true}')
     return c.search(asked(p), 10, Match("three", True)).select("id", F.round("score", 6).alias("score"))
+
+
+def indexed(spark: SparkSession, d: str) -> Collection:
+    """All points in one batch, with an index of the label, and one in five again in a second batch, under another label."""
+    c = Collection.create(spark, own_path(spark), dimension=64, distance=Distance.DOT)
+    c.create_payload_index("label", PayloadSchema.INTEGER)
+    p = points(spark, d)
+    c.upsert(p.select("id", "vector", F.col("json").alias("payload")))
+    c.upsert(p.where("id % 5 = 0").select("id", "vector", F.expr("concat('{\"label\":', (label + 1) % 10, '}')").alias("payload")))
+    return c
+
+
+NOW = "CASE WHEN id % 5 = 0 THEN (label + 1) % 10 ELSE label END"
+
+
+@query(top(f"{NOW} = 3"))
+def search_indexed(spark, d):
+    """Reads the row groups that may have the label, by an index stored with each batch."""
+    return indexed(spark, d).search(asked(points(spark, d)), 10, Match("label", 3)).select("id", F.round("score", 6).alias("score"))
+
+
+@query(top(f"{NOW} >= 6 AND {NOW} < 8 AND NOT {NOW} = 7 OR {NOW} = 2"))
+def search_indexed_range(spark, d):
+    tree = Filter(should=[Filter(must=[Range("label", gte=5.5, lt=8)], must_not=[Match("label", 7.0)]), Match("label", 2)])
+    return indexed(spark, d).search(asked(points(spark, d)), 10, tree).select("id", F.round("score", 6).alias("score"))
+
+
+@query(f"""WITH p AS (SELECT vec_id AS id, label, vec_id % 5 AS t FROM embeddings)
+SELECT count(*) FILTER ({NOW} = 3) AS let_through, count(*) FILTER (label = 3 AND id % 5 <> 0 AND (label = 3 OR t = 3) AND id % 3 = 1) AS scored FROM p""")
+def search_facts(spark, d):
+    """What a filtered search had to look at: points that the index let through, and those of them that were scored."""
+    facts = Observation("search_facts")
+    tree = Filter(must=[Match("label", 3), Match("tags", 3), Match("reviews.user", "u1")])
+    indexed(spark, d).search(asked(points(spark, d)), 10, tree, facts=facts).write.format("noop").mode("overwrite").save()
+    return spark.createDataFrame([(facts.get["let_through"], facts.get["scored"])], "let_through long, scored long")
+
+
+@query(f"{RESCORED} SELECT id, round(s, 6) AS score FROM (SELECT p.id, {DOT} AS s FROM p JOIN near USING (id), q) ORDER BY s DESC, id LIMIT 10")
+def search_quantized_stored(spark, d):
+    """Codes and their ranges stored with the batch: the first phase reads no vectors, the second those of 40 ids."""
+    c = Collection.create(spark, own_path(spark), dimension=64, distance=Distance.DOT, quantization=ScalarQuantizationConfig(4))
+    p = points(spark, d)
+    c.upsert(p.select("id", "vector", F.col("json").alias("payload")))
+    return c.search(asked(p), 10).select("id", F.round("score", 6).alias("score"))
+
+
+@query(ORACLE_SQL["batch_knn"])
+def knn_join_blocked(spark, d):
+    p = points(spark, d)
+    found = search.knn_join(p, p.where("id % 50 = 0").select(F.col("id").alias("query_id"), F.col("vector").alias("q")), 5, block_rows=512)
+    return found.select("query_id", "rank", "id", F.round("score", 6).alias("score"))
+
+
+@query(VERSIONS + "SELECT id, value, version FROM latest WHERE NOT deleted")
+def latest_by_delta(spark, d):
+    """The first version at rest, later ones as changes to it: only these are shuffled."""
+    path = own_path(spark)
+    rows = history(spark, d)
+    rows.where("version = 1").write.parquet(path)
+    return versions.latest_by_delta(spark.read.schema(rows.schema).parquet(path), rows.where("version > 1")).where("NOT deleted").select("id", "value", "version")
+
+
+@query("""SELECT 'label' AS path, count(*) AS leaves, 0 AS strings, count(*) AS integers, 0 AS nulls, true AS homogeneous FROM embeddings
+UNION ALL SELECT 'reviews.user', 2 * count(*), 2 * count(*), 0, 0, true FROM embeddings
+UNION ALL SELECT 'tags', 2 * count(*), 0, 2 * count(*), 0, true FROM embeddings
+UNION ALL SELECT 'opt', count(*) FILTER (vec_id % 3 <> 1), 0, count(*) FILTER (vec_id % 3 = 2), count(*) FILTER (vec_id % 3 = 0), false FROM embeddings""")
+def payload_type_profile(spark, d):
+    found = payload_index.type_profile(points(spark, d).withColumn("payload", F.parse_json("json")), "payload", ["label", "tags", "reviews.user", "opt"])
+    return found.select("path", "leaves", "strings", "integers", "nulls", "homogeneous")
+
+
+@query(top("id % 3 <> 0 AND (label >= 4 OR id % 7 >= 4) AND label <> 8 AND (label > 4 OR (label BETWEEN 2 AND 4 AND id % 3 = 2))"))
+def knn_filter_struct(spark, d):
+    """The payload as nested columns at rest: filters read those that they name, and go down to Parquet."""
+    path = own_path(spark)
+    kind = "struct<label:int,tags:array<int>,reviews:array<struct<user:string,score:int>>,opt:int>"
+    points(spark, d).select("id", "vector", F.from_json("json", kind).alias("payload")).write.parquet(path)
+    p = spark.read.parquet(path)
+    same = Filter(should=[Range("label", gt=4), *(Filter(must=[Match("label", k), Match("tags", k), Range("opt", gte=0)]) for k in range(2, 5))])
+    tree = Filter(must=[Filter(should=[Match("reviews.user", "u1"), Match("reviews.user", "u2")]), Filter(should=[Range("label", gte=6), Range("reviews.score", gt=3.5)]), same], must_not=[Match("label", 8)])
+    return shown(search.top_k(p, asked(p), 10, where=compile_typed(tree, F.col("payload"), p.schema["payload"].dataType, F.lit(""))))
+
+
+@query("SELECT vec_id AS id, CASE WHEN vec_id % 6 = 0 THEN -1 ELSE label END AS value FROM embeddings WHERE vec_id % 3 <> 0 OR vec_id % 6 = 0")
+def operations_in_order(spark, d):
+    """One micro-batch that inserts all points, deletes a third and inserts half of these again; then the same once more."""
+    c, p = Collection.create(spark, own_path(spark), dimension=64, distance=Distance.DOT), points(spark, d)
+    part = lambda where, seq, kind, value: p.where(where).select(F.expr(seq).alias("seq"), F.lit(kind).alias("kind"), "id", "vector", F.expr(f"concat('{{\"value\":', {value}, '}}')").alias("payload"))
+    batch = part("true", "id", "upsert", "label").union(part("id % 3 = 0", "1000000 + id", "delete", "0")).union(part("id % 6 = 0", "2000000 + id", "upsert", "-1"))
+    for _ in range(2):
+        c.apply(batch, source="operations_in_order", epoch=0)
+    return held(c).where("version = 1").select("id", "value")

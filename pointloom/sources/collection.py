@@ -3,6 +3,11 @@
 Every batch is a table of its own below the collection's folder; a small JSON file, replaced by one rename, names the
 batches that count. So a batch is there wholly or not at all, and a search keeps the batches that it began with. One
 writer at a time. Paths may be on any file system that Spark writes to.
+
+A batch has one row an id. Beside its payloads it has two columns for each payload index, and int8 codes of its vectors if
+the collection is quantized, whose ranges are kept with the batch's name. The first batch is the base and the others are
+changes to it: searches read of the base only the columns and, as Parquet can tell, the row groups that they need, and
+shuffle none of it.
 """
 
 from __future__ import annotations
@@ -12,18 +17,21 @@ import math
 import tempfile
 import uuid
 from collections.abc import Callable
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from pointloom.config import CollectionConfig, Distance, PayloadSchema, ScalarQuantizationConfig
 from pointloom.errors import CollectionExistsError, CollectionNotFoundError, InvalidPointError, InvalidVectorError, SchemaMismatchError, SnapshotError, WriteConflictError
+from pointloom.functions import quantize
 from pointloom.functions.distance import normalized
 from pointloom.operators import payload_index, search, versions
 from pointloom.operators.filters import Condition, compile_filter
 from pointloom import ids
 
 ROWS = "id long, vector array<double>, payload string, version long, ordinal int, deleted boolean"
+_INDEX_TYPES = {PayloadSchema.KEYWORD: "string", PayloadSchema.INTEGER: "bigint", PayloadSchema.FLOAT: "double", PayloadSchema.BOOL: "boolean"}
 _own_folder: list[str] = []
 
 
@@ -36,6 +44,11 @@ def shared_folder(spark: SparkSession) -> str:
     return path.removeprefix("file://") if path.startswith("file:///") else path
 
 
+def _one_of(wanted: list[int]) -> Column:
+    """A test that Parquet can check by its bloom filters, id by id."""
+    return reduce(lambda a, b: a | b, (F.col("id") == F.lit(i) for i in wanted), F.lit(False))
+
+
 class _Files:
     """Small files, by Hadoop's file systems."""
 
@@ -90,7 +103,7 @@ class Collection:
             raise CollectionExistsError(path)
         config = CollectionConfig(dimension, distance, quantization=quantization, **more)
         files.fs().mkdirs(files.path())
-        files.replace("manifest.json", {"generation": 1, "batches": [], "version": 0})
+        files.replace("manifest.json", {"generation": 1, "batches": [], "facts": {}, "version": 0})
         files.replace("collection.json", {"config": config.to_dict(), "fingerprint": config.fingerprint, "indexes": {}})
         return cls(spark, path)
 
@@ -113,15 +126,44 @@ class Collection:
         tables = self.spark.read.schema(ROWS).parquet(*(f"{self.path}/{b}" for b in batches))
         return tables.withColumn("segment_id", F.regexp_extract(F.input_file_name(), "/(batch-[^/]+)/", 1))
 
+    def _batch(self, name: str, facts: dict) -> DataFrame:
+        """A batch with all of its columns; index columns that it has not are null and tell nothing."""
+        columns = "".join(f", {i.value} {_INDEX_TYPES[i.schema]}, {i.other} boolean" for p, i in self._indexed().items() if p in facts["indexes"])
+        found = self.spark.read.schema(ROWS + columns + (", codes array<tinyint>" if "minima" in facts else "")).parquet(f"{self.path}/{name}")
+        return found.withColumns({c: F.lit(v).cast(t) for p, i in self._indexed().items() if p not in facts["indexes"] for c, v, t in ((i.value, None, _INDEX_TYPES[i.schema]), (i.other, True, "boolean"))})
+
+    def _indexed(self) -> dict[str, payload_index.Indexed]:
+        return {p: payload_index.Indexed(f"__pidx_{n}", f"__pother_{n}", s) for n, (p, s) in enumerate(self.indexes.items())}
+
+    def _live(self, *columns: str, where: Column | None = None, coded: bool = False, state: dict | None = None) -> DataFrame:
+        """id, columns and version of the live points that pass `where`, a test of stored columns. With `coded`, `about`
+        columns say how a batch's codes are read: minima, scales."""
+        state = state or self.manifest
+        if not state["batches"]:
+            return self.spark.createDataFrame([], ROWS).select("id", "version", *columns) if not coded else None
+        parts, extra = [], ("minima", "scales") if coded else ()
+        for name in state["batches"]:
+            facts = state["facts"][name]
+            found = self._batch(name, facts)
+            if coded:
+                ranges = self.spark.createDataFrame([(facts["minima"], facts["scales"])], "minima array<double>, scales array<double>")
+                found = found.crossJoin(F.broadcast(ranges))  # one row
+            keep = [c for i in self._indexed().values() for c in (i.value, i.other)] if where is not None else []
+            parts.append(found.select(*dict.fromkeys(["id", "version", "ordinal", "deleted", *columns, *keep, *extra])))
+        pass_ = lambda found: found if where is None else found.where(where)
+        base, rest = pass_(parts[0].where(~F.col("deleted"))), parts[1:]
+        if rest:
+            delta = reduce(DataFrame.unionByName, rest)
+            base = versions.latest_by_delta(base, delta, sum(state["facts"][b]["rows"] for b in state["batches"][1:]))
+            base = pass_(base.where(~F.col("deleted")))
+        return base.select("id", "version", *columns, *extra)
+
     def points(self) -> DataFrame:
-        """id, vector, payload (VARIANT) and version of live points. A single compacted batch needs no shuffle."""
-        state = self.manifest
-        found = self.rows(state).drop("segment_id")
-        found = found if state.get("compacted") and len(state["batches"]) == 1 else versions.live(found)
-        return found.select("id", "vector", F.parse_json("payload").alias("payload"), "version")
+        """id, vector, payload (VARIANT) and version of live points. Only changes to the first batch are shuffled."""
+        return self._live("vector", "payload").select("id", "vector", F.parse_json("payload").alias("payload"), "version")
 
     def count(self) -> int:
-        return self.points().count()
+        return self._live().count()
 
     def segment_statistics(self) -> DataFrame:
         return versions.segment_statistics(self.rows())
@@ -132,24 +174,51 @@ class Collection:
     def _holds(self, condition: Condition) -> Column:
         return compile_filter(condition, F.col("payload"), ids.key_of_integers(F.col("id")))
 
-    def search(self, query: DataFrame, k: int, condition: Condition | None = None, threshold: float | None = None, exact: bool = False) -> DataFrame:
-        """The k nearest live points to the one row q of query; through int8 codes if the collection is quantized and exact is not asked for."""
+    def search(self, query: DataFrame, k: int, condition: Condition | None = None, threshold: float | None = None, exact: bool = False, facts: Observation | None = None) -> DataFrame:
+        """The k nearest live points to the one row q of query; through int8 codes if the collection is quantized and exact is not asked for.
+
+        Payload indexes choose what is read; the condition is evaluated on that. facts, if given, counts `let_through` (live
+        points that the indexes did not rule out) and `scored` (those that satisfy the condition) once the search has run.
+        """
         asked = query.first()["q"]  # one row
         if asked is None or len(asked) != self.config.dimension or not all(x is not None and math.isfinite(x) for x in asked) or (self.config.distance == Distance.COSINE and not any(asked)):
             raise InvalidVectorError(f"a query needs {self.config.dimension} finite numbers, not all 0 for cosine")
-        where = None if condition is None else self._holds(condition)
         if self.config.quantization and not exact and threshold is None:
-            return search.quantized_top_k(self.points(), query, k, self.config.distance, self.config.quantization.oversampling, where)
-        return search.top_k(self.points(), query, k, self.config.distance, where, threshold)
+            near = self.nearest_codes(query, k * self.config.quantization.oversampling, condition, facts)
+            ids_of = [r["id"] for r in near.select("id").collect()]  # k times oversampling at most
+            chosen = self._live("vector", "payload", where=_one_of(ids_of)).select("id", "vector", F.parse_json("payload").alias("payload"), "version")
+            return search.top_k(chosen, query, k, self.config.distance)
+        found = self._matching("vector", condition=condition, facts=facts)
+        return search.top_k(found, query, k, self.config.distance, threshold=threshold)
+
+    def _matching(self, *columns: str, condition: Condition | None, facts: Observation | None, coded: bool = False) -> DataFrame:
+        """id, columns, payload (VARIANT) and version of the live points that satisfy the condition."""
+        told = None if condition is None else payload_index.candidates(condition, self._indexed())
+        if condition is not None or not coded:
+            columns = (*columns, "payload")
+        found = self._live(*columns, where=told, coded=coded)
+        if "payload" in columns:
+            found = found.withColumn("payload", F.parse_json("payload"))
+        holds = F.lit(True) if condition is None else self._holds(condition)
+        if facts is not None:
+            found = found.withColumn("_holds", holds).observe(facts, F.count(F.lit(1)).alias("let_through"), F.count_if("_holds").alias("scored"))
+            holds = F.col("_holds")
+        return found.where(holds).drop("_holds")
+
+    def nearest_codes(self, query: DataFrame, k: int, condition: Condition | None = None, facts: Observation | None = None) -> DataFrame:
+        """id and score (`about`) of the k nearest live points by their stored codes: vectors are not read, and, without a
+        condition, payloads neither. The query is coded and decoded with each batch's ranges."""
+        found = self._matching("codes", condition=condition, facts=facts, coded=True)
+        return search.top_k_by_codes(found, query, k, self.config.distance)
 
     # -- writing
 
-    def _append(self, make: Callable[[int], DataFrame], compacted: bool = False, upto: dict | None = None) -> int:
+    def _append(self, make: Callable[[int], DataFrame], upto: dict | None = None, epochs: dict[str, int] | None = None) -> int:
         """Write make(version) as a batch and publish it; with upto, in place of the batches of that manifest."""
         state = upto or self.manifest
         version = state["version"] + (upto is None)
         name = f"batch-{version:012d}-{uuid.uuid4().hex[:8]}"
-        make(version).write.parquet(f"{self.path}/{name}")
+        facts = self._write(make(version), f"{self.path}/{name}")
         now = self.manifest  # others may have published meanwhile
         if upto is None and now["version"] != state["version"]:
             raise WriteConflictError(f"version {version} was taken while it was written; write again")
@@ -157,9 +226,32 @@ class Collection:
         if upto and len(late) != len(now["batches"]) - len(state["batches"]):
             raise WriteConflictError("the batches were replaced meanwhile")
         batches = [name, *late] if upto else [*now["batches"], name]
-        self.files.replace("manifest.json", {"generation": now["generation"] + 1, "batches": batches, "version": max(version, now["version"]), "compacted": compacted and not late})
+        all_facts = {b: facts if b == name else now["facts"][b] for b in batches}
+        self.files.replace("manifest.json", {"generation": now["generation"] + 1, "batches": batches, "facts": all_facts, "version": max(version, now["version"]), "epochs": now.get("epochs", {}) | (epochs or {})})
         return version
 
+    def _write(self, rows: DataFrame, path: str) -> dict:
+        """Writes rows with their index columns and codes; returns what the manifest keeps of the batch. Rows are in the
+        order of the first index's column, whose row groups so hold narrow ranges; others have bloom filters."""
+        facts: dict = {"indexes": list(self.indexes)}
+        for path_, i in self._indexed().items():
+            value, other = payload_index.stored(F.parse_json("payload"), path_, i.schema)
+            rows = rows.withColumns({i.value: value, i.other: other})
+        if self.config.quantization:
+            if fitted := quantize.fit(rows.where(~F.col("deleted"))).first():  # one row
+                facts |= {"minima": fitted["minima"], "scales": fitted["scales"]}
+            else:  # deletions only
+                facts |= {"minima": [0.0] * self.config.dimension, "scales": [0.0] * self.config.dimension}
+            ranges = self.spark.createDataFrame([(facts["minima"], facts["scales"])], "minima array<double>, scales array<double>")
+            coded = quantize.encode(F.col("vector"), F.col("minima"), F.col("scales"))
+            rows = rows.crossJoin(F.broadcast(ranges)).withColumn("codes", F.when(F.col("deleted"), F.array().cast("array<tinyint>")).otherwise(coded)).drop("minima", "scales")
+        indexed = list(self._indexed().values())
+        writer = (rows.repartitionByRange(indexed[0].value).sortWithinPartitions(indexed[0].value, "id") if indexed else rows).write
+        for name in ["id", *(i.value for i in indexed)]:
+            writer = writer.option(f"parquet.bloom.filter.enabled#{name}", "true")
+        writer.parquet(path)
+        return facts | {"rows": self.spark.read.schema("id long").parquet(path).count()}
+
     def _checked(self, points: DataFrame) -> DataFrame:
         """Raises unless every id is a whole number of 0 or more, and every vector is finite and of the dimension (and not zero, for cosine). One job."""
         v = F.col("vector")
@@ -185,9 +277,9 @@ class Collection:
         """
         cast = points.select("id", F.col("vector").cast("array<double>").alias("vector"), "payload", *(["ordinal"] if "ordinal" in points.columns else []))
         good = self._checked(cast).withColumn("payload", F.coalesce("payload", F.lit("{}")))
-        if "ordinal" not in points.columns:
-            good = good.groupBy("id").agg(F.min(F.struct("payload", "vector")).alias("s")).select("id", "s.vector", "s.payload", F.lit(0).alias("ordinal"))
-        return self._append(lambda v: good.select("id", "vector", "payload", F.lit(v).cast("long").alias("version"), F.col("ordinal").cast("int").alias("ordinal"), F.lit(False).alias("deleted")))
+        order = ["ordinal"] if "ordinal" in points.columns else []
+        first = good.groupBy("id").agg(F.min(F.struct(*order, "payload", "vector")).alias("s")).select("id", "s.vector", "s.payload")
+        return self._append(lambda v: first.select("*", F.lit(v).cast("long").alias("version"), F.lit(0).alias("ordinal"), F.lit(False).alias("deleted")))
 
     def delete(self, wanted: DataFrame) -> int:
         """Hides the ids of wanted (id), whether they are there or not."""
@@ -195,6 +287,25 @@ class Collection:
         rows = wanted.select("id").distinct()
         return self._append(lambda v: rows.select("id", empty, F.lit("{}").alias("payload"), F.lit(v).cast("long").alias("version"), F.lit(0).alias("ordinal"), F.lit(True).alias("deleted")))
 
+    def apply(self, operations: DataFrame, source: str | None = None, epoch: int | None = None) -> int | None:
+        """One version of operations (seq, kind `upsert` or `delete`, id, vector, payload): of each id the one of the
+        greatest seq counts (of several, a deletion). With source and epoch, a number that grows by source, an epoch that the
+        collection has seen does nothing; both are kept in the same file as the version. Returns the version, or None."""
+        if source is not None and epoch <= self.manifest.get("epochs", {}).get(source, -1):
+            return None
+        columns = ["vector", "payload"]
+        last = operations.groupBy("id").agg(F.max_by(F.struct(*(F.col(c) for c in ("kind", *columns))), F.struct("seq", F.col("kind") == "delete")).alias("o")).select("id", "o.*")
+        if not last.where(~F.coalesce(F.col("kind").isin("upsert", "delete"), F.lit(False)) | F.col("id").isNull() | (F.col("id") < 0)).isEmpty():
+            raise InvalidPointError("operations need an id of 0 or more, and are of kind upsert or delete")
+        if last.isEmpty():
+            return None
+        upserts, gone = last.where("kind = 'upsert'"), last.where("kind = 'delete'").select("id")
+        if not upserts.isEmpty():
+            upserts = self._checked(upserts.select("id", F.col("vector").cast("array<double>").alias("vector"), "payload"))
+        upserts = upserts.select("id", "vector", F.coalesce("payload", F.lit("{}")).alias("payload"), F.lit(False).alias("deleted"))
+        both = upserts.unionByName(gone.select("id", F.array().cast("array<double>").alias("vector"), F.lit("{}").alias("payload"), F.lit(True).alias("deleted")))
+        return self._append(lambda v: both.select("id", "vector", "payload", F.lit(v).cast("long").alias("version"), F.lit(0).alias("ordinal"), "deleted"), epochs={} if source is None else {source: epoch})
+
     def _patch(self, wanted: DataFrame, change: Callable[[Column], Column]) -> int | None:
         """New versions of wanted's live points with changed payloads; None, and no version, if there are none."""
         hit = self.points().join(wanted.select("id").distinct(), "id", "left_semi")
@@ -213,20 +324,23 @@ class Collection:
         return self._patch(wanted, lambda p: versions.without_keys(p, keys))
 
     def create_payload_index(self, path: str, schema: PayloadSchema) -> None:
+        """From now on every batch is written with the index's columns; what is there is rewritten once, so that it has them."""
         self.indexes[path] = PayloadSchema(schema)
         described = self.files.read("collection.json")
         self.files.replace("collection.json", described | {"indexes": {p: str(s) for p, s in self.indexes.items()}})
+        if self.manifest["batches"]:
+            self.optimize()
 
     def indexed_points(self) -> DataFrame:
-        """points() with one column __pidx_<n> for each payload index, in the order of their making."""
-        columns = {f"__pidx_{n}": payload_index.extract(F.col("payload"), p, s) for n, (p, s) in enumerate(self.indexes.items())}
-        return self.points().withColumns(columns) if columns else self.points()
+        """points() and the columns of each payload index, __pidx_<n> and __pother_<n> in the order of their making."""
+        columns = [c for i in self._indexed().values() for c in (i.value, i.other)]
+        return self._live("vector", "payload", *columns).withColumn("payload", F.parse_json("payload"))
 
     def optimize(self) -> None:
         """One batch of live points in place of all that are there now; batches published meanwhile stay beside it.
         Earlier files stay for readers that hold them, until vacuum()."""
         state = self.manifest
-        self._append(lambda _: versions.compacted(self.rows(state).drop("segment_id"), state["version"]), compacted=True, upto=state)
+        self._append(lambda _: self._live("vector", "payload", state=state).select("id", "vector", "payload", "version", F.lit(0).alias("ordinal"), F.lit(False).alias("deleted")), upto=state)
 
     def vacuum(self) -> int:
         """Deletes batches that do not count any more; only when no search of theirs is at work."""
@@ -245,7 +359,7 @@ class Collection:
             raise SnapshotError(f"{destination} is there already")
         state = self.manifest
         for batch in state["batches"]:
-            self.spark.read.schema(ROWS).parquet(f"{self.path}/{batch}").write.parquet(f"{destination}/{batch}")
+            self.spark.read.parquet(f"{self.path}/{batch}").write.parquet(f"{destination}/{batch}")
         to.fs().mkdirs(to.path())
         to.replace("collection.json", self.files.read("collection.json"))
         counts = {b: self.spark.read.schema(ROWS).parquet(f"{destination}/{b}").count() for b in state["batches"]}

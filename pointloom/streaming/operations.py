@@ -1,4 +1,4 @@
-"""A stream of operations applied to a collection, one version a micro-batch and kind."""
+"""A stream of operations applied to a collection, one version a micro-batch."""
 
 from __future__ import annotations
 
@@ -7,20 +7,15 @@ from pyspark.sql.streaming import StreamingQuery
 
 from pointloom.sources.collection import Collection
 
-OPERATIONS = "kind string, id long, vector array<double>, payload string"
+OPERATIONS = "seq long, kind string, id long, vector array<double>, payload string"
 
 
 def apply_operations(operations: DataFrame, collection: Collection, checkpoint: str) -> StreamingQuery:
-    """operations: rows (kind `upsert` or `delete`, id, vector, payload). Within a micro-batch upserts come before
-    deletions. Takes what is there, then stops. A batch that is run again after a failure gives the same points."""
-
-    def apply(batch: DataFrame, _: int) -> None:
-        batch.persist()
-        upserts, deletions = batch.where("kind = 'upsert'"), batch.where("kind = 'delete'")
-        if not upserts.isEmpty():
-            collection.upsert(upserts.select("id", "vector", "payload"))
-        if not deletions.isEmpty():
-            collection.delete(deletions.select("id"))
-        batch.unpersist()
+    """operations: rows (seq, kind `upsert` or `delete`, id, vector, payload), of which an id's last in a micro-batch, by
+    seq, is what counts. Takes what is there, then stops. The collection keeps the number of each micro-batch with its
+    version, under the checkpoint's name, so one that is run again after a failure changes nothing."""
+
+    def apply(batch: DataFrame, epoch: int) -> None:
+        collection.apply(batch, source=checkpoint, epoch=epoch)
 
     return operations.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

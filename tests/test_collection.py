@@ -72,7 +72,7 @@ def test_search_filters_cosine_and_quantized(spark, tmp_path):
         with pytest.raises(InvalidVectorError):
             c.search(query(spark, *bad), 2)
     c.create_payload_index("hue", PayloadSchema.KEYWORD)
-    assert Collection.open(spark, c.path).indexed_points().where(F.array_contains("__pidx_0", "teal")).count() == 2
+    assert Collection.open(spark, c.path).indexed_points().where("__pidx_0 = 'teal' AND NOT __pother_0").count() == 2
     assert c.search(query(spark, 1, 0), 9, Range("hue", gt=1)).count() == 0
 
 
@@ -86,16 +86,16 @@ def test_a_search_keeps_its_batches(spark, tmp_path):
 
 def test_writes_during_optimize_stay(spark, tmp_path, monkeypatch):
     c = made(spark, tmp_path / "c", [(1, [1.0, 0.0], "{}"), (2, [1.0, 0.0], "{}")])
-    real = Collection.rows
+    real = Collection._live
 
-    def rows(self, manifest=None):  # while the batches are read, another writer publishes
-        monkeypatch.setattr(Collection, "rows", real)
+    def live(self, *columns, **more):  # while the batches are read, another writer publishes
+        monkeypatch.setattr(Collection, "_live", real)
         other = Collection.open(spark, c.path)
         other.delete(ids(spark, 1))
         other.upsert(spark.createDataFrame([(3, [0.0, 1.0], "{}")], ROWS))
-        return real(self, manifest)
+        return real(self, *columns, **more)
 
-    monkeypatch.setattr(Collection, "rows", rows)
+    monkeypatch.setattr(Collection, "_live", live)
     c.optimize()
     assert set(state(c)) == {2, 3} and len(c.manifest["batches"]) == 3 and c.manifest["version"] == 3
     c.optimize()
@@ -116,9 +116,18 @@ def test_snapshots_and_names(spark, tmp_path):
 
 def test_stream_of_operations(spark, tmp_path):
     c = Collection.create(spark, str(tmp_path / "c"), dimension=1, distance=Distance.DOT)
-    spark.createDataFrame([("upsert", 1, [1.0], "{}"), ("upsert", 2, [2.0], "{}"), ("delete", 1, None, None)], OPERATIONS).write.parquet(str(tmp_path / "ops"))
-    apply_operations(spark.readStream.schema(OPERATIONS).parquet(str(tmp_path / "ops")), c, str(tmp_path / "state")).awaitTermination()
-    assert list(state(c)) == [2]
+    ops = [(0, "upsert", 1, [1.0], "{}"), (1, "upsert", 2, [2.0], "{}"), (2, "delete", 1, None, None), (3, "upsert", 1, [3.0], '{"again":1}'), (4, "delete", 2, None, None), (5, "delete", 9, None, None)]
+    spark.createDataFrame(ops, OPERATIONS).write.parquet(str(tmp_path / "ops"))
+    stream = lambda: apply_operations(spark.readStream.schema(OPERATIONS).parquet(str(tmp_path / "ops")), c, str(tmp_path / "state")).awaitTermination()
+    stream()
+    assert state(c) == {1: {"again": 1}} and c.manifest["version"] == 1
+    batch = spark.createDataFrame([(0, "delete", 1, None, None)], OPERATIONS)
+    assert c.apply(batch, source=str(tmp_path / "state"), epoch=0) is None and c.count() == 1  # as if run again after a failure
+    assert c.apply(batch, source=str(tmp_path / "state"), epoch=1) == 2 and c.count() == 0
+    for bad in ((0, "other", 1, None, None), (0, "delete", None, None, None)):
+        with pytest.raises(InvalidPointError):
+            c.apply(spark.createDataFrame([bad], OPERATIONS))
+    assert c.apply(spark.createDataFrame([], OPERATIONS)) is None
 
 
 def test_command_line(spark, tmp_path):

@@ -6,11 +6,12 @@ from pyspark.sql import functions as F
 
 from pointloom.config import Distance, HnswConfig
 from pointloom.functions import quantize
-from pointloom.operators import hnsw, search
+from pointloom.functions.distance import exact_sum
+from pointloom.operators import hnsw, search, versions
 
 
 def points(spark, vectors):
-    return spark.createDataFrame([(i, [float(x) for x in v]) for i, v in vectors], "id long, vector array<double>")
+    return spark.createDataFrame([(i, v and [float(x) for x in v]) for i, v in vectors], "id long, vector array<double>")
 
 
 def query(spark, v):
@@ -40,23 +41,28 @@ def test_filter_runs_before_the_scores(spark):
 
 
 def test_quantizer(spark):
-    p = points(spark, [(1, [-4, 2, 9]), (2, [0, 2, 3]), (3, [7, 2, -1])])
-    both = p.crossJoin(quantize.fit(p))
+    p = points(spark, [(1, [3, -1.5, 0.25]), (2, [-8, -1.5, 11]), (3, [1, -1.5, 6]), (4, None)])
+    both = p.where("vector IS NOT NULL").crossJoin(quantize.fit(p))
     code = quantize.encode(F.col("vector"), F.col("minima"), F.col("scales"))
     rows = both.select("vector", code.alias("c"), quantize.decode(code, F.col("minima"), F.col("scales")).alias("back"), quantize.error_bound(F.col("scales")).alias("bound")).collect()
     for r in rows:
-        assert r["c"][1] == 0 and r["back"][1] == 2.0
+        assert r["c"][1] == 0 and r["back"][1] == -1.5
         assert all(abs(x - y) <= r["bound"] + 1e-12 for x, y in zip(r["vector"], r["back"], strict=True))
     assert quantize.fit(p.where("false")).count() == 0
 
 
 def test_quantized_rescore_keeps_exact_scores(spark):
-    p = points(spark, [(1, [0.91, 0.11]), (2, [0.89, 0.13]), (3, [0.20, 0.99]), (4, [-0.5, 0.4])])
-    found = search.quantized_top_k(p, query(spark, [1, 0]), 2, oversampling=3).collect()
-    assert [(r["id"], r["score"]) for r in found] == [(1, 0.91), (2, 0.89)]
+    p = points(spark, [(6, [0.31, 2.5]), (7, [0.62, -1.0]), (8, [0.615, 0.75]), (9, [-2.25, 0.5]), (10, [0.05, 0.0])])
+    found = search.quantized_top_k(p, query(spark, [1, 0]), 2, oversampling=2).collect()
+    assert [(r["id"], r["score"]) for r in found] == [(7, 0.62), (8, 0.615)]
+    for q, metric in (([1], Distance.DOT), ([0, 0], Distance.COSINE), ([1, float("nan")], Distance.EUCLID)):
+        with pytest.raises(Exception, match="a query"):
+            search.quantized_top_k(p, query(spark, q), 2, metric).collect()
+    with pytest.raises(ValueError):
+        search.quantized_top_k(p, query(spark, [1, 0]), 0)
 
 
-def random_points(spark, n=200, d=8):
+def random_points(spark, n=200, d=8):  # fixed values: the gate's size and seed
     r = random.Random(17)
     vectors = [(i, [r.uniform(-1, 1) for _ in range(d)]) for i in range(n)]
     unit = [(i, [x / math.sqrt(sum(y * y for y in v)) for x in v]) for i, v in vectors]
@@ -87,3 +93,60 @@ def test_quantized_recall(spark):
         exact = {r["id"] for r in search.top_k(p, query(spark, q), 10).collect()}
         about = {r["id"] for r in search.quantized_top_k(p, query(spark, q), 10).collect()}
         assert len(exact & about) >= 9.5
+
+
+@pytest.mark.parametrize("metric", list(Distance))
+def test_blocked_join_equals_all_pairs(spark, metric):
+    r = random.Random(3)
+    vectors = [[r.uniform(-1, 1) for _ in range(5)] for _ in range(90)]
+    vectors += [vectors[k] for k in range(20)] + [[1e-3] * 5]  # equal vectors tie
+    p = points(spark, enumerate(vectors)).unionByName(points(spark, [(None, vectors[0]), (500, None)]))
+    asked = p.where("id % 7 = 0").select(F.col("id").alias("query_id"), F.col("vector").alias("q"))
+    found = search.knn_join(p, asked, 4, metric, block_rows=16)
+    assert "BroadcastNestedLoopJoin" not in found._jdf.queryExecution().executedPlan().toString()
+    got = {(x["query_id"], x["rank"]): (x["id"], x["score"]) for x in found.collect()}
+    unit = lambda v: [x / math.sqrt(sum(y * y for y in v)) for x in v] if metric == Distance.COSINE else v
+
+    def near(v, q):
+        total = 0.0
+        for x, y in zip(v, q, strict=True):
+            total += -((x - y) ** 2) if metric == Distance.EUCLID else x * y
+        return total
+
+    for a in range(0, len(vectors), 7):
+        best = sorted((-near(v, unit(vectors[a])), b) for b, v in enumerate(vectors) if b != a)[:4]
+        assert [got[a, k + 1][0] for k in range(4)] == [b for _, b in best]
+        assert [got[a, k + 1][1] for k in range(4)] == pytest.approx([-s for s, _ in best], abs=1e-12)
+    assert search.knn_join(p.where("false"), asked, 2).count() == 0 and search.knn_join(p, asked, 200, block_rows=50).count() == 16 * 110
+    with pytest.raises(Exception, match="dimension"):
+        search.knn_join(p, asked.select("query_id", F.slice("q", 1, 2).alias("q")), 2).collect()
+
+
+def test_exact_sums_round_once(spark):
+    r = random.Random(4)
+    rows = [[r.uniform(-1, 1) * 10.0 ** r.randrange(-20, 20) for _ in range(r.randrange(12))] for _ in range(300)]
+    rows += [[1e16, 1.0, -1e16], [1e308, 1e292, -1e308], [1.0, 2.0**-53, 2.0**-106], [1.0, 2.0**-53], [1.0, 2.0**-53, -(2.0**-106)], [0.1] * 10, [-1.0, -(2.0**-53), -(2.0**-80)], []]
+    df = spark.createDataFrame([(k, x) for k, x in enumerate(rows)], "k int, x array<double>")
+    for k, got in df.select("k", exact_sum(F.col("x"))).collect():
+        assert got == math.fsum(rows[k]), rows[k]
+    p = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("vector"))
+    q = p.where("id = 7").select(F.col("vector").alias("q"))
+    found = search.scored(p, q, Distance.DOT, strict=True)
+    assert "Python" not in found._jdf.queryExecution().executedPlan().toString() and "Arrow" not in found._jdf.queryExecution().executedPlan().toString()
+    v7 = q.first()["q"]
+    assert all(x["score"] == math.fsum(a * b for a, b in zip(x["vector"], v7, strict=True)) for x in found.collect())
+
+
+def test_base_rows_are_not_shuffled(spark, tmp_path):
+    rows = [(k, [float(k)], 1, 0, False) for k in range(50)]
+    kind = "id long, vector array<double>, version int, ordinal int, deleted boolean"
+    spark.createDataFrame(rows, kind).write.parquet(str(tmp_path / "base"))
+    base = spark.read.parquet(str(tmp_path / "base"))
+    delta = spark.createDataFrame([(3, [9.0], 2, 0, False), (3, [8.0], 2, 1, False), (4, [], 3, 0, True), (99, [1.0], 2, 0, False), (4, [7.0], 2, 0, False)], kind)
+    found = versions.latest_by_delta(base, delta)
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, versions.latest(base.unionByName(delta)).collect()))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    of_base = plan[: plan.index("FileScan")]
+    assert "BroadcastHashJoin" in of_base and "Exchange hashpartitioning" not in of_base
+    wide = versions.latest_by_delta(base, delta, delta_rows=versions.BROADCAST_IDS + 1)
+    assert sorted(map(tuple, wide.collect())) == sorted(map(tuple, found.collect()))
