@@ -3,7 +3,8 @@
 Ordinary words cost few tokens under a byte-pair vocabulary; random strings cost nearly one token a character or two.
 A run of key-like characters is flagged when it has fewer characters a token than a bound, unless it is a known digest,
 a UUID, a number or an identifier: those are random-looking or long, but not secret. If a run is not flagged as a whole,
-its parts are, each by its own ratio: words glued on by separators hide nothing.
+its parts are, each by its own ratio: words glued on by separators hide nothing. Within a long part, so is what a window
+that slides over its tokens finds, if it mixes cases or has digits: words glued on without separators hide nothing either.
 """
 
 from __future__ import annotations
@@ -39,9 +40,15 @@ IDENTIFIER = re.compile(r"(?:(?:[A-Z]?[a-z]{2,}+|[A-Z]{2,}+|[0-9]++)[_/=+-]*+)++
 #: Letters joined one or two at a time: lists of initials, rules.
 UNSPELLED = re.compile(r"[A-Za-z]{0,2}(?:[+/_=-]+[A-Za-z]{0,2})*+")
 LETTERS = re.compile(r"[A-Za-z]+")
+#: Where a lower-case letter, a capital or a digit follows another kind of them, words in camel case left aside.
+KIND_CHANGES = re.compile(r"(?<=[a-z])[0-9]|(?<=[0-9])[A-Za-z]|(?<=[A-Z])[0-9]|(?<=[a-z])[A-Z](?![a-z])|(?<=[A-Z])[a-z](?![a-z])")
 #: The parts of a run between its separators; a UUID is one.
 BETWEEN = re.compile(rf"(?<![A-Za-z0-9]){UUID.pattern}(?![A-Za-z0-9])|[A-Za-z0-9]+")
 CHARS_A_TOKEN = 2.0
+#: A window holds tokens of so many characters at least, in parts of GLUED characters or more.
+WINDOW, GLUED = 22, 40
+#: In the window, tokens are shorter still, and these change between kinds of characters so often.
+CHARS_A_WINDOW_TOKEN, KINDS_CHANGE = 1.75, 6
 #: Tokens are counted in pieces of at most so many characters.
 PIECE = 4096
 
@@ -106,7 +113,9 @@ def _dense_in(run: str, vocabulary: str, bound: float) -> list[tuple[int, int]]:
         a, b = group[0][0], group[-1][1]
         together = _judged(run, a, b, vocabulary, bound)
         found += together if together == [(a, b)] else _merged([*together, *(x for p in group for x in _judged(run, *p, vocabulary, bound))])
-    return _merged([*whole, *found])
+    found = _merged([*whole, *found])
+    parts = [m.span() for m in BETWEEN.finditer(run) if not any(x < m.end() and m.start() < y for x, y in found)]
+    return _merged([*found, *(x for p in parts for x in _glued(run, *p, vocabulary))])
 
 
 def _judged(run: str, a: int, b: int, vocabulary: str, bound: float) -> list[tuple[int, int]]:
@@ -115,6 +124,26 @@ def _judged(run: str, a: int, b: int, vocabulary: str, bound: float) -> list[tup
     return [(a + x, a + y) for x, y in _dense(run[a:b], vocabulary, bound)]
 
 
+def _glued(run: str, a: int, b: int, vocabulary: str) -> list[tuple[int, int]]:
+    """(start, end) of what windows within run[a:b], a part without separators, find dense."""
+    if b - a < GLUED or DIGEST.fullmatch(run, a, b) or UUID.fullmatch(run, a, b):
+        return []
+    ends, at = [a], a
+    for x, y, _ in _tokens(run[a:b], vocabulary):
+        for token in _vocabulary(vocabulary).encode_ordinary(run[a + x : a + y]):
+            at += len(_vocabulary(vocabulary).decode_single_token_bytes(token))
+            ends.append(at)
+    found, last = [], 0
+    for first in range(len(ends)):
+        while last < len(ends) and ends[last] - ends[first] < WINDOW:
+            last += 1
+        if last == len(ends):
+            break
+        if ends[last] - ends[first] < CHARS_A_WINDOW_TOKEN * (last - first):
+            found.append((ends[first], ends[last]))
+    return [(x, y) for x, y in _merged(found) if len(KIND_CHANGES.findall(run, x, y)) >= KINDS_CHANGE]
+
+
 def _merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     out: list[tuple[int, int]] = []
     for a, b in sorted(spans):

@@ -1,5 +1,6 @@
 """Language, toxicity, secrets, byte-pair encoding: on odd cases and held-out rows."""
 
+import random
 import re
 
 import numpy as np
@@ -201,3 +202,62 @@ def test_texts_go_to_python_in_bounded_batches(spark):
     finally:
         for key, value in before.items():
             spark.conf.set(key, value)
+
+
+def test_bpe_takes_tiktokens_letters_of_all_code_points(spark):
+    """Every code point is in the extended classes if and only if tiktoken has it there, alone or within brackets."""
+    import tiktoken
+
+    more = bpe.newer_characters(spark)
+    every = "".join(map(chr, [*range(0xD800), *range(0xE000, 0x110000)]))
+    one = spark.createDataFrame([(every,)], "s string")
+    for name in ("\\p{L}", "\\p{N}", "\\s"):
+        theirs = tiktoken.Encoding(name, pat_str=f"{name}+", mergeable_ranks={bytes([b]): b for b in range(256)}, special_tokens={})
+        theirs = set(theirs.decode(theirs.encode_ordinary(every)))
+        for pattern in (f"(?:{name})", f"[{name}]"):
+            left = one.select(F.regexp_replace("s", bpe.UNICODE + bpe.extended(pattern, more), "")).first()[0]
+            assert set(every) - set(left) == theirs, pattern
+    ranks = bpe.read_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
+    encoder = tiktoken.Encoding("all", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    odd = [0x1E2A7, 0x1E067, 0x1DF27, 0x105E7, 0x16D67, 0x13527, 0x10D40, 0x11F50, 0x870, 0x86F, 0x31350, 0x10FFFF]
+    texts = [f"{x}{chr(c)}{y}" for c in odd for x, y in (("", "a"), ("b", "a"), (" ", "1"), ("1", "!"), ("a", " "))]
+    found = bpe.encode_documents(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), ranks, public_tokenizers.PATTERN)
+    for r in found.collect():
+        assert r["ids"] == encoder.encode_ordinary(texts[r["doc_id"]]) and bytes(r["decoded"]).decode() == texts[r["doc_id"]]
+
+
+def test_bpe_of_long_words(spark):
+    import time
+
+    import tiktoken
+
+    ranks = bpe.read_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
+    encoder = tiktoken.Encoding("all", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    r = random.Random(9)
+    alphabet = "abcdeilnorst" * 4 + "ABCxyzé雪"
+    words = ["".join(r.choice(alphabet) for _ in range(n)) for n in (700, 1100, 5000)] + ["a" * 3000, "\n" * 4000 + "x", "=" * 2000, "the" * 900]
+    texts = [f"some {w} more {w[:40]} words" for w in words] + [words[2] + words[1]]
+    docs = spark.createDataFrame([(k, t, "x", "y") for k, t in enumerate(texts)], "doc_id long, text string, ids string, decoded string")
+    for row in bpe.encode_documents(docs, ranks, public_tokenizers.PATTERN).collect():
+        assert row["ids"] == encoder.encode_ordinary(texts[row["doc_id"]])
+    long = "".join(r.choice(alphabet) for _ in range(200_000)).encode()
+    began = time.time()
+    ids = bpe.heap_merged(long, ranks)
+    assert time.time() - began < 20 and b"".join(encoder.decode_single_token_bytes(i) for i in ids) == long
+
+
+def test_keys_glued_to_words_without_separators_are_dense():
+    """Nine in ten keys or more are covered whole but for two characters; words alone, in any case and with numbers, are not dense."""
+    r, v = random.Random(2), secrets.default_vocabulary()
+    words = ["international", "development", "configuration", "password", "server", "number", "quick", "brown", "documentation"]
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    found = 0
+    for _ in range(100):
+        before = "".join(r.choice(words) for _ in range(5))
+        key = "".join(r.choice(letters + letters.upper() + "0123456789") for _ in range(32))
+        spans = [(a, b) for a, kind, b in secrets.find_spans(f"x {before}{key}{words[0]} y", v) if kind == 3]
+        at = 2 + len(before)
+        found += any(a <= at + 2 and b >= at + len(key) - 2 for a, b in spans)
+        for plain in (before, before.title(), f"{before}{r.randrange(10**6)}{before}", "".join(w.title() for w in r.sample(words, 7))):
+            assert [x for x in secrets.find_spans(plain, v) if x[1] == 3] == [], plain
+    assert found >= 90
