@@ -7,19 +7,26 @@ two. Ranks of pairs are a literal map, dealt into buckets because Spark searches
 Distinct words are counted over all texts. Those that occur most often, as many as a literal of bounded size holds, are
 encoded once each; other words where they stand. So no word's places are ever shuffled, and the commonest word is no
 more work to one task than to another. Decoding concatenates the bytes of the ids' pieces.
+
+The fold's work grows with the square of a word's length, so words of more than LONG bytes are merged by a heap instead,
+in Python. Java's letters and numbers are those of an older Unicode than tiktoken's; the newer ones are added to the
+pattern where a text may have them.
 """
 
 from __future__ import annotations
 
 import base64
+import heapq
 import json
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pointloom.llm.common import cut, partitions, table
+from pointloom.llm.common import cut, in_small_batches, partitions, table
 
-#: Java's \\s, \\p{L} and \\p{N} are those of Unicode under (?U).
+#: Java's \\s, \\p{L} and \\p{N} are those of (some version of) Unicode under (?U).
 UNICODE = "(?U)"
 PAIR_BUCKETS = 131_071
 #: Of the words that occur most often, no more than so many, of no more than so many bytes each, are encoded beforehand.
@@ -27,6 +34,8 @@ FREQUENT, FREQUENT_BYTES = 1 << 17, 64
 WORD_BUCKETS = 131_071
 #: The part beyond either end of a word.
 NONE = -1
+#: Words of more bytes are merged by a heap; a text that may hold one has a run of RUN characters without a space, or of white space.
+LONG, RUN = 1024, 250
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -34,6 +43,68 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
 
 
+def newer_characters(spark: SparkSession) -> dict[str, str]:
+    """For \\p{L} and \\p{N}: what a character class needs besides, in Java, to be tiktoken's, as ranges."""
+    import tiktoken
+
+    every = "".join(map(chr, [*range(0xD800), *range(0xE000, 0x110000)]))
+    one = spark.createDataFrame([(every,)], "s string")
+    out = {}
+    for name in ("\\p{L}", "\\p{N}"):
+        bytes_only = tiktoken.Encoding(name, pat_str=f"{name}+", mergeable_ranks={bytes([b]): b for b in range(256)}, special_tokens={})
+        theirs = set(bytes_only.decode(bytes_only.encode_ordinary(every)))  # what the pattern does not match is left out
+        javas = set(one.select(F.regexp_replace("s", f"{UNICODE}[^{name}]", "")).first()[0])
+        ranges: list[list[int]] = []
+        for c in sorted(map(ord, theirs - javas)):
+            ranges[-1:] = [[ranges[-1][0], c]] if ranges and ranges[-1][1] == c - 1 else [*ranges[-1:], [c, c]]
+        out[name] = "".join(f"\\x{{{a:x}}}-\\x{{{b:x}}}" for a, b in ranges)
+    return out
+
+
+def extended(pattern: str, more: dict[str, str]) -> str:
+    """pattern with `more` added to each mention of a class, inside brackets or not."""
+    out, k, inside = "", 0, False
+    while k < len(pattern):
+        if name := next((n for n in more if pattern.startswith(n, k)), None):
+            out += name + more[name] if inside else f"[{name}{more[name]}]"
+            k += len(name)
+            continue
+        step = 2 if pattern[k] == "\\" else 1
+        inside = (inside or pattern[k] == "[") and pattern[k] != "]"
+        out, k = out + pattern[k : k + step], k + step
+    return out
+
+
+def split_words(text: str, pattern: str, more: dict[str, str]) -> Column:
+    """The pattern's matches in a column of texts, an array. The wider pattern is slower, so it is for texts with
+    characters from the first of the newer ones on."""
+    first = min((int(r[3 : r.index("}")], 16) for r in more.values() if r), default=0x110000)
+    of = lambda p: F.regexp_extract_all(text, F.lit(UNICODE + p), F.lit(0))
+    if first == 0x110000:
+        return of(pattern)
+    return F.when(F.col(text).rlike(f"[\\x{{{first:x}}}-\\x{{10ffff}}]"), of(extended(pattern, more))).otherwise(of(pattern))
+
+
+def heap_merged(word: bytes, ranks: dict[bytes, int]) -> list[int]:
+    """The ids of one word: neighbours of the lowest rank merge first, of equal ones the first, by a heap of pairs."""
+    n = len(word)
+    end, before, after = [k + 1 for k in range(n)], [k - 1 for k in range(n)], [k + 1 for k in range(n)]  # of the part that begins at k
+    pair = lambda a: ranks.get(word[a : end[after[a]]]) if after[a] < n else None
+    heap = [(r, k, k + 2) for k in range(n) if (r := pair(k)) is not None]
+    heapq.heapify(heap)
+    while heap:
+        _, a, upto = heapq.heappop(heap)
+        if end[a] == 0 or (b := after[a]) >= n or end[b] != upto:
+            continue  # one of the two has merged meanwhile
+        end[a], end[b], after[a] = upto, 0, after[b]
+        if after[a] < n:
+            before[after[a]] = a
+        for k in (before[a], a):
+            if k >= 0 and (r := pair(k)) is not None:
+                heapq.heappush(heap, (r, k, end[after[k]]))
+    return [ranks[word[k : end[k]]] for k in range(n) if end[k]]
+
+
 def _literal(rows: list, kind: str) -> Column:
     """rows as a literal: Spark folds the parsing of a constant before it runs anything."""
     return F.from_json(F.lit(json.dumps(rows, separators=(",", ":"))), kind)
@@ -106,14 +177,15 @@ def encode_documents(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_
     """id_column, n_tokens, ids (array of int) and decoded (binary) for each row of docs; other columns are not read.
 
     Null and empty texts have no tokens, an empty table no rows. Rows that repeat have a row each; ids may be null and
-    may repeat. A word's work grows with the square of its length, at some half a minute for 20,000 letters. The ranks must
-    be 0 and up without a gap, and hold all single bytes.
+    may repeat; columns of docs that are named ids or decoded are not looked at. Texts and words may be of any length. The
+    ranks must be 0 and up without a gap, and hold all single bytes.
     """
     assert sorted(ranks.values()) == list(range(len(ranks))), "a piece must stand at its rank"
     spark = docs.sparkSession
     merges = merge_buckets(ranks)
     single = _literal([ranks[bytes([b])] for b in range(256)], "array<int>")
-    words = F.regexp_extract_all(text, F.lit(UNICODE + pattern), F.lit(0))
+    docs = docs.select(F.col(id_column).alias("id"), F.col(text).alias("text"))
+    words = split_words("text", pattern, newer_characters(spark))
     counts = cut(docs.select(F.explode(words).alias("word")).groupBy("word").agg(F.count("*").alias("n")))
     bucket = lambda w: F.pmod(F.xxhash64(w), F.lit(WORD_BUCKETS)).cast("int")
     coded = _frequent(counts).repartition(partitions(spark), "word").select(bucket("word").alias("bucket"), "word", _with(merges, lambda m: encoded_word(F.col("word"), m, single)).alias("ids"))
@@ -122,11 +194,29 @@ def encode_documents(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_
         held[r["bucket"]] = (held[r["bucket"]] or {}) | {r["word"]: r["ids"]}
     known = _literal(held, "array<map<string,array<int>>>")
     ids_of = lambda w, known, merges: F.coalesce(F.try_element_at(F.get(known, bucket(w)), w), encoded_word(w, merges, single))
-    ids = _with(known, lambda k: _with(merges, lambda m: F.flatten(F.transform(words, lambda w: ids_of(w, k, m)))))
-    rows = docs.select(id_column, F.coalesce(ids, F.array().cast("array<int>")).alias("ids"))
+    fold = lambda words, of: F.coalesce(_with(known, lambda k: _with(merges, lambda m: F.flatten(F.transform(words, lambda w: of(w, k, m))))), F.array().cast("array<int>")).alias("ids")
+
+    may_be_long = F.coalesce(F.col("text").rlike(f"[^ ]{{{RUN}}}|\\s{{{RUN}}}"), F.lit(False))
+    plain = docs.where(~may_be_long).select("id", fold(words, ids_of))
+    is_long = lambda w: F.octet_length(w) > LONG
+    odd = in_small_batches(docs.where(may_be_long)).select("id", words.alias("words"))
+    odd = odd.withColumn("by_heap", _heap_udf(spark.sparkContext.broadcast(ranks))(F.array_distinct(F.filter("words", is_long))))
+    odd = odd.select("id", fold(F.col("words"), lambda w, k, m: F.when(is_long(w), F.try_element_at("by_heap", w)).otherwise(ids_of(w, k, m))))
+    rows = plain.unionByName(odd)
     by_id = _literal([piece.hex() for piece in sorted(ranks, key=ranks.__getitem__)], "array<string>")
     decoded = F.unhex(F.array_join(F.transform("ids", lambda i: F.get(by_id, i)), ""))
-    return rows.select(id_column, F.size("ids").cast("long").alias("n_tokens"), "ids", decoded.alias("decoded"))
+    return rows.select(F.col("id").alias(id_column), F.size("ids").cast("long").alias("n_tokens"), "ids", decoded.alias("decoded"))
+
+
+def _heap_udf(ranks):
+    kind = pa.map_(pa.string(), pa.list_(pa.int32()))
+
+    def merged(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for batch in batches:
+            yield pa.array([[(w, heap_merged(w.encode("utf-8", "surrogatepass"), ranks.value)) for w in words or ()] for words in batch.to_pylist()], kind)
+
+    merged.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
+    return F.arrow_udf(merged, "map<string,array<int>>")
 
 
 def op9_higher_order_bpe(spark: SparkSession, sf_dir: str, vocabulary: str | None = None, pattern: str | None = None) -> DataFrame:
