@@ -123,7 +123,7 @@ def _entities(docs: DataFrame, id_column: str, sets: DataFrame, crowd, words: in
     of the longest prefix as that asks for, or all those it must share, if they are fewer."""
     prefix = cut(_prefix_grams(docs, crowd, words, percent))
     shared = prefix.groupBy("gram").agg(F.count("*").alias("df")).where("df > 1")
-    met = prefix.join(shared.select("gram").hint("shuffle_hash"), "gram").groupBy("k1").agg(F.count("*").alias("met"))
+    met = prefix.join(shared.select("gram"), "gram").groupBy("k1").agg(F.count("*").alias("met"))
     wanted = sets.join(met, "k1").where(F.col("met") >= F.least(_most(F.col("n")), _least(F.col("n"), percent)))
     low = cut(wanted.select(F.col("low")).distinct())
     texts = maybe_in(docs, id_column, low).join(low, F.col(id_column).eqNullSafe(F.col("low")), "left_semi")
