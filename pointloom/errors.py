@@ -9,7 +9,7 @@ class InvalidPointError(PointloomError, ValueError):
     pass
 
 
-class InvalidVectorError(PointloomError, ValueError):
+class InvalidVectorError(InvalidPointError):
     pass
 
 
@@ -30,7 +30,8 @@ class SchemaMismatchError(PointloomError):
 
 
 class WriteConflictError(PointloomError):
-    pass
+    """Another writer published meanwhile. The check comes before the rename, not with it: it finds what a second writer
+    has done, but two that publish in the same instant need a lock of their own."""
 
 
 class SnapshotError(PointloomError):
@@ -39,3 +40,11 @@ class SnapshotError(PointloomError):
 
 class ClosedResourceError(PointloomError):
     pass
+
+
+class PayloadIndexError(PointloomError):
+    """An index of a path that is none, of an unknown type, or of another type than the path's index has."""
+
+
+class CorruptionError(PointloomError):
+    """What a collection keeps of itself can't be read, or does not fit together."""

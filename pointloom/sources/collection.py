@@ -19,18 +19,19 @@ import uuid
 from collections.abc import Callable
 from functools import reduce
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from pointloom.config import CollectionConfig, Distance, PayloadSchema, ScalarQuantizationConfig
-from pointloom.errors import CollectionExistsError, CollectionNotFoundError, InvalidPointError, InvalidVectorError, SchemaMismatchError, SnapshotError, WriteConflictError
+from pointloom.errors import ClosedResourceError, CollectionExistsError, CollectionNotFoundError, CorruptionError, InvalidPointError, InvalidVectorError, PayloadIndexError, SchemaMismatchError, SnapshotError, WriteConflictError
 from pointloom.functions import quantize
 from pointloom.functions.distance import normalized
 from pointloom.operators import payload_index, search, versions
-from pointloom.operators.filters import Condition, compile_filter
+from pointloom.operators.filters import Condition, Match, compile_filter
 from pointloom import ids
 
-ROWS = "id long, vector array<double>, payload string, version long, ordinal int, deleted boolean"
+ROWS = "id {id}, vector array<double>, payload string, version long, ordinal int, deleted boolean"
 _INDEX_TYPES = {PayloadSchema.KEYWORD: "string", PayloadSchema.INTEGER: "bigint", PayloadSchema.FLOAT: "double", PayloadSchema.BOOL: "boolean"}
 _own_folder: list[str] = []
 
@@ -38,6 +39,8 @@ _own_folder: list[str] = []
 def shared_folder(spark: SparkSession) -> str:
     """Where tables that a query makes go: spark.checkpoint.dir, or in tests a folder of our own."""
     if not (path := spark.conf.get("spark.checkpoint.dir", None)):
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         if not _own_folder:
             _own_folder.append(tempfile.mkdtemp(prefix="pointloom-"))
         path = _own_folder[0]
@@ -70,6 +73,10 @@ class _Files:
         stream = self.fs().open(self.path(name))
         try:
             return json.loads(bytes(stream.readAllBytes()))
+        except Py4JJavaError as e:
+            if e.java_exception.getClass().getSimpleName() == "ChecksumException":
+                raise CorruptionError(f"{self.root}/{name}") from e
+            raise
         finally:
             stream.close()
 
@@ -90,8 +97,13 @@ class Collection:
         self.spark, self.path, self.files = spark, path, _Files(spark, path)
         if not self.files.exists("collection.json"):
             raise CollectionNotFoundError(path)
-        described = self.files.read("collection.json")
-        self.config = CollectionConfig.from_dict(described["config"])
+        self.closed = False
+        try:
+            described = self.files.read("collection.json")
+            self.config = CollectionConfig.from_dict(described["config"])
+        except (KeyError, TypeError, ValueError) as e:
+            raise CorruptionError(f"{path}/collection.json") from e
+        self._rows = ROWS.format(id="long" if self.config.ids == "integer" else "string")
         if described["fingerprint"] != self.config.fingerprint:
             raise SchemaMismatchError(path)
         self.indexes = {p: PayloadSchema(s) for p, s in described["indexes"].items()}
@@ -109,6 +121,10 @@ class Collection:
 
     open = classmethod(lambda cls, spark, path: cls(spark, path))
 
+    def close(self) -> None:
+        """Nothing is read or written through this object any more; searches that began stay as they are."""
+        self.closed = True
+
     def drop(self) -> None:
         self.files.fs().delete(self.files.path(), True)
 
@@ -116,20 +132,35 @@ class Collection:
 
     @property
     def manifest(self) -> dict:
-        return self.files.read("manifest.json")
+        if self.closed:
+            raise ClosedResourceError(self.path)
+        try:
+            state = self.files.read("manifest.json")
+            state["batches"], state["facts"], state["version"]
+        except (KeyError, TypeError, ValueError) as e:
+            raise CorruptionError(f"{self.path}/manifest.json") from e
+        return state
+
+    # Inside, ids of any kind are keys (see pointloom.ids), in whose order and by which all is joined.
+
+    def _keyed(self, df: DataFrame) -> DataFrame:
+        return df.withColumn("id", ids.key_of(F.col("id"))) if self.config.ids == "any" else df
+
+    def _shown(self, df: DataFrame) -> DataFrame:
+        return df.withColumn("id", ids.shown(F.col("id"))) if self.config.ids == "any" else df
 
     def rows(self, manifest: dict | None = None) -> DataFrame:
         """All rows of all batches, superseded ones included, with their segment_id; the batches of this moment, or of a manifest."""
         batches = (manifest or self.manifest)["batches"]
         if not batches:
-            return self.spark.createDataFrame([], ROWS + ", segment_id string")
-        tables = self.spark.read.schema(ROWS).parquet(*(f"{self.path}/{b}" for b in batches))
-        return tables.withColumn("segment_id", F.regexp_extract(F.input_file_name(), "/(batch-[^/]+)/", 1))
+            return self.spark.createDataFrame([], self._rows + ", segment_id string")
+        tables = self.spark.read.schema(self._rows).parquet(*(f"{self.path}/{b}" for b in batches))
+        return self._shown(tables).withColumn("segment_id", F.regexp_extract(F.input_file_name(), "/(batch-[^/]+)/", 1))
 
     def _batch(self, name: str, facts: dict) -> DataFrame:
         """A batch with all of its columns; index columns that it has not are null and tell nothing."""
         columns = "".join(f", {i.value} {_INDEX_TYPES[i.schema]}, {i.other} boolean" for p, i in self._indexed().items() if p in facts["indexes"])
-        found = self.spark.read.schema(ROWS + columns + (", codes array<tinyint>" if "minima" in facts else "")).parquet(f"{self.path}/{name}")
+        found = self.spark.read.schema(self._rows + columns + (", codes array<tinyint>" if "minima" in facts else "")).parquet(f"{self.path}/{name}")
         return found.withColumns({c: F.lit(v).cast(t) for p, i in self._indexed().items() if p not in facts["indexes"] for c, v, t in ((i.value, None, _INDEX_TYPES[i.schema]), (i.other, True, "boolean"))})
 
     def _indexed(self) -> dict[str, payload_index.Indexed]:
@@ -140,7 +171,7 @@ class Collection:
         columns say how a batch's codes are read: minima, scales."""
         state = state or self.manifest
         if not state["batches"]:
-            return self.spark.createDataFrame([], ROWS).select("id", "version", *columns) if not coded else None
+            return self.spark.createDataFrame([], self._rows).select("id", "version", *columns) if not coded else None
         parts, extra = [], ("minima", "scales") if coded else ()
         for name in state["batches"]:
             facts = state["facts"][name]
@@ -160,6 +191,9 @@ class Collection:
 
     def points(self) -> DataFrame:
         """id, vector, payload (VARIANT) and version of live points. Only changes to the first batch are shuffled."""
+        return self._shown(self._points())
+
+    def _points(self) -> DataFrame:
         return self._live("vector", "payload").select("id", "vector", F.parse_json("payload").alias("payload"), "version")
 
     def count(self) -> int:
@@ -169,13 +203,14 @@ class Collection:
         return versions.segment_statistics(self.rows())
 
     def retrieve(self, wanted: DataFrame) -> DataFrame:
-        return search.retrieve(self.points(), wanted)
+        return self._shown(search.retrieve(self._points(), self._keyed(wanted)))
 
     def _holds(self, condition: Condition) -> Column:
-        return compile_filter(condition, F.col("payload"), ids.key_of_integers(F.col("id")))
+        return compile_filter(condition, F.col("payload"), ids.key_of_integers(F.col("id")) if self.config.ids == "integer" else F.col("id"))
 
-    def search(self, query: DataFrame, k: int, condition: Condition | None = None, threshold: float | None = None, exact: bool = False, facts: Observation | None = None) -> DataFrame:
-        """The k nearest live points to the one row q of query; through int8 codes if the collection is quantized and exact is not asked for.
+    def search(self, query: DataFrame, k: int, condition: Condition | None = None, threshold: float | None = None, exact: bool = False, facts: Observation | None = None, with_payload: bool = True, with_vector: bool = False) -> DataFrame:
+        """id, version and score of the k nearest live points to the one row q of query, with their payloads (VARIANT) and
+        vectors if asked for; through int8 codes if the collection is quantized and neither exact nor a threshold is asked for.
 
         Payload indexes choose what is read; the condition is evaluated on that. facts, if given, counts `let_through` (live
         points that the indexes did not rule out) and `scored` (those that satisfy the condition) once the search has run.
@@ -183,13 +218,14 @@ class Collection:
         asked = query.first()["q"]  # one row
         if asked is None or len(asked) != self.config.dimension or not all(x is not None and math.isfinite(x) for x in asked) or (self.config.distance == Distance.COSINE and not any(asked)):
             raise InvalidVectorError(f"a query needs {self.config.dimension} finite numbers, not all 0 for cosine")
-        if self.config.quantization and not exact and threshold is None:
-            near = self.nearest_codes(query, k * self.config.quantization.oversampling, condition, facts)
+        shown = [*(["payload"] if with_payload else []), *(["vector"] if with_vector else [])]
+        if self.config.quantization and not exact and threshold is None and self.manifest["batches"]:
+            near = self._nearest_codes(query, k * self.config.quantization.oversampling, condition, facts)
             ids_of = [r["id"] for r in near.select("id").collect()]  # k times oversampling at most
             chosen = self._live("vector", "payload", where=_one_of(ids_of)).select("id", "vector", F.parse_json("payload").alias("payload"), "version")
-            return search.top_k(chosen, query, k, self.config.distance)
+            return self._shown(search.top_k(chosen, query, k, self.config.distance)).select("id", "version", "score", *shown)
         found = self._matching("vector", condition=condition, facts=facts)
-        return search.top_k(found, query, k, self.config.distance, threshold=threshold)
+        return self._shown(search.top_k(found, query, k, self.config.distance, threshold=threshold)).select("id", "version", "score", *shown)
 
     def _matching(self, *columns: str, condition: Condition | None, facts: Observation | None, coded: bool = False) -> DataFrame:
         """id, columns, payload (VARIANT) and version of the live points that satisfy the condition."""
@@ -208,6 +244,9 @@ class Collection:
     def nearest_codes(self, query: DataFrame, k: int, condition: Condition | None = None, facts: Observation | None = None) -> DataFrame:
         """id and score (`about`) of the k nearest live points by their stored codes: vectors are not read, and, without a
         condition, payloads neither. The query is coded and decoded with each batch's ranges."""
+        return self._shown(self._nearest_codes(query, k, condition, facts))
+
+    def _nearest_codes(self, query: DataFrame, k: int, condition: Condition | None, facts: Observation | None) -> DataFrame:
         found = self._matching("codes", condition=condition, facts=facts, coded=True)
         return search.top_k_by_codes(found, query, k, self.config.distance)
 
@@ -250,7 +289,7 @@ class Collection:
         for name in ["id", *(i.value for i in indexed)]:
             writer = writer.option(f"parquet.bloom.filter.enabled#{name}", "true")
         writer.parquet(path)
-        return facts | {"rows": self.spark.read.schema("id long").parquet(path).count()}
+        return facts | {"rows": self.spark.read.parquet(path).count()}
 
     def _checked(self, points: DataFrame) -> DataFrame:
         """Raises unless every id is a whole number of 0 or more, and every vector is finite and of the dimension (and not zero, for cosine). One job."""
@@ -261,9 +300,9 @@ class Collection:
             good &= F.exists(v, lambda x: x != 0)
         payload = F.try_parse_json(F.coalesce("payload", F.lit("{}")))
         shaped = F.coalesce(F.schema_of_variant(payload).startswith("OBJECT"), F.lit(False))
-        bad = points.agg(F.count_if(F.coalesce(F.col("id") < 0, F.lit(True))), F.count_if(~good), F.count_if(~shaped), F.count("*")).first()
+        bad = points.agg(F.count_if(F.col("id").isNull() if self.config.ids == "any" else F.coalesce(F.col("id") < 0, F.lit(True))), F.count_if(~good), F.count_if(~shaped), F.count("*")).first()
         if bad[0] or bad[2]:
-            raise InvalidPointError(f"{bad[0]} ids are null or negative, {bad[2]} payloads are not JSON objects")
+            raise InvalidPointError(f"{bad[0]} ids are null, negative or none at all, {bad[2]} payloads are not JSON objects")
         if bad[1]:
             raise InvalidVectorError(f"{bad[1]} vectors do not fit")
         if not bad[3]:
@@ -275,7 +314,7 @@ class Collection:
 
         Of rows with one id the first counts, by `ordinal` if there is such a column, else by the smallest payload and vector.
         """
-        cast = points.select("id", F.col("vector").cast("array<double>").alias("vector"), "payload", *(["ordinal"] if "ordinal" in points.columns else []))
+        cast = self._keyed(points).select("id", F.col("vector").cast("array<double>").alias("vector"), "payload", *(["ordinal"] if "ordinal" in points.columns else []))
         good = self._checked(cast).withColumn("payload", F.coalesce("payload", F.lit("{}")))
         order = ["ordinal"] if "ordinal" in points.columns else []
         first = good.groupBy("id").agg(F.min(F.struct(*order, "payload", "vector")).alias("s")).select("id", "s.vector", "s.payload")
@@ -284,7 +323,9 @@ class Collection:
     def delete(self, wanted: DataFrame) -> int:
         """Hides the ids of wanted (id), whether they are there or not."""
         empty = F.array().cast("array<double>").alias("vector")
-        rows = wanted.select("id").distinct()
+        rows = self._keyed(wanted.select("id")).distinct()
+        if not rows.where("id IS NULL").isEmpty():
+            raise InvalidPointError("an id is null or none at all")
         return self._append(lambda v: rows.select("id", empty, F.lit("{}").alias("payload"), F.lit(v).cast("long").alias("version"), F.lit(0).alias("ordinal"), F.lit(True).alias("deleted")))
 
     def apply(self, operations: DataFrame, source: str | None = None, epoch: int | None = None) -> int | None:
@@ -294,8 +335,8 @@ class Collection:
         if source is not None and epoch <= self.manifest.get("epochs", {}).get(source, -1):
             return None
         columns = ["vector", "payload"]
-        last = operations.groupBy("id").agg(F.max_by(F.struct(*(F.col(c) for c in ("kind", *columns))), F.struct("seq", F.col("kind") == "delete")).alias("o")).select("id", "o.*")
-        if not last.where(~F.coalesce(F.col("kind").isin("upsert", "delete"), F.lit(False)) | F.col("id").isNull() | (F.col("id") < 0)).isEmpty():
+        last = self._keyed(operations).groupBy("id").agg(F.max_by(F.struct(*(F.col(c) for c in ("kind", *columns))), F.struct("seq", F.col("kind") == "delete")).alias("o")).select("id", "o.*")
+        if not last.where(~F.coalesce(F.col("kind").isin("upsert", "delete"), F.lit(False)) | F.col("id").isNull() | (F.lit(self.config.ids == "integer") & (F.col("id") < ("0" if self.config.ids == "any" else 0)))).isEmpty():
             raise InvalidPointError("operations need an id of 0 or more, and are of kind upsert or delete")
         if last.isEmpty():
             return None
@@ -308,7 +349,7 @@ class Collection:
 
     def _patch(self, wanted: DataFrame, change: Callable[[Column], Column]) -> int | None:
         """New versions of wanted's live points with changed payloads; None, and no version, if there are none."""
-        hit = self.points().join(wanted.select("id").distinct(), "id", "left_semi")
+        hit = self._points().join(self._keyed(wanted.select("id")), "id", "left_semi")
         if hit.isEmpty():
             return None
         new = hit.select("id", "vector", F.to_json(change(F.col("payload"))).alias("payload"))
@@ -325,7 +366,16 @@ class Collection:
 
     def create_payload_index(self, path: str, schema: PayloadSchema) -> None:
         """From now on every batch is written with the index's columns; what is there is rewritten once, so that it has them."""
-        self.indexes[path] = PayloadSchema(schema)
+        try:
+            Match(path, None)
+            schema = PayloadSchema(schema)
+        except ValueError as e:
+            raise PayloadIndexError(str(e)) from e
+        if self.indexes.get(path, schema) != schema:
+            raise PayloadIndexError(f"{path} has an index of type {self.indexes[path]}")
+        if path in self.indexes:
+            return
+        self.indexes[path] = schema
         described = self.files.read("collection.json")
         self.files.replace("collection.json", described | {"indexes": {p: str(s) for p, s in self.indexes.items()}})
         if self.manifest["batches"]:
@@ -334,7 +384,7 @@ class Collection:
     def indexed_points(self) -> DataFrame:
         """points() and the columns of each payload index, __pidx_<n> and __pother_<n> in the order of their making."""
         columns = [c for i in self._indexed().values() for c in (i.value, i.other)]
-        return self._live("vector", "payload", *columns).withColumn("payload", F.parse_json("payload"))
+        return self._shown(self._live("vector", "payload", *columns).withColumn("payload", F.parse_json("payload")))
 
     def optimize(self) -> None:
         """One batch of live points in place of all that are there now; batches published meanwhile stay beside it.
@@ -362,7 +412,7 @@ class Collection:
             self.spark.read.parquet(f"{self.path}/{batch}").write.parquet(f"{destination}/{batch}")
         to.fs().mkdirs(to.path())
         to.replace("collection.json", self.files.read("collection.json"))
-        counts = {b: self.spark.read.schema(ROWS).parquet(f"{destination}/{b}").count() for b in state["batches"]}
+        counts = {b: self.spark.read.parquet(f"{destination}/{b}").count() for b in state["batches"]}
         to.replace("manifest.json", state | {"rows": counts})
         return destination
 
@@ -375,7 +425,7 @@ class Collection:
             raise SnapshotError(f"{snapshot} has no manifest")
         source = cls(spark, snapshot)
         for batch, n in source.manifest.get("rows", {}).items():
-            if spark.read.schema(ROWS).parquet(f"{snapshot}/{batch}").count() != n:
+            if spark.read.parquet(f"{snapshot}/{batch}").count() != n:
                 raise SnapshotError(f"{batch} is not whole")
         source.create_snapshot(path)
         return cls(spark, path)

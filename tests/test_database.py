@@ -24,9 +24,12 @@ def test_names_restoring_and_closing(spark, tmp_path):
     db.drop_collection("a")
     with pytest.raises(CollectionNotFoundError):
         db.collection("a")
+    again = db.create_collection("b", dimension=1, distance=Distance.DOT)
+    assert db.collection("b") is again
     db.close()
-    with pytest.raises(ClosedResourceError):
-        db.names()
+    for call in (db.names, again.count):
+        with pytest.raises(ClosedResourceError):
+            call()
 
 
 @pytest.mark.parametrize("bad", [lambda: HnswConfig(m=1), lambda: HnswConfig(ef_construct=3), lambda: OptimizerConfig(deleted_ratio_threshold=0), lambda: CollectionConfig(0, "dot"), lambda: CollectionConfig(2, "taxicab")])
