@@ -27,4 +27,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     )
 }
 
-ORACLE_SQL: dict[str, str] = {"op3_deletion_line_dedup": line_dedup.OP3_SQL, "op5_adaptive_prefix_join": ngram_join.OP5_SQL, "op11_conversation_trie": conversation_trie.OP11_SQL}
+ORACLE_SQL: dict[str, str] = {
+    "op3_deletion_line_dedup": line_dedup.OP3_SQL,
+    "op5_adaptive_prefix_join": ngram_join.OP5_SQL,
+    "op8_prefix_sum_shards": sharding.OP8_SQL,
+    "op11_conversation_trie": conversation_trie.OP11_SQL,
+    "op12_conversation_repair": conversation_repair.OP12_SQL,
+}

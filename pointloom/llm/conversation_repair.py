@@ -320,3 +320,59 @@ def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     all_of = every.join(found, every["c"].eqNullSafe(found["conv_id"]), "left").drop("conv_id")
     counts = ["gaps", "blank", "duplicate", "truncated", "illegal", "cost"]
     return all_of.select(F.col("c").alias("conv_id"), *(F.coalesce(c, F.lit(0).cast("long")).alias(c) for c in counts), F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("repaired_sha256", F.lit(EMPTY_SHA256)).alias("repaired_sha256"))
+
+
+def _op12_sql() -> str:
+    """The same row by row from the end backwards: of each state the least (cost, letters) to the end, with its lines."""
+    way = lambda cost, edit, line, to: f"{{'c': {to}.c + {cost}, 'e': '{edit}' || {to}.e, 't': {line} || {to}.t}}"
+    least = lambda ways: f"list_sort([{', '.join(ways)}])[1]"
+    states, after = ("n", "s", "u", "a"), {("n", "u"): "u", ("s", "u"): "u", ("a", "u"): "u", ("u", "a"): "a", ("n", "s"): "s"}
+    roles = {"u": "user", "a": "assistant"}
+
+    def inserted(source: str) -> str:
+        more = {q: [way(INSERT, "I", f"'{roles[x]}:' || chr(10)", to) for (p, x), to in after.items() if p == q and x in roles] for q in states}
+        return f"SELECT conv_id, i, {', '.join(f'{least([q, *more[q]])} AS {q}' for q in states)} FROM ({source})"
+
+    far, end = "{'c': 1000000000, 'e': '', 't': ''}", "{'c': 0, 'e': '', 't': ''}"
+    ended = f"SELECT conv_id, n AS i, {end} AS n, {far} AS s, {far} AS u, {end} AS a FROM counted"
+    step = []
+    for q in states:
+        ways = [way(DELETE, "D", "''", f"b.{q}")]
+        for (p, x), to in after.items():
+            if p == q:
+                kept, as_role = way("r.more", "K", "r.role || ':' || r.text || chr(10)", f"b.{to}"), f"'{roles.get(x)}:' || r.text || chr(10)"
+                ways.append(f"CASE WHEN r.kept AND r.initial = '{x}' THEN {kept} ELSE {far} END")
+                ways += [f"CASE WHEN r.kept THEN {way(f'r.more + {REROLE}', 'R', as_role, f'b.{to}')} ELSE {far} END"] if x in roles else []
+        step.append(f"{least(ways)} AS {q}")
+    before = f"SELECT b.conv_id, b.i - 1 AS i, {', '.join(step)} FROM best b JOIN judged r ON r.c = coalesce(b.conv_id, -1) AND r.k = b.i"
+    crc = """list_reduce([4294967295] || list_transform(string_split(coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' '), ''), lambda x: CAST(ascii(x) AS BIGINT)),
+ lambda c, b: list_reduce([xor(c, b)] || [0, 0, 0, 0, 0, 0, 0, 0], lambda x, y: xor(x >> 1, CASE WHEN x % 2 = 1 THEN 3988292384 ELSE 0 END)))"""
+    white = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+    return f"""
+WITH RECURSIVE faulty AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, xor({crc}, 4294967295) % 20 AS fault FROM conversations
+), damaged AS (
+  SELECT conv_id, turn, CASE WHEN fault = 4 THEN 'user' ELSE role END AS role, CASE fault WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text,
+    unnest(CASE WHEN fault = 3 THEN [0, 1] ELSE [0] END) AS copy FROM faulty WHERE fault <> 0
+), placed AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, copy) AS k, trim(text, {white}) AS bare FROM damaged
+), told AS (
+  SELECT *, left(role, 1) AS initial, bare = '' AS blank, bare <> '' AND row_number() OVER (PARTITION BY conv_id, role, text ORDER BY k) > 1 AS duplicate FROM placed
+), judged AS (
+  SELECT *, coalesce(conv_id, -1) AS c, NOT blank AND NOT duplicate AS kept, CASE WHEN NOT blank AND NOT duplicate AND right(bare, 1) NOT IN ('.', '!', '?') THEN {TRUNCATED} ELSE 0 END AS more,
+    lag(initial) OVER (PARTITION BY conv_id ORDER BY k) || initial AS pair FROM told
+), counted AS (
+  SELECT conv_id, CAST(count(*) AS BIGINT) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (blank) AS blank, count(*) FILTER (duplicate) AS duplicate,
+    count(*) FILTER (more > 0) AS truncated, count(*) FILTER (pair NOT IN ('su', 'ua', 'au')) AS illegal FROM judged GROUP BY conv_id
+), best AS (
+  {inserted(ended)}
+  UNION ALL
+  {inserted(before)}
+)
+SELECT a.conv_id, coalesce(c.gaps, 0) AS gaps, coalesce(c.blank, 0) AS blank, coalesce(c.duplicate, 0) AS duplicate, coalesce(c.truncated, 0) AS truncated, coalesce(c.illegal, 0) AS illegal,
+  CAST(coalesce(b.n.c, 0) AS BIGINT) AS cost, coalesce(b.n.e, '') AS audit, sha256(coalesce(left(b.n.t, length(b.n.t) - 1), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) a LEFT JOIN counted c ON a.conv_id IS NOT DISTINCT FROM c.conv_id LEFT JOIN best b ON b.i = 0 AND a.conv_id IS NOT DISTINCT FROM b.conv_id
+"""
+
+
+OP12_SQL = _op12_sql()

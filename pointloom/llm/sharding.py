@@ -61,3 +61,23 @@ def op8_prefix_sum_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select(
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")
     )
+
+
+#: The same with CRC-32 worked out byte by byte, by the table of its polynomial.
+OP8_SQL = """
+WITH crc AS (
+  SELECT list_transform(range(256), lambda n: list_reduce([n, 0, 0, 0, 0, 0, 0, 0, 0], lambda x, y: xor(x >> 1, CASE WHEN x % 2 = 1 THEN 3988292384 ELSE 0 END))) AS t
+), coded AS (
+  SELECT doc_id, octet_length(encode(coalesce(text, ''))) AS n, hex(encode(coalesce(text, ''))) AS h FROM documents
+), bytes AS (
+  SELECT doc_id, n, list_transform(range(n), lambda i: CAST('0x' || substring(h, 2 * i + 1, 2) AS BIGINT)) AS b FROM coded
+), sized AS (
+  SELECT doc_id, n + 8 AS size, xor(list_reduce([4294967295] || b, lambda c, x: xor(c >> 8, t[1 + xor(c, x) % 256])), 4294967295) AS text_crc32 FROM bytes, crc
+), placed AS (
+  SELECT *, sum(size) OVER (ORDER BY doc_id, text_crc32, size ROWS UNBOUNDED PRECEDING) - size AS start, sum(size) OVER () AS total FROM sized
+), sharded AS (
+  SELECT doc_id, size, text_crc32, start, CAST(least(23, (2 * start + size) * 24 // greatest(2 * total, 1)) AS INTEGER) AS shard FROM placed
+)
+SELECT doc_id, CAST(size AS BIGINT) AS size, CAST(text_crc32 AS BIGINT) AS text_crc32, 'bytes' AS law, shard,
+ row_number() OVER (PARTITION BY shard ORDER BY start, doc_id) - 1 AS slot, CAST(NULL AS INTEGER) AS grown_shard FROM sharded
+"""
