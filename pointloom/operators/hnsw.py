@@ -86,16 +86,24 @@ class _Graph:
                 if node in self.layers[layer][near[i]]:
                     self.layers[layer][near[i]].remove(node)
 
-    def search(self, q: np.ndarray, breadth: int) -> list[tuple[float, int]]:
+    def search(self, q: np.ndarray, breadth: int, k: int = 0, allowed: np.ndarray | None = None) -> list[tuple[float, int]]:
+        """The `breadth` best that a walk finds, best first; of allowed nodes only, if they are given: the walk then widens
+        until it has found k of these, or all."""
         start = [self.entry]
         for layer in range(len(self.layers) - 1, 0, -1):
             start = [self.walk(q, start, layer, 1, set())[0][1]]
-        seen: set[int] = set()
-        found = self.walk(q, start, 0, breadth, seen)
-        # Parts that the walk did not reach are entered at their lowest node, until the breadth is filled.
-        while len(found) < breadth and (rest := min(set(self.layers[0]) - seen, default=None)) is not None:
-            found += self.walk(q, [rest], 0, breadth, seen)
-        return sorted(found, key=lambda x: (-x[0], x[1]))[:breadth]
+        want = min(k, len(self.vectors) if allowed is None else int(allowed.sum()))
+        while True:
+            seen: set[int] = set()
+            found = self.walk(q, start, 0, breadth, seen)
+            # Parts that the walk did not reach are entered at their lowest node, until the breadth is filled.
+            while len(found) < breadth and (rest := min(set(self.layers[0]) - seen, default=None)) is not None:
+                found += self.walk(q, [rest], 0, breadth, seen)
+            found = sorted(found, key=lambda x: (-x[0], x[1]))[:breadth]
+            kept = found if allowed is None else [x for x in found if allowed[x[1]]]
+            if len(kept) >= want:
+                return kept
+            breadth *= 4
 
 
 def build(points: DataFrame, metric: Distance = Distance.DOT, config: HnswConfig | None = None, segment_points: int = SEGMENT_POINTS) -> DataFrame:
@@ -115,14 +123,23 @@ def build(points: DataFrame, metric: Distance = Distance.DOT, config: HnswConfig
     return dealt.groupBy("segment").applyInPandas(graph, GRAPH)
 
 
+#: Queries that all tasks may hold at once.
+MOST_QUERIES = 10_000
+
+
 def search(graph: DataFrame, queries: DataFrame, k: int, metric: Distance = Distance.DOT, ef: int = 64, allowed: DataFrame | None = None) -> DataFrame:
-    """query_id, rank, id, score for each row (query_id, q) of a small set of queries.
+    """query_id, rank, id, score for each row (query_id, q) of queries, MOST_QUERIES at most (search.knn_join takes any number).
 
-    Every segment is walked with a breadth of max(k, ef), of four times k for an allowed set (id) at least; points that
-    are not allowed are walked through and left out, so fewer than k may be found.
+    Every segment is walked with a breadth of max(k, ef). Points that are not in an allowed set (id) are walked through and
+    left out; the walk widens until a segment has k allowed points, or all of its. So there are never fewer than k, where
+    k points are allowed.
     """
-    asked = [(r["query_id"], np.array(r["q"], float)) for r in queries.select("query_id", "q").collect()]  # a stated, small set
-    breadth = max(k, ef, 4 * k if allowed is not None else 0)
+    asked = [(r["query_id"], np.array(r["q"], float)) for r in queries.select("query_id", "q").limit(MOST_QUERIES + 1).collect()]
+    if len(asked) > MOST_QUERIES:
+        raise ValueError(f"more than {MOST_QUERIES} queries: ask in parts, or use knn_join")
+    breadth, filtered, rows = max(k, ef), allowed is not None, graph.withColumn("ok", F.lit(True))
+    if allowed is not None:
+        rows = graph.join(allowed.select("id").distinct().withColumn("ok", F.lit(True)), "id", "left")
 
     def walk(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("id", ignore_index=True)
@@ -133,11 +150,10 @@ def search(graph: DataFrame, queries: DataFrame, k: int, metric: Distance = Dist
             for layer, near in enumerate(layers):
                 g.layers[layer][i] = [place[n] for n in near]
         g.entry = next(iter(sorted(g.layers[-1])))
-        found = [(query, int(rows["id"][n]), s) for query, q in asked for s, n in g.search(q, breadth)]
+        ok = rows["ok"].notna().to_numpy(bool) if filtered else None
+        found = [(query, int(rows["id"][n]), s) for query, q in asked for s, n in g.search(q, breadth, k, ok)]
         return pd.DataFrame(found, columns=["query_id", "id", "score"])
 
-    found = graph.groupBy("segment").applyInPandas(walk, "query_id long, id long, score double")
-    if allowed is not None:
-        found = found.join(allowed.select("id"), "id", "left_semi")
+    found = rows.groupBy("segment").applyInPandas(walk, "query_id long, id long, score double")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "id", "score")

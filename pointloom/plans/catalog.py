@@ -385,10 +385,21 @@ def filtered_hnsw_ef_full(spark, d):
     return shown(hnsw.search(graph, one_query(p), 10, ef=1 << 30, allowed=p.where(keep(Match("label", 3)))))
 
 
-@query()
+@query("SELECT count(*) AS found, true AS near FROM (SELECT 1 FROM embeddings LIMIT 10)")
 def hnsw_default_ef(spark, d):
+    """How many points the default search finds, and whether nine in ten of them are among the exact nearest."""
     p = points(spark, d)
-    return shown(hnsw.search(hnsw.build(p), one_query(p), 10))
+    about = hnsw.search(hnsw.build(p), one_query(p), 10).select("id")
+    exact = search.top_k(p, asked(p), 10).select("id", F.lit(1).alias("hit"))
+    return about.join(exact, "id", "left").agg(F.count("*").alias("found"), (F.count("hit") >= 0.9 * F.count("*")).alias("near"))
+
+
+@query(top("label = 3 AND id % 32 = 1"))
+def hnsw_filtered_widens(spark, d):
+    """Fewer points than asked for are allowed: the walk widens until it has found all of them."""
+    p = points(spark, d)
+    few = p.where(keep(Match("label", 3)) & (F.col("id") % 32 == 1))
+    return shown(hnsw.search(hnsw.build(p, config=HnswConfig(m=8, ef_construct=32)), one_query(p), 10, ef=16, allowed=few))
 
 
 @query("SELECT true AS enough")

@@ -85,6 +85,11 @@ def test_graph_recall_and_invariants(spark):
     assert whole == exact
     even = p.where("id % 2 = 0")
     assert all(r["id"] % 2 == 0 for r in hnsw.search(graph, asked, 10, allowed=even).collect())
+    few = hnsw.search(graph, asked, 10, ef=10, allowed=p.where("id % 25 = 7")).collect()  # 8 of 200: all of them, whatever the breadth
+    assert len(few) == 8 * len(queries) and {r["id"] for r in few} == {r for r in range(200) if r % 25 == 7}
+    near = {(r["query_id"], r["id"]) for r in hnsw.search(graph, asked, 5, ef=5, allowed=p.where("id % 7 = 0")).collect()}
+    assert len(near) == 5 * len(queries)
+    assert hnsw.search(graph, asked.where("false"), 3).count() == 0
 
 
 def test_quantized_recall(spark):
