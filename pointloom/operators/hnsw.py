@@ -1,7 +1,8 @@
 """Navigable small-world graphs, one for each segment of bounded size, built and searched in parallel.
 
-A graph is a table: segment, id, vector, level and, for each layer up to its level, the point's neighbours. Points enter
-in the order of their ids and levels come from a hash of the id, so a graph is the same whenever it is built.
+A graph is a table: segment, id, vector, level and, for each layer up to its level, the point's neighbours. A segment is
+of bounded size, so the neighbours of all points of a layer are found at once, by products of blocks of vectors. Levels
+come from a hash of the id and ties go to lower ids, so a graph is the same whenever it is built.
 """
 
 from __future__ import annotations
@@ -57,35 +58,6 @@ class _Graph:
                     heapq.heappop(best)
         return [(s, -n) for s, n in sorted(best, reverse=True)]
 
-    def insert(self, node: int, level: int, m: int, ef: int) -> None:
-        if not self.layers:
-            self.layers, self.entry = [{node: []} for _ in range(level + 1)], node
-            return
-        q, top, start = self.vectors[node], len(self.layers) - 1, [self.entry]
-        for layer in range(top, level, -1):
-            start = [self.walk(q, start, layer, 1, set())[0][1]]
-        for layer in range(min(level, top), -1, -1):
-            found = self.walk(q, start, layer, ef, set())
-            self.layers[layer][node] = [n for _, n in found[:m]]
-            for n in self.layers[layer][node]:
-                self.layers[layer][n].append(node)
-                self.prune(n, layer, m)
-            start = [n for _, n in found]
-        for _ in range(top, level):
-            self.layers.append({node: []})
-        if level > top:
-            self.entry = node
-
-    def prune(self, node: int, layer: int, m: int) -> None:
-        """The m nearest neighbours stay; the others lose their edge back as well."""
-        near = self.layers[layer][node]
-        if len(near) > m:
-            order = np.lexsort((near, -self.scores(self.vectors[node], near)))
-            self.layers[layer][node] = [near[i] for i in order[:m]]
-            for i in order[m:]:
-                if node in self.layers[layer][near[i]]:
-                    self.layers[layer][near[i]].remove(node)
-
     def search(self, q: np.ndarray, breadth: int, k: int = 0, allowed: np.ndarray | None = None) -> list[tuple[float, int]]:
         """The `breadth` best that a walk finds, best first; of allowed nodes only, if they are given: the walk then widens
         until it has found k of these, or all."""
@@ -106,6 +78,36 @@ class _Graph:
             breadth *= 4
 
 
+#: Rows of a segment's vectors that are multiplied with all of them at once.
+BLOCK = 1024
+
+
+def layer_neighbours(vectors: np.ndarray, metric: str, m: int) -> list[list[int]]:
+    """Of each vector at most m others: the nearest m // 2, then those that have it among theirs, nearest first, as long as
+    there is room, then the next nearest. Edges back keep points in reach that are nobody's nearest."""
+    n, width = len(vectors), min(m, len(vectors) - 1)
+    if width < 1:
+        return [[] for _ in range(n)]
+    near, score = np.empty((n, width), np.int64), np.empty((n, width))
+    square = (vectors * vectors).sum(1)
+    for at in range(0, n, BLOCK):
+        rows = np.arange(at, min(at + BLOCK, n))
+        s = vectors[rows] @ vectors.T
+        if metric == Distance.EUCLID:
+            s = 2 * s - square - square[rows][:, None]
+        s[np.arange(len(rows)), rows] = -np.inf
+        some = np.sort(np.argpartition(-s, width - 1, axis=1)[:, :width], axis=1)  # by place, so that a stable sort lets ties go to lower ids
+        order = np.argsort(-np.take_along_axis(s, some, 1), axis=1, kind="stable")
+        near[rows] = np.take_along_axis(some, order, 1)
+        score[rows] = np.take_along_axis(s, near[rows], 1)
+    half = max(1, m // 2)
+    back: list[list[tuple[float, int]]] = [[] for _ in range(n)]
+    for i in range(n):
+        for j, s in zip(near[i, :half].tolist(), score[i, :half].tolist(), strict=True):
+            back[j].append((-s, i))
+    return [list(dict.fromkeys([*near[i, :half].tolist(), *(j for _, j in sorted(back[i])[: m - half]), *near[i, half:].tolist()]))[:m] for i in range(n)]
+
+
 def build(points: DataFrame, metric: Distance = Distance.DOT, config: HnswConfig | None = None, segment_points: int = SEGMENT_POINTS) -> DataFrame:
     """The graph table of points (id, vector)."""
     config = config or HnswConfig()
@@ -113,11 +115,14 @@ def build(points: DataFrame, metric: Distance = Distance.DOT, config: HnswConfig
 
     def graph(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("id", ignore_index=True)
-        g, levels = _Graph(np.stack(rows["vector"].to_numpy()), metric), [level_of(i, config.seed) for i in rows["id"].tolist()]
-        for node, level in enumerate(levels):
-            g.insert(node, level, config.m, config.ef_construct)
-        ids = rows["id"].to_numpy()
-        return rows.assign(level=levels, neighbours=[[[int(ids[n]) for n in g.layers[layer][i]] for layer in range(levels[i] + 1)] for i in range(len(rows))])
+        vectors, ids = np.stack(rows["vector"].to_numpy()), rows["id"].to_numpy()
+        levels = np.array([level_of(i, config.seed) for i in ids.tolist()])
+        neighbours: list[list[list[int]]] = [[] for _ in ids]
+        for layer in range(levels.max() + 1):
+            nodes = np.flatnonzero(levels >= layer)
+            for node, near in zip(nodes.tolist(), layer_neighbours(vectors[nodes], metric, config.m), strict=True):
+                neighbours[node].append(ids[nodes[near]].tolist())
+        return rows.assign(level=levels, neighbours=neighbours)
 
     dealt = points.select(F.pmod(F.xxhash64("id"), F.lit(segments)).cast("int").alias("segment"), "id", "vector")
     return dealt.groupBy("segment").applyInPandas(graph, GRAPH)
