@@ -189,25 +189,32 @@ def encode_documents(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_
     counts = cut(docs.select(F.explode(words).alias("word")).groupBy("word").agg(F.count("*").alias("n")))
     bucket = lambda w: F.pmod(F.xxhash64(w), F.lit(WORD_BUCKETS)).cast("int")
     coded = _frequent(counts).repartition(partitions(spark), "word").select(bucket("word").alias("bucket"), "word", _with(merges, lambda m: encoded_word(F.col("word"), m, single)).alias("ids"))
-    held: list[dict[str, list[int]] | None] = [None] * WORD_BUCKETS
-    for r in coded.collect():  # FREQUENT rows at most
-        held[r["bucket"]] = (held[r["bucket"]] or {}) | {r["word"]: r["ids"]}
-    known = _literal(held, "array<map<string,array<int>>>")
+    known = _known(coded)
     ids_of = lambda w, known, merges: F.coalesce(F.try_element_at(F.get(known, bucket(w)), w), encoded_word(w, merges, single))
-    fold = lambda words, of: F.coalesce(_with(known, lambda k: _with(merges, lambda m: F.flatten(F.transform(words, lambda w: of(w, k, m))))), F.array().cast("array<int>")).alias("ids")
+    folded = _with(known, lambda k: _with(merges, lambda m: F.flatten(F.transform(words, lambda w: ids_of(w, k, m)))))
 
     may_be_long = F.coalesce(F.col("text").rlike(f"[^ ]{{{RUN}}}|\\s{{{RUN}}}"), F.lit(False))
-    plain = docs.where(~may_be_long).select("id", fold(words, ids_of))
+    plain = docs.where(~may_be_long).select("id", F.coalesce(folded, F.array().cast("array<int>")).alias("ids"))
     is_long = lambda w: F.octet_length(w) > LONG
     odd = in_small_batches(docs.where(may_be_long)).select("id", words.alias("words"))
     odd = odd.withColumn("by_heap", _heap_udf(spark.sparkContext.broadcast(ranks))(F.array_distinct(F.filter("words", is_long))))
-    odd = odd.select("id", fold(F.col("words"), lambda w, k, m: F.when(is_long(w), F.try_element_at("by_heap", w)).otherwise(ids_of(w, k, m))))
+    odd = odd.select("id", _with(merges, lambda m: F.flatten(F.transform("words", lambda w: F.when(is_long(w), F.try_element_at("by_heap", w)).otherwise(encoded_word(w, m, single))))).alias("ids"))
     rows = plain.unionByName(odd)
     by_id = _literal([piece.hex() for piece in sorted(ranks, key=ranks.__getitem__)], "array<string>")
     decoded = F.unhex(F.array_join(F.transform("ids", lambda i: F.get(by_id, i)), ""))
     return rows.select(F.col("id").alias(id_column), F.size("ids").cast("long").alias("n_tokens"), "ids", decoded.alias("decoded"))
 
 
+def _known(coded: DataFrame) -> Column:
+    """A literal: buckets of maps from word to ids, of coded's rows (bucket, word, ids), FREQUENT at most. They come to the
+    driver a partition at a time, and stay there as text only."""
+    held = ["null"] * WORD_BUCKETS
+    for r in coded.toLocalIterator():
+        pair = f"{json.dumps(r['word'])}:[{','.join(map(str, r['ids']))}]"
+        held[r["bucket"]] = f"{{{pair}}}" if held[r["bucket"]] == "null" else f"{held[r['bucket']][:-1]},{pair}}}"
+    return F.from_json(F.lit(f"[{','.join(held)}]"), "array<map<string,array<int>>>")
+
+
 def _heap_udf(ranks):
     kind = pa.map_(pa.string(), pa.list_(pa.int32()))
 
