@@ -1,7 +1,7 @@
 """Operator 6: languages of a text as a mixture, inferred by expectation-maximisation.
 
 Each language has a distribution over character trigrams, counted over all texts to learn from. A text is taken as
-drawn from a mixture of these; EM finds the languages' proportions, in EM_STEPS steps at most. The set of languages
+drawn from a mixture of these; EM finds the languages' proportions. The set of languages
 grows from the best one, by the first candidate, steepest gain first, whose likelihood pays for the penalty of one more
 language (BIC), until none does. However small a share, the penalty alone decides.
 
@@ -22,7 +22,8 @@ from pyspark.sql import types as T
 from pointloom.llm.common import id_bucket, in_small_batches, table
 
 BUCKETS = 1 << 16
-EM_STEPS = 12
+#: EM ends once no proportion changes by more than EM_CLOSE in a step, or after EM_STEPS.
+EM_STEPS, EM_CLOSE = 500, 1e-5
 #: Weight of a bucket's share over all languages in each language's share, in trigrams.
 PRIOR = 2000.0
 #: BIC counts independent observations; trigrams of one word overlap, so about one in three counts.
@@ -61,7 +62,9 @@ class Model:
         share = np.full(len(chosen), 1 / len(chosen))
         for _ in range(EM_STEPS if len(chosen) > 1 else 0):
             mix = p * share
-            share = (n / mix.sum(1)) @ mix / total
+            before, share = share, (n / mix.sum(1)) @ mix / total
+            if np.abs(share - before).max() < EM_CLOSE:
+                break
         return share, float(n @ np.log(p @ share))
 
     def infer(self, text: str | None) -> dict[str, float]:
