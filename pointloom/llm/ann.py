@@ -176,9 +176,11 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = NEAREST, recall: fl
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     asked = asked.where(F.size("v") == dimension).groupBy("vec_id").agg(F.min("v").alias("v"))
     total = rows.count()
-    sample = rows.orderBy(F.xxhash64("vec_id"), "vec_id", "v").limit(SAMPLE).toPandas()
+    sample = rows.orderBy(F.xxhash64("vec_id"), "vec_id", "v").limit(SAMPLE + CALIBRATION).toPandas()
     points = np.stack(sample["v"].to_numpy()).astype(np.float64)
-    tree = fit_tree(points, max(8, max(LEAF_ROWS, math.isqrt(total)) * len(points) // total))
+    # The tree is fitted on others than it is calibrated with, unless there are too few.
+    fitted = points[CALIBRATION if len(points) > 2 * CALIBRATION else 0 :]
+    tree = fit_tree(fitted, max(8, max(LEAF_ROWS, math.isqrt(total)) * len(fitted) // total))
     sent = spark.sparkContext.broadcast(tree)
 
     @F.arrow_udf("int")
