@@ -116,7 +116,10 @@ def _encoder(path: str) -> CachedEncoder:
 
 
 def cut_pieces(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, separator: int = SEPARATOR) -> DataFrame:
-    """doc_id, piece, start, length, ids_crc32 of every piece: a document's ids and the separator, cut only beyond capacity."""
+    """doc_id, piece, start, length, ids_crc32 of every piece: a document's ids and the separator, cut only beyond capacity.
+
+    Null and empty texts are the separator alone; null ids and repeated rows have pieces like all others; an empty table
+    has none. Texts are encoded whole, whatever their length; other columns than doc_id and text are not read."""
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, end = _encoder(vocabulary), np.array([separator], "<u4").tobytes()
@@ -300,7 +303,8 @@ def default_vocabulary() -> str:
 
 
 def pack_documents(docs: DataFrame, vocabulary: str | None = None, capacity: int = CAPACITY, rounds: int = ROUNDS) -> DataFrame:
-    """Packs every document of docs (doc_id, text; a null text is empty). One row per piece; other columns are dropped."""
+    """Packs every document of docs (doc_id, text; a null text is empty), as cut_pieces cuts them. One row per piece; other
+    columns are dropped, and an empty table gives an empty result. Of pieces of one length any may have a place."""
     return pack(cut_pieces(docs, vocabulary or default_vocabulary(), capacity), capacity, rounds)
 
 

@@ -84,7 +84,8 @@ def encoded(signatures: np.ndarray) -> str:
 
 
 def with_fingerprints(docs: DataFrame, text: str = "text", chain: int = CHAIN) -> DataFrame:
-    """docs with `signatures`, array of long: the fingerprint's set; a null text is empty."""
+    """docs with `signatures`, array of long, in place of a column of that name: the fingerprint's set; a null text is empty,
+    and a text of any length is read whole."""
 
     def measure(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         of = Fingerprinter(chain)
@@ -154,7 +155,10 @@ OUT = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edit
 
 def compare_with_successors(docs: DataFrame) -> DataFrame:
     """Each document's fingerprint, that of its edited text, whose second half is the start of the next document's, and
-    their likeness; see op4's contract. Rows with the same id follow each other by their texts, null ids come last."""
+    their likeness; see op4's contract. Rows with the same id follow each other by their texts, null ids come last; rows
+    that repeat have a row each. Null texts are empty, and empty texts have the fingerprint of no words. A single document
+    is followed by itself; an empty table gives an empty result. A task holds a batch and one text before it. Columns
+    other than doc_id and text are not read."""
 
     def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         of = Fingerprinter()

@@ -172,3 +172,18 @@ def test_pipeline_runs(spark):
     found = corpus_pipeline.run(spark, D).toPandas()
     assert 0 < found["doc_id"].nunique() <= 200
     check_packed(found, 4096)
+
+
+def test_packing_of_null_ids_and_repeated_rows(spark):
+    """Each has pieces and places of its own."""
+    rows = [(None, "no id here"), (None, None), (5, "twice the same"), (5, "twice the same"), (6, "")]
+    docs = spark.createDataFrame([(*r, "a", 1) for r in rows], "doc_id long, text string, sequence_id string, piece int")
+    found = packing.pack_documents(docs, capacity=16).collect()
+    assert sorted((r["doc_id"] or -1, r["piece"]) for r in found) == [(-1, 0), (-1, 0), (5, 0), (5, 0), (6, 0)]
+    places = {}
+    for r in found:
+        places.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+    for held in places.values():
+        held.sort()
+        assert all(a + n == b for (a, n), (b, _) in zip(held, held[1:], strict=False)) and held[0][0] == 0 and sum(held[-1]) <= 16
+    assert packing.pack_documents(docs.where("false"), capacity=16).count() == 0
