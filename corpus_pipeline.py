@@ -1,4 +1,9 @@
-"""The corpus pipeline: stages over documents, each one operator of pointloom.llm."""
+"""The corpus pipeline: stages over documents, each one operator of pointloom.llm.
+
+Every stage takes all rows that its predecessor kept, null and empty texts, null ids and repeated rows included, and works
+on an empty table as well; what it does with each is said below. Columns that begin with `_lid`, `_ld_` or `_ng_` are the
+stages' own; all others are carried along.
+"""
 
 from __future__ import annotations
 
@@ -19,28 +24,31 @@ LEAST_SCORE = 0.4
 
 
 def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a language: rejected are texts without letters, and mixtures without a main language."""
+    """Documents in a language: rejected are texts without letters (null and empty ones too), and mixtures without a main
+    language. Equal texts stay or go together; of equal proportions the first language by name is the main one."""
     found = predict_languages(docs, train_language_model(docs), column="_lid")
     return found.where((F.col("_lid.lang_pred") != UNDETERMINED) & (F.col("_lid.score") >= LEAST_SCORE)).select(*docs.columns)
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without lines that repeat an earlier one; those of which nothing is left go."""
+    """Documents without lines that repeat an earlier one, by id (null first) and place; those of which nothing is left go,
+    but texts without a word before stay. Rows that share an id and a text are the same lines."""
     return drop_repeated_lines(docs)
 
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies."""
+    """One document of each group of near copies, that of the smallest id; of rows that share an id and a text, one. Texts
+    without words are nobody's copies."""
     return one_of_each_component(docs)
 
 
 def hide_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, their secrets replaced by a mark."""
+    """All documents, their secrets replaced by a mark; n_chars follows. Null texts stay null."""
     return redact_secrets(docs, default_vocabulary())
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Where each piece of the documents stands in the training sequences."""
+    """Where each piece of the documents stands in the training sequences. A null or empty text is its separator alone."""
     return pack_documents(docs)
 
 
