@@ -367,6 +367,13 @@ def batch_knn(spark, d):
     return found.select("query_id", "rank", "id", F.round("score", 6).alias("score"))
 
 
+def graph_of(p: DataFrame, config: HnswConfig | None = None) -> DataFrame:
+    """The points' graph as a table at rest in the shared folder."""
+    graph, path = hnsw.build(p, config=config), own_path(p.sparkSession)
+    graph.write.parquet(path)
+    return p.sparkSession.read.schema(graph.schema).parquet(path)
+
+
 def one_query(p: DataFrame) -> DataFrame:
     return asked(p).select(F.lit(7).cast("long").alias("query_id"), "q")
 
@@ -374,14 +381,14 @@ def one_query(p: DataFrame) -> DataFrame:
 @query(top())
 def hnsw_ef_full_equals_exact(spark, d):
     p = points(spark, d)
-    graph = hnsw.build(p, config=HnswConfig(m=8, ef_construct=32))
+    graph = graph_of(p, HnswConfig(m=8, ef_construct=32))
     return shown(hnsw.search(graph, one_query(p), 10, ef=1 << 30))
 
 
 @query(top("label = 3"))
 def filtered_hnsw_ef_full(spark, d):
     p = points(spark, d)
-    graph = hnsw.build(p, config=HnswConfig(m=8, ef_construct=32))
+    graph = graph_of(p, HnswConfig(m=8, ef_construct=32))
     return shown(hnsw.search(graph, one_query(p), 10, ef=1 << 30, allowed=p.where(keep(Match("label", 3)))))
 
 
@@ -389,7 +396,7 @@ def filtered_hnsw_ef_full(spark, d):
 def hnsw_default_ef(spark, d):
     """How many points the default search finds, and whether nine in ten of them are among the exact nearest."""
     p = points(spark, d)
-    about = hnsw.search(hnsw.build(p), one_query(p), 10).select("id")
+    about = hnsw.search(graph_of(p), one_query(p), 10).select("id")
     exact = search.top_k(p, asked(p), 10).select("id", F.lit(1).alias("hit"))
     return about.join(exact, "id", "left").agg(F.count("*").alias("found"), (F.count("hit") >= 0.9 * F.count("*")).alias("near"))
 
@@ -399,7 +406,7 @@ def hnsw_filtered_widens(spark, d):
     """Fewer points than asked for are allowed: the walk widens until it has found all of them."""
     p = points(spark, d)
     few = p.where(keep(Match("label", 3)) & (F.col("id") % 32 == 1))
-    return shown(hnsw.search(hnsw.build(p, config=HnswConfig(m=8, ef_construct=32)), one_query(p), 10, ef=16, allowed=few))
+    return shown(hnsw.search(graph_of(p, HnswConfig(m=8, ef_construct=32)), one_query(p), 10, ef=16, allowed=few))
 
 
 @query("SELECT true AS enough")
@@ -408,7 +415,7 @@ def hnsw_recall(spark, d):
     p = points(spark, d)
     q = p.where("id % 50 = 0").select(F.col("id").alias("query_id"), F.col("vector").alias("q"))
     exact = search.batch_top_k(p, q, 10).select("query_id", "id")
-    about = hnsw.search(hnsw.build(p), q, 11).where("id <> query_id").select("query_id", "id").withColumn("hit", F.lit(1))
+    about = hnsw.search(graph_of(p), q, 11).where("id <> query_id").select("query_id", "id").withColumn("hit", F.lit(1))
     return exact.join(about, ["query_id", "id"], "left").agg((F.count("hit") / F.count("*") >= 0.9).alias("enough"))
 
 
