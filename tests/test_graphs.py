@@ -39,3 +39,17 @@ def test_copies_and_parts_out_of_reach(spark):
     assert [r["id"] for r in hnsw.search(graph, q, 480, ef=1 << 30).orderBy("rank").collect()] == np.lexsort((np.arange(480), -(v @ v[85]).round(9))).tolist()
     allowed = table(spark, v).where("id >= 473")
     assert sorted(r["id"] for r in hnsw.search(graph, q, 10, ef=10, allowed=allowed).collect()) == list(range(473, 480))
+
+
+def test_graph_takes_any_number_of_queries(spark):
+    v = unit_vectors(30, 3)
+    q = spark.range(10_500).select(F.col("id").alias("query_id"), F.array(F.lit(1.0), F.lit(0.0), F.lit(0.0)).alias("q"))
+    found = hnsw.search(hnsw.build(table(spark, v)).cache(), q, 2, ef=30)
+    assert {(r["rank"], r["id"], r["n"]) for r in found.groupBy("rank", "id").agg(F.count("*").alias("n")).collect()} == {(k + 1, int(i), 10_500) for k, i in enumerate(np.argsort(-v[:, 0])[:2])}
+
+
+def test_batch_of_queries_goes_through_blocks(spark):
+    p = table(spark, unit_vectors(60, 3))
+    found = search.batch_top_k(p, p.where("id < 5").select(F.col("id").alias("query_id"), F.col("vector").alias("q")), 3)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoopJoin" not in plan and found.count() == 15
