@@ -53,3 +53,12 @@ def test_batch_of_queries_goes_through_blocks(spark):
     found = search.batch_top_k(p, p.where("id < 5").select(F.col("id").alias("query_id"), F.col("vector").alias("q")), 3)
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert "NestedLoopJoin" not in plan and found.count() == 15
+
+
+def test_neighbours_are_found_in_little_memory():
+    v = unit_vectors(6000, 8)
+    tracemalloc.start()
+    hnsw.layer_neighbours(v, Distance.DOT, 16)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 60 << 20
