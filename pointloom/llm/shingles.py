@@ -38,7 +38,10 @@ class Shingler:
             out += h[k : last + k]
         out *= np.uint64(0xC2B2AE3D27D4EB4F)
         out ^= out >> np.uint64(32)
-        return np.unique(out)
+        out.sort()  # np.unique hashes first, which costs more than sorting so few
+        first = np.ones(len(out), bool)
+        np.not_equal(out[1:], out[:-1], out=first[1:])
+        return out[first]
 
 
 def set_keys(shingles: np.ndarray) -> tuple[int, int]:
