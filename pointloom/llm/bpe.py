@@ -1,10 +1,11 @@
 """Operator 9: byte-level BPE by Spark's higher-order functions.
 
 Texts are split by the vocabulary's pattern. A fold over a word's byte array merges, at each step, the neighbouring pair
-of the lowest rank, until no pair has one; it carries the parts and the ranks of their pairs, of which a merge changes
-two. Ranks of pairs are a literal map, dealt into buckets because Spark searches a map from end to end.
+of the lowest rank, until no pair has one. It carries a number for each part: the rank of the part and the next one, the
+byte it begins at, its id; the least number is the pair to merge, and a merge changes two. Ranks of pairs are a
+table in which a pair has two places, so a look-up compares two numbers at most.
 
-Distinct words are counted over all texts. Those that occur most often, as many as a literal of bounded size holds, are
+Distinct words are counted over all texts. Those that occur most often, as many as a table of bounded size holds, are
 encoded once each; other words where they stand. So no word's places are ever shuffled, and the commonest word is no
 more work to one task than to another. Decoding concatenates the bytes of the ids' pieces.
 
@@ -19,6 +20,7 @@ import base64
 import heapq
 import json
 from collections.abc import Iterator
+from dataclasses import dataclass, replace
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -28,14 +30,18 @@ from pointloom.llm.common import cut, in_small_batches, partitions, table
 
 #: Java's \\s, \\p{L} and \\p{N} are those of (some version of) Unicode under (?U).
 UNICODE = "(?U)"
-PAIR_BUCKETS = 131_071
+#: A part's number: the rank of its pair above all, then the byte it begins at, then its id, of BITS bits each.
+BITS = 20
+MASK = (1 << BITS) - 1
+#: The number of a part whose pair has no rank is not below this.
+GONE = 1 << 62
 #: Of the words that occur most often, no more than so many, of no more than so many bytes each, are encoded beforehand.
 FREQUENT, FREQUENT_BYTES = 1 << 17, 64
 WORD_BUCKETS = 131_071
-#: The part beyond either end of a word.
-NONE = -1
 #: Words of more bytes are merged by a heap; a text that may hold one has a run of RUN characters without a space, or of white space.
 LONG, RUN = 1024, 250
+#: So many characters are looked at at once for their classes.
+AT_ONCE = 1 << 16
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -47,13 +53,13 @@ def newer_characters(spark: SparkSession) -> dict[str, str]:
     """For \\p{L} and \\p{N}: what a character class needs besides, in Java, to be tiktoken's, as ranges."""
     import tiktoken
 
-    every = "".join(map(chr, [*range(0xD800), *range(0xE000, 0x110000)]))
-    one = spark.createDataFrame([(every,)], "s string")
+    some = ["".join(chr(c) for c in range(at, at + AT_ONCE) if not 0xD800 <= c < 0xE000) for at in range(0, 0x110000, AT_ONCE)]
+    rows = spark.createDataFrame([(s,) for s in some], "s string")
     out = {}
     for name in ("\\p{L}", "\\p{N}"):
         bytes_only = tiktoken.Encoding(name, pat_str=f"{name}+", mergeable_ranks={bytes([b]): b for b in range(256)}, special_tokens={})
-        theirs = set(bytes_only.decode(bytes_only.encode_ordinary(every)))  # what the pattern does not match is left out
-        javas = set(one.select(F.regexp_replace("s", f"{UNICODE}[^{name}]", "")).first()[0])
+        theirs = {c for s in some for c in bytes_only.decode(bytes_only.encode_ordinary(s))}  # what the pattern does not match is left out
+        javas = {c for r in rows.select(F.regexp_replace("s", f"{UNICODE}[^{name}]", "").alias("s")).collect() for c in r["s"]}
         ranges: list[list[int]] = []
         for c in sorted(map(ord, theirs - javas)):
             ranges[-1:] = [[ranges[-1][0], c]] if ranges and ranges[-1][1] == c - 1 else [*ranges[-1:], [c, c]]
@@ -105,22 +111,37 @@ def heap_merged(word: bytes, ranks: dict[bytes, int]) -> list[int]:
     return [ranks[word[k : end[k]]] for k in range(n) if end[k]]
 
 
-def _literal(rows: list, kind: str) -> Column:
-    """rows as a literal: Spark folds the parsing of a constant before it runs anything."""
-    return F.from_json(F.lit(json.dumps(rows, separators=(",", ":"))), kind)
+def _value(spark: SparkSession, rows: list, kind: str) -> Column:
+    """rows as the value of a query of one row: it stands in plans by name, where a literal is spelt out at each mention,
+    and what the driver keeps of each plan grows by all of them."""
+    text = spark.createDataFrame([(json.dumps(rows, separators=(",", ":")),)], "s string")
+    return text.select(F.from_json("s", kind).alias("v")).scalar()
 
 
-def merge_buckets(ranks: dict[bytes, int]) -> Column:
-    """A literal: buckets of a map from pairs of ids to the id they merge into. As large as the vocabulary."""
-    buckets: list[dict[str, list[int]] | None] = [None] * PAIR_BUCKETS
-    for piece, rank in ranks.items():
-        for k in range(1, len(piece)):
-            if (a := ranks.get(piece[:k])) is not None and (b := ranks.get(piece[k:])) is not None:
-                pair = a << 32 | b
-                held = buckets[pair % PAIR_BUCKETS] = buckets[pair % PAIR_BUCKETS] or {"p": [], "r": []}
-                held["p"].append(pair)
-                held["r"].append(rank)
-    return _literal(buckets, "array<struct<p:array<bigint>,r:array<int>>>")
+def pair_table(ranks: dict[bytes, int]) -> tuple[list[int], int, int]:
+    """Places of all pairs of ids that merge, as rank << 2 * BITS | pair, -1 where there is none; and two numbers: a pair's
+    place is its remainder by either (so whoever is put at a taken place sends its holder to that one's other)."""
+    assert len(ranks) < MASK, "ids have BITS bits"
+    pairs = [rank << 2 * BITS | a << BITS | b for piece, rank in ranks.items() for k in range(1, len(piece)) if (a := ranks.get(piece[:k])) is not None and (b := ranks.get(piece[k:])) is not None]
+    first = max(61, 3 * len(pairs)) | 1
+    while True:
+        by = (first, first + 2)
+        held = [-1] * by[1]
+        if all(_placed(x, held, by) for x in pairs):
+            return held, *by
+        first += 4
+
+
+def _placed(x: int, held: list[int], by: tuple[int, int]) -> bool:
+    pair = x & ((1 << 2 * BITS) - 1)
+    at = pair % by[0]
+    for _ in range(500):
+        x, held[at] = held[at], x
+        if x < 0:
+            return True
+        pair = x & ((1 << 2 * BITS) - 1)
+        at = pair % by[1] if pair % by[0] == at else pair % by[0]
+    return False
 
 
 def _with(value: Column, body) -> Column:
@@ -128,36 +149,60 @@ def _with(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def encoded_word(word: Column, merges: Column, single: Column) -> Column:
-    """The ids of one word, a string. A literal is best bound before (`_with`), as each mention of it has its own copy."""
+@dataclass(frozen=True)
+class Merges:
+    """What encoding a word needs: the pairs' table, the two numbers of its places, and the ids of single bytes."""
+
+    table: Column
+    by: tuple[int, int]
+    single: Column
+
+    def bound(self, body) -> Column:
+        """body(self), its table being looked up once."""
+        return _with(self.table, lambda t: body(replace(self, table=t)))
+
+    def ranked(self, a: Column, b: Column) -> Column:
+        """The rank of the pair (a, b), in its place of a number; GONE if it has none or one of them is null."""
+
+        def found(pair: Column) -> Column:
+            out = F
+            for by in self.by:
+                held = F.get(self.table, pair % by)
+                out = out.when(held.bitwiseAND(F.lit((1 << 2 * BITS) - 1)) == pair, held - pair)
+            return out.otherwise(F.lit(GONE))
+
+        return _with(a * (1 << BITS) + b, found)
+
+
+def with_tables(df: DataFrame, ranks: dict[bytes, int]) -> tuple[DataFrame, Merges]:
+    """df with a column of the pairs' table, and the merges that are worked out of it."""
+    held, *by = pair_table(ranks)
+    single = F.from_json(F.lit(json.dumps([ranks[bytes([b])] for b in range(256)])), "array<bigint>")
+    return df.withColumn("pairs", _value(df.sparkSession, held, "array<bigint>")), Merges(F.col("pairs"), tuple(by), single)
 
-    def rank(a: Column, b: Column) -> Column:
-        pair = a.cast("bigint") * (1 << 32) + b
-        bucket = F.get(merges, F.pmod(pair, F.lit(PAIR_BUCKETS)).cast("int"))
-        return _with(bucket, lambda held: F.when(held.isNotNull(), F.get(held["r"], F.array_position(held["p"], pair).cast("int") - 1)))
 
-    def merged(state: Column) -> Column:
-        parts, ranks = state["parts"], state["ranks"]
+def encoded_word(word: Column, merges: Merges) -> Column:
+    """The ids of one word, a string of less than 2^BITS bytes; merges are best bound before."""
+    part = lambda x: x.bitwiseAND(F.lit(MASK))
+    begin = lambda x: x.bitwiseAND(F.lit(MASK << BITS))
 
+    def merged(parts: Column) -> Column:
         def at_lowest(low: Column, at: Column) -> Column:
-            more = F.size(parts)
-            before, after = F.get(parts, at - 2), F.get(parts, at + 1)
-            return F.struct(
-                F.concat(F.slice(parts, F.lit(1), at - 1), F.array(low), F.slice(parts, at + 2, more)).alias("parts"),
-                F.concat(F.slice(ranks, F.lit(1), at - 2), F.array(rank(before, low), rank(low, after)), F.slice(ranks, at + 2, more)).alias("ranks"),
-            )
+            id_, before = F.shiftright(low, 2 * BITS), F.get(parts, at - 2)
+            new = merges.ranked(id_, part(F.get(parts, at + 1))) + begin(low) + id_
+            new_before = merges.ranked(part(before), id_) + before.bitwiseAND(F.lit((1 << 2 * BITS) - 1))
+            after = F.slice(parts, at + 2, F.size(parts))
+            return F.when(at == 1, F.concat(F.array(new), after)).otherwise(F.concat(F.slice(parts, F.lit(1), at - 2), F.array(new_before, new), after))
 
-        at = lambda low: F.array_position(ranks, low).cast("int")
-        return _with(F.array_min(ranks), lambda low: F.when(low.isNull(), state).otherwise(_with(at(low), lambda at: at_lowest(low, at))))
+        # Counting the parts that begin no later is cheaper than array_position, which throws what it finds.
+        at = lambda low: F.size(F.filter(parts, lambda x: begin(x) <= begin(low)))
+        return _with(F.array_min(parts), lambda low: F.when(low >= GONE, parts).otherwise(_with(at(low), lambda at: at_lowest(low, at))))
 
     size = F.octet_length(word)
-    digits = F.hex(word)
-    one_byte = lambda k: F.get(single, F.conv(F.substring(digits, 2 * k - 1, F.lit(2)), 16, 10).cast("int"))
-    end = F.array(F.lit(NONE))
-    first = F.concat(end, F.transform(F.sequence(F.lit(1), size), one_byte), end)
-    ranked = lambda parts: F.zip_with(F.slice(parts, F.lit(1), size + 1), F.slice(parts, F.lit(2), size + 1), rank)
-    start = _with(first, lambda parts: F.struct(parts.alias("parts"), ranked(parts).alias("ranks")))
-    return F.aggregate(F.sequence(F.lit(1), size), start, lambda state, _: merged(state), lambda state: F.slice(state["parts"], F.lit(2), F.size(state["parts"]) - 2))
+    one_byte = lambda chars: lambda k: F.get(merges.single, F.ascii(F.substring(chars, k, F.lit(1))))
+    ids = _with(F.decode(word.cast("binary"), "ISO-8859-1"), lambda chars: F.transform(F.sequence(F.lit(1), size), one_byte(chars)))  # a character a byte
+    start = _with(ids, lambda ids: F.transform(ids, lambda a, k: merges.ranked(a, F.get(ids, k + 1)) + k.cast("bigint") * (1 << BITS) + a))
+    return F.aggregate(F.sequence(F.lit(1), size), start, lambda parts, _: merged(parts), lambda parts: F.transform(parts, lambda x: part(x).cast("int")))
 
 
 def _frequent(counts: DataFrame) -> DataFrame:
@@ -182,37 +227,34 @@ def encode_documents(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_
     """
     assert sorted(ranks.values()) == list(range(len(ranks))), "a piece must stand at its rank"
     spark = docs.sparkSession
-    merges = merge_buckets(ranks)
-    single = _literal([ranks[bytes([b])] for b in range(256)], "array<int>")
     docs = docs.select(F.col(id_column).alias("id"), F.col(text).alias("text"))
     words = split_words("text", pattern, newer_characters(spark))
     counts = cut(docs.select(F.explode(words).alias("word")).groupBy("word").agg(F.count("*").alias("n")))
     bucket = lambda w: F.pmod(F.xxhash64(w), F.lit(WORD_BUCKETS)).cast("int")
-    coded = _frequent(counts).repartition(partitions(spark), "word").select(bucket("word").alias("bucket"), "word", _with(merges, lambda m: encoded_word(F.col("word"), m, single)).alias("ids"))
-    known = _known(coded)
-    ids_of = lambda w, known, merges: F.coalesce(F.try_element_at(F.get(known, bucket(w)), w), encoded_word(w, merges, single))
-    folded = _with(known, lambda k: _with(merges, lambda m: F.flatten(F.transform(words, lambda w: ids_of(w, k, m)))))
+    frequent, merges = with_tables(_frequent(counts).repartition(partitions(spark), "word"), ranks)
+    coded = frequent.select(bucket("word").alias("bucket"), "word", merges.bound(lambda m: encoded_word(F.col("word"), m)).alias("ids"))
+    ids_of = lambda w, known, merges: F.coalesce(F.try_element_at(F.get(known, bucket(w)), w), encoded_word(w, merges))
+    folded = _with(F.col("known"), lambda k: merges.bound(lambda m: F.flatten(F.transform(words, lambda w: ids_of(w, k, m)))))
 
     may_be_long = F.coalesce(F.col("text").rlike(f"[^ ]{{{RUN}}}|\\s{{{RUN}}}"), F.lit(False))
-    plain = docs.where(~may_be_long).select("id", F.coalesce(folded, F.array().cast("array<int>")).alias("ids"))
+    plain = with_tables(docs.where(~may_be_long), ranks)[0].withColumn("known", _known(cut(coded))).select("id", F.coalesce(folded, F.array().cast("array<int>")).alias("ids"))
     is_long = lambda w: F.octet_length(w) > LONG
     odd = in_small_batches(docs.where(may_be_long)).select("id", words.alias("words"))
     odd = odd.withColumn("by_heap", _heap_udf(spark.sparkContext.broadcast(ranks))(F.array_distinct(F.filter("words", is_long))))
-    odd = odd.select("id", _with(merges, lambda m: F.flatten(F.transform("words", lambda w: F.when(is_long(w), F.try_element_at("by_heap", w)).otherwise(encoded_word(w, m, single))))).alias("ids"))
+    odd = with_tables(odd, ranks)[0].select("id", merges.bound(lambda m: F.flatten(F.transform("words", lambda w: F.when(is_long(w), F.try_element_at("by_heap", w)).otherwise(encoded_word(w, m))))).alias("ids"))
     rows = plain.unionByName(odd)
-    by_id = _literal([piece.hex() for piece in sorted(ranks, key=ranks.__getitem__)], "array<string>")
-    decoded = F.unhex(F.array_join(F.transform("ids", lambda i: F.get(by_id, i)), ""))
-    return rows.select(F.col("id").alias(id_column), F.size("ids").cast("long").alias("n_tokens"), "ids", decoded.alias("decoded"))
+    by_id = _value(spark, [piece.hex() for piece in sorted(ranks, key=ranks.__getitem__)], "array<string>")
+    decoded = F.unhex(F.array_join(_with(F.col("by_id"), lambda pieces: F.transform("ids", lambda i: F.get(pieces, i))), ""))
+    return rows.withColumn("by_id", by_id).select(F.col("id").alias(id_column), F.size("ids").cast("long").alias("n_tokens"), "ids", decoded.alias("decoded"))
 
 
 def _known(coded: DataFrame) -> Column:
-    """A literal: buckets of maps from word to ids, of coded's rows (bucket, word, ids), FREQUENT at most. They come to the
-    driver a partition at a time, and stay there as text only."""
-    held = ["null"] * WORD_BUCKETS
-    for r in coded.toLocalIterator():
-        pair = f"{json.dumps(r['word'])}:[{','.join(map(str, r['ids']))}]"
-        held[r["bucket"]] = f"{{{pair}}}" if held[r["bucket"]] == "null" else f"{held[r['bucket']][:-1]},{pair}}}"
-    return F.from_json(F.lit(f"[{','.join(held)}]"), "array<map<string,array<int>>>")
+    """Buckets of maps from word to ids, of coded's rows (bucket, word, ids), FREQUENT at most, as one value that Spark puts
+    into the plan in its own compact form; it never comes to the driver's Python."""
+    held = coded.groupBy("bucket").agg(F.collect_list("word").alias("words"), F.collect_list("ids").alias("ids"))
+    every = coded.sparkSession.range(WORD_BUCKETS).select(F.col("id").cast("int").alias("bucket")).join(held, "bucket", "left")
+    rows = every.agg(F.sort_array(F.collect_list(F.struct("bucket", "words", "ids"))).alias("rows"))
+    return rows.select(F.transform("rows", lambda r: F.map_from_arrays(r["words"], r["ids"])).alias("known")).scalar()
 
 
 def _heap_udf(ranks):

@@ -261,3 +261,19 @@ def test_keys_glued_to_words_without_separators_are_dense():
         for plain in (before, before.title(), f"{before}{r.randrange(10**6)}{before}", "".join(w.title() for w in r.sample(words, 7))):
             assert [x for x in secrets.find_spans(plain, v) if x[1] == 3] == [], plain
     assert found >= 90
+
+
+def test_tables_of_encoding_are_not_spelt_out_in_plans(spark):
+    """The driver keeps the text of each plan."""
+    ranks = bpe.read_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
+    docs = spark.createDataFrame([(1, "some words")], "doc_id long, text string")
+    plan = bpe.encode_documents(docs, ranks, public_tokenizers.PATTERN)._jdf.queryExecution().toString()
+    assert len(plan) < 1 << 20
+
+
+def test_pairs_stand_at_one_of_their_two_places():
+    ranks = bpe.read_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
+    held, *by = bpe.pair_table(ranks)
+    pairs = {(a, b): rank for piece, rank in ranks.items() for k in range(1, len(piece)) if (a := ranks.get(piece[:k])) is not None and (b := ranks.get(piece[k:])) is not None}
+    assert sum(x >= 0 for x in held) == len(pairs)
+    assert all(any(held[p % n] == rank << 2 * bpe.BITS | p for n in by) for (a, b), rank in pairs.items() for p in [a << bpe.BITS | b])
