@@ -112,8 +112,7 @@ def heap_merged(word: bytes, ranks: dict[bytes, int]) -> list[int]:
 
 
 def _value(spark: SparkSession, rows: list, kind: str) -> Column:
-    """rows as the value of a query of one row: it stands in plans by name, where a literal is spelt out at each mention,
-    and what the driver keeps of each plan grows by all of them."""
+    """rows as the value of a query of one row: it stands in plans by name, where a literal is spelt out at each mention."""
     text = spark.createDataFrame([(json.dumps(rows, separators=(",", ":")),)], "s string")
     return text.select(F.from_json("s", kind).alias("v")).scalar()
 
@@ -194,7 +193,7 @@ def encoded_word(word: Column, merges: Merges) -> Column:
             after = F.slice(parts, at + 2, F.size(parts))
             return F.when(at == 1, F.concat(F.array(new), after)).otherwise(F.concat(F.slice(parts, F.lit(1), at - 2), F.array(new_before, new), after))
 
-        # Counting the parts that begin no later is cheaper than array_position, which throws what it finds.
+        # The parts that begin no later are counted: array_position took most of the time.
         at = lambda low: F.size(F.filter(parts, lambda x: begin(x) <= begin(low)))
         return _with(F.array_min(parts), lambda low: F.when(low >= GONE, parts).otherwise(_with(at(low), lambda at: at_lowest(low, at))))
 
